@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import quality_classifier
+from ledgerlake.llm import packing, quality_classifier, quality_rules, sentence_pieces, sorted_tables, url_filter
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
+    "op2_best_fit_packing": packing.query,
+    "op3_url_filter": url_filter.query,
+    "op5_sentencepiece": sentence_pieces.query,
+    "op9_token_output": sorted_tables.query,
     "op10_quality_classifier": quality_classifier.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+    "op3_url_filter": url_filter.SQL,
+}
