@@ -1,8 +1,68 @@
-"""Placeholder until all stages exist."""
+"""From raw documents to packed training sequences, in five stages.
 
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept. All stages but the last return
+the columns of documents; removed lines leave the text, and n_chars follows it. Results are written as Parquet in the shared
+folder and read again between stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlake.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules
+from ledgerlake.llm.common import saved, table
+
+#: A stage's classes, similarities and windows can't be had in SQL; the tests compare with versions of brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with n_chars of the text as it is now."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars").cast("long")))
+    return docs.select(*columns)
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is high enough."""
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, model, out="_score")
+    return scored.where(F.col("_score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without the lines that many documents of their host share."""
+    judged = quality_rules.judge(docs, with_text=True)
+    return _counted(judged.where("kept"), docs.columns)
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that are similar to earlier ones."""
+    return _counted(line_dedup.apply(docs), docs.columns)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in training sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_classifier", classify),
+    ("quality_rules", apply_rules),
+    ("line_dedup", remove_lines),
+    ("near_dedup", keep_one),
+    ("best_fit_packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return docs

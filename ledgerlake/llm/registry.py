@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import packing, quality_classifier, quality_rules, sentence_pieces, sorted_tables, url_filter
+from ledgerlake.llm import chat_format, learned_index, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sentence_pieces, sorted_tables, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_best_fit_packing": packing.query,
     "op3_url_filter": url_filter.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_sentencepiece": sentence_pieces.query,
+    "op6_near_dedup": near_dedup.query,
+    "op7_learned_index": learned_index.query,
+    "op8_chat_format": chat_format.query,
     "op9_token_output": sorted_tables.query,
     "op10_quality_classifier": quality_classifier.query,
 }
