@@ -1,13 +1,16 @@
-"""Byte-level BPE ids of whole texts, with the tokenizers library and a memory of chunks it has seen.
+"""Byte-level BPE ids of whole texts, with the tokenizers library and a memory of words it has seen.
 
-A byte-level BPE never joins characters across a blank that stands between two other characters: its pattern starts a new
-piece there. Texts are therefore cut at such blanks; every different chunk is encoded once a task, many chunks to a call, and
-a text's ids are the joined ids of its chunks. Texts with other runs of white space are encoded whole.
+The pattern of a byte-level BPE starts a new piece at a blank or line feed that stands between two other characters, and
+between letters and the punctuation after them. Texts are therefore cut at single blanks and line feeds; every different word
+is encoded once while a worker remembers it, many words to a call, and a text's ids are the joined ids of its words. Texts
+with runs of white space, or with white space at an end, are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
+from struct import pack
 
 import numpy as np
 
@@ -15,55 +18,115 @@ from ledgerlake.llm.common import quiet_threads, tokenizer_file
 
 #: White space beside white space, or at an end of the text; such texts aren't cut.
 _RUNS = re.compile(r"\s\s|^\s|\s\Z")
-_NEWLINE = 198  #: the id of "\n", a piece of its own between chunks
+_WORD_AND_TAIL = re.compile(r"(\n?[^\W\d_]+)([^\w\s]+)\Z").match
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+_NONE = re.compile("(?!)").match
+_FEED = 198  #: the id of "\n", a piece of its own between words
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids. Remembers two generations of up to `keep` words."""
 
-    def __init__(self, file: str | None = None, keep: int = 400_000):
+    def __init__(self, file: str | None = None, keep: int = 500_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file or tokenizer_file("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keep = keep
+        #: Ids of " word" under word, and of "\n" and word under "\n" + word.
         self.known: dict[str, bytes] = {}
-        self.joins = self.whole(["a\n b"])[0] == b"".join(self.whole(["a", "\n", " b"])) and self.whole(["\n"])[0] == np.array([_NEWLINE], "<u4").tobytes()
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.feed = np.array([_FEED], "<u4").tobytes()
+        printed = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that spell themselves
+        others = [b for b in range(256) if b not in set(printed)]
+        self.spelling = {b: b for b in printed} | {b: 256 + k for k, b in enumerate(others)}
+        self.blank = chr(self.spelling[32])
+        self.spells = False
+        probe = ["Straße", "of", "queaciónñ", "Éleque"]
+        self._learn_plain(probe)
+        self.spells = [self.known[w] for w in probe] == self.whole([" " + w for w in probe])
+        self.cuts = self.whole(["\n"])[0] == self.feed and self.whole(["a,\nb c."])[0] == b"".join(self.whole(["a", ",", "\n", "b", " c", "."]))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember the ids of " " + chunk for each chunk."""
-        plain = [c for c in chunks if "\n" not in c]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            raw = self.whole([" " + "\n ".join(part)])[0]
-            ends = np.flatnonzero(np.frombuffer(raw, dtype="<u4") == _NEWLINE).tolist()
+    def _learn_plain(self, words: list[str]) -> None:
+        """Remember Latin words that stand after a blank: one piece each, which the model takes in its spelling of bytes."""
+        tokenize, known, blank = self.tokenizer.model.tokenize, self.known, self.blank
+        for w in words:
+            piece = blank + (w if w.isascii() else w.encode().decode("latin-1").translate(self.spelling))
+            known[w] = pack("<%dI" % len(t), *t) if (t := [x.id for x in tokenize(piece)]) else b""
+
+    def _learn(self, words: list[str], first: bool) -> None:
+        """Remember words that stand first in a line, or after a blank; their ids in one call are parted by line feeds."""
+        before = "" if first else " "
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            raw = self.whole(["\n".join([before + (w[1:] if first else w) for w in part])])[0]
+            ends = np.flatnonzero(np.frombuffer(raw, dtype="<u4") == _FEED).tolist()
             low = 0
-            for c, high in zip(part, [*ends, len(raw) // 4], strict=True):
-                self.known[c] = raw[4 * low : 4 * high]
+            for w, high in zip(part, [*ends, len(raw) // 4], strict=True):
+                self.known[w] = (self.feed if first else b"") + raw[4 * low : 4 * high]
                 low = high + 1
-        rest = [c for c in chunks if "\n" in c]
-        self.known.update(zip(rest, self.whole([" " + c for c in rest]), strict=True))
+
+    def _meet(self, words: set[str]) -> None:
+        known, older = self.known, self.older
+        new, joint = set(), []
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif (m := _WORD_AND_TAIL(w)) is not None:
+                base, tail = m.groups()
+                joint.append((w, base, tail))
+                if base not in known:
+                    if base in older:
+                        known[base] = older[base]
+                    else:
+                        new.add(base)
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole([tail])[0]
+            else:
+                new.add(w)
+        self._learn([w for w in new if w[:1] == "\n"], True)
+        plain = _PLAIN if self.spells else _NONE
+        self._learn_plain([w for w in new if plain(w)])
+        self._learn([w for w in new if w[:1] != "\n" and not plain(w)], False)
+        for w, base, tail in joint:
+            known[w] = known[base] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [i for i, t in enumerate(texts) if t and self.joins and not _RUNS.search(t)]
         out: list[bytes] = [b""] * len(texts)
-        cuttable = set(cut)
-        rest = [i for i, t in enumerate(texts) if t and i not in cuttable]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        for low in range(0, len(cut), 200):
-            part = cut[low : low + 200]
-            chunks = [texts[i].split(" ") for i in part]
-            heads = self.whole([c[0] for c in chunks])
+        cut, rest = [], []
+        for i, t in enumerate(texts):
+            if t:
+                (cut if self.cuts and not _RUNS.search(t) else rest).append(i)
+        for low in range(0, len(rest), 100):
+            part = rest[low : low + 100]
+            for i, ids in zip(part, self.whole([texts[i] for i in part]), strict=True):
+                out[i] = ids
+        for low in range(0, len(cut), 100):
             if len(self.known) > self.keep:
-                self.known.clear()
+                self.older, self.known = self.known, {}
+                self.tails.clear()
+            part = []
+            for i in cut[low : low + 100]:
+                words = []
+                for line in texts[i].split("\n"):
+                    at = len(words)
+                    words += line.split(" ")
+                    words[at] = "\n" + words[at]
+                part.append(words)
             known = self.known
-            new = {c for own in chunks for c in own[1:]}
-            self._learn([c for c in new if c not in known])
-            for i, head, own in zip(part, heads, chunks, strict=True):
-                out[i] = head + b"".join(map(known.__getitem__, own[1:]))
+            if missing := set().union(*part).difference(known):
+                self._meet(missing)
+            for i, words in zip(cut[low : low + 100], part, strict=True):
+                out[i] = b"".join(map(known.__getitem__, words))[4:]
         return out
+
+
+@cache
+def shared_encoder(file: str | None = None) -> Encoder:
+    """One encoder for all tasks that a Python worker runs, so later ones find words that earlier ones met."""
+    return Encoder(file)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.byte_tokens import Encoder
+from ledgerlake.llm.byte_tokens import shared_encoder
 from ledgerlake.llm.common import pick, saved, table, texts_of
 
 END_ID = 2
@@ -45,7 +45,7 @@ def cut(docs: DataFrame, size: int = LENGTH, file: str | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seen = Encoder(file), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
+        encoder, part, seen = shared_encoder(file), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             docs, texts, rows = batch.column("doc_id").to_pylist(), texts_of(batch), []

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.byte_tokens import Encoder
+from ledgerlake.llm.byte_tokens import shared_encoder
 from ledgerlake.llm.common import new_folder, pick, saved, store, table, texts_of
 
 END_ID = 2
@@ -199,7 +199,7 @@ def write_shards(docs: DataFrame, folder: str, *, file: str | None = None, shard
 
         files, at = store(folder)
         files.create_dir(at, recursive=True)
-        encoder, writer, part, shard = Encoder(file), None, TaskContext.get().partitionId(), 0
+        encoder, writer, part, shard = shared_encoder(file), None, TaskContext.get().partitionId(), 0
 
         def closed() -> pa.RecordBatch:
             writer.close()
