@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from ledgerlake.plans import audits, ledger, relational, streams, writes  # noqa: F401  (they register queries)
+from ledgerlake.plans.base import ORACLE, QUERIES  # noqa: F401
