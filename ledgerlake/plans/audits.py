@@ -9,8 +9,7 @@ from ledgerlake.operators import status as M
 from ledgerlake.operators import windows as X
 from ledgerlake.plans.base import query
 from ledgerlake.plans.ledger import counters
-from ledgerlake.plans.relational import _ZEROED, _odd_senders, _SENDERS, local_blocks, zeroed  # noqa: F401
-from ledgerlake.plans.relational import _LOCAL
+from ledgerlake.plans.relational import _LOCAL, _SENDERS, _ZEROED, _odd_senders, local_blocks, zeroed
 from ledgerlake.plans.views import NOW, ZERO_HASH
 
 _r = lambda c: F.round(c, 6)
@@ -200,19 +199,16 @@ def m03(v):
 
 
 @query("m04_latency_text", "status_samples blocks", f"""WITH f AS ({_FAR}), j AS (SELECT f.*, b.processed_at_ms FROM f LEFT JOIN blocks b ON b.number = f.synced),
- s AS (SELECT chain_id, sample_id, latest - synced AS lag, CASE WHEN latest - synced > 100 THEN (latest - synced) * 12.0::DOUBLE ELSE coalesce((1700200000000 - processed_at_ms) / 1000.0::DOUBLE, (latest - synced) * 12.0::DOUBLE) END AS seconds FROM j)
+ s AS (SELECT chain_id, sample_id, latest - synced AS lag, CASE WHEN latest - synced > 100 THEN (latest - synced) * 12.0::DOUBLE ELSE coalesce((1700200000000 - (processed_at_ms - processed_at_ms % 10)) / 1000.0::DOUBLE, (latest - synced) * 12.0::DOUBLE) END AS seconds FROM j)
  SELECT chain_id, sample_id, CASE WHEN lag > 100 THEN 'Catching up... (' || lag || ' blocks behind)' ELSE printf('%.2fs', seconds) END AS latency_text, seconds AS latency_seconds FROM s""")
 def m04(v):
-    processed = v.blocks.select("number", F.timestamp_millis("processed_at_ms").alias("processed_at"))
+    processed = v.blocks.select("number", F.timestamp_millis(F.col("processed_at_ms") - F.col("processed_at_ms") % 10).alias("processed_at"))
     return M.latency_text(_far(v), F.timestamp_millis(F.lit(1700200000000)), processed)
 
 
 def _rates(v):
     per_hour = X.counter_increase(counters(v), ["series"], "1 hour", 3600)
-    lag = F.abs(F.hash("series")) % 2000
-    rows = per_hour.select((F.length("series") % 3).cast("long").alias("chain_id"), "series", "start", F.when(F.hour("start") % 6 > 0, F.col("rate")).otherwise(F.lit(0.0)).alias("rate"), (F.length("series") * 100 + F.hour("start") * 7).cast("long").alias("lag"), F.lit(5000).cast("long").alias("head"))
-    del lag
-    return rows
+    return per_hour.select((F.length("series") % 3).cast("long").alias("chain_id"), "series", "start", F.when(F.hour("start") % 6 > 0, F.col("rate")).otherwise(F.lit(0.0)).alias("rate"), (F.length("series") * 100 + F.hour("start") * 7).cast("long").alias("lag"), F.lit(5000).cast("long").alias("head"))
 
 
 @query("m05_eta_catch_up", "", """WITH c AS (SELECT event_type AS series, ts, event_id AS sample_id, (floor(value * 10) + (event_id % 1000) * 3)::DOUBLE AS value FROM events),
@@ -226,7 +222,7 @@ def m05(v):
     return out
 
 
-@query("m06_convergence_alert", "status_samples", "WITH s AS (SELECT *, epoch_ms(ts) AS ms, (latest - synced >= 3)::INT AS ok FROM status_samples) SELECT sample_id, min(ok) OVER (PARTITION BY chain_id ORDER BY ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) = 1 AND ms - min(ms) OVER (PARTITION BY chain_id ORDER BY ms) >= 3600000 AS alert FROM s")
+@query("m06_convergence_alert", "status_samples", "WITH s AS (SELECT *, (epoch_us(ts) // 1000) AS ms, (latest - synced >= 3)::INT AS ok FROM status_samples) SELECT sample_id, min(ok) OVER (PARTITION BY chain_id ORDER BY ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) = 1 AND ms - min(ms) OVER (PARTITION BY chain_id ORDER BY ms) >= 3600000 AS alert FROM s")
 def m06(v):
     return M.sustained(v.status_samples, F.col("latest") - F.col("synced") >= 3, 3600, "alert").select("sample_id", "alert")
 

@@ -277,7 +277,7 @@ def requests(v: Views) -> DataFrame:
 _RQ = "SELECT event_id AS request_id, user_id % 5 AS node, ts FROM events"
 
 
-@query("w07_quota_mode_sliding", "", f"WITH r AS ({_RQ}), u AS (SELECT request_id, node, count(*) OVER (PARTITION BY node ORDER BY epoch_ms(ts) RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS used FROM r), f AS (SELECT *, used / 6.0::DOUBLE AS fraction FROM u) SELECT request_id, node, used, round(fraction, 6) AS fraction, CASE WHEN fraction >= 0.8 THEN 'Eco' WHEN fraction >= 0.5 THEN 'Balanced' ELSE 'Aggressive' END AS mode, round(CASE WHEN fraction >= 0.8 THEN 0.1 WHEN fraction >= 0.5 THEN 1 - (fraction - 0.5) / 0.3 * 0.9 ELSE 1 END * 15, 6)::DOUBLE AS rate FROM f")
+@query("w07_quota_mode_sliding", "", f"WITH r AS ({_RQ}), u AS (SELECT request_id, node, count(*) OVER (PARTITION BY node ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS used FROM r), f AS (SELECT *, used / 6.0::DOUBLE AS fraction FROM u) SELECT request_id, node, used, round(fraction, 6) AS fraction, CASE WHEN fraction >= 0.8 THEN 'Eco' WHEN fraction >= 0.5 THEN 'Balanced' ELSE 'Aggressive' END AS mode, round(CASE WHEN fraction >= 0.8 THEN 0.1 WHEN fraction >= 0.5 THEN 1 - (fraction - 0.5) / 0.3 * 0.9 ELSE 1 END * 15, 6)::DOUBLE AS rate FROM f")
 def w07(v):
     rows = X.quota_sliding(requests(v), 6, 3600)
     return rows.withColumn("fraction", _r("fraction")).withColumn("rate", _r("rate"))

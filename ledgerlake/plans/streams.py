@@ -27,9 +27,6 @@ def _through(v: Views, stream: DataFrame, tag: str) -> DataFrame:
     return jobs.run_to_table(stream, new_folder(v.spark, tag), new_folder(v.spark, f"{tag}-state"))
 
 
-_LINE = "to_json(struct(ts, 'block_data' AS type, struct(number AS Number, number AS RangeEnd, map('hash', hash, 'parentHash', parent_hash, 'timestamp', cast(timestamp AS string)) AS Block, array() AS Logs) AS data))"
-
-
 def _captured(v: Views) -> DataFrame:
     """Capture lines of blocks, some malformed: not JSON, of another type, without number, incomplete, and numbers as text."""
     rows = v.blocks.withColumn("ts", F.col("processed_at_ms")).withColumn("k", F.col("number") % 20)
@@ -129,7 +126,7 @@ def _frontier(v: Views, rows: DataFrame, tag: str, **options) -> DataFrame:
     v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         stream = _as_stream(v, rows.withColumn("chain_id", F.lit(1).cast("long")).withColumn("range_end", F.lit(None).cast("long")), tag)
-        return _through(v, frontier.ordered_frontier(stream, **options), f"{tag}-out")
+        return _through(v, frontier.ordered_frontier(stream, stall_ms=None, **options), f"{tag}-out")
     finally:
         v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
@@ -165,10 +162,10 @@ def t09(v):
     return jobs.tumbling_minute(v.blocks.withColumn("at", F.timestamp_seconds("timestamp")), "at")
 
 
-@query("t09_tumbling_minute_stream", "blocks")
+@query("t09_tumbling_minute_stream", "blocks", _MINUTES)
 def t09s(v):
     stream = _as_stream(v, v.blocks.select(F.timestamp_seconds("timestamp").alias("at")), "minutes")
-    return _through(v, jobs.tumbling_minute(stream, "at", "36500 days"), "minute-counts")
+    return jobs.run_complete(jobs.tumbling_minute(stream, "at"), new_folder(v.spark, "minute-counts"), new_folder(v.spark, "minute-state"))
 
 
 @query("t10_sliding_tps", "", "WITH s AS (SELECT epoch(date_trunc('second', ts))::BIGINT AS second, count(*) AS n FROM events GROUP BY 1) SELECT second, (sum(n) OVER (ORDER BY second RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) / 5.0)::DOUBLE AS rate FROM s")
@@ -187,7 +184,7 @@ def t12(v):
     return frontier.request_merge_batch(rows, 3_600_000)
 
 
-@query("t13_height_merge", "status_samples", "WITH s AS (SELECT chain_id, epoch_ms(ts) // 100 AS slot, max(latest) AS head FROM status_samples GROUP BY 1, 2) SELECT chain_id, slot, max(head) OVER (PARTITION BY chain_id ORDER BY slot) AS head FROM s")
+@query("t13_height_merge", "status_samples", "WITH s AS (SELECT chain_id, (epoch_us(ts) // 1000) // 100 AS slot, max(latest) AS head FROM status_samples GROUP BY 1, 2) SELECT chain_id, slot, max(head) OVER (PARTITION BY chain_id ORDER BY slot) AS head FROM s")
 def t13(v):
     return jobs.height_merge(v.status_samples)
 

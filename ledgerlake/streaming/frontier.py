@@ -80,7 +80,7 @@ class Frontier:
 class OrderedFrontier(StatefulProcessor):
     """T03 with T05 to T08. Rows: chain_id, number, hash, parent_hash, range_end; a row without number is a progress marker."""
 
-    def __init__(self, start: int = 0, most: int = MOST_BUFFERED, stall_ms: int = STALL_MS):
+    def __init__(self, start: int = 0, most: int = MOST_BUFFERED, stall_ms: int | None = STALL_MS):
         self.start, self.most, self.stall_ms = start, most, stall_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -114,14 +114,14 @@ class OrderedFrontier(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         f, moved = self._load()
         before, expected = dict(f.buffer), f.expected
-        now, out = timerValues.getCurrentProcessingTimeInMs(), []
+        now, out = timerValues.getCurrentProcessingTimeInMs() if self.stall_ms else 0, []
         events = pd.concat(list(rows), ignore_index=True).sort_values("number", na_position="first", kind="stable")
         for r in events.itertuples(index=False):
             if pd.notna(r.number):
                 out += f.block(int(r.number), r.hash, r.parent_hash if isinstance(r.parent_hash, str) else None)
             elif pd.notna(r.range_end):
                 out += f.progress(int(r.range_end))
-        if f.expected != expected or not moved:
+        if self.stall_ms and (f.expected != expected or not moved):
             moved = now
             self._timer(now)
         self._save(f, before, moved)
@@ -141,10 +141,13 @@ class OrderedFrontier(StatefulProcessor):
         pass
 
 
-def ordered_frontier(stream: DataFrame, start: int = 0, most: int = MOST_BUFFERED, stall_ms: int = STALL_MS) -> DataFrame:
-    """Blocks in order, and rows about reorganisations, refetches and skipped ranges. Needs the RocksDB state store."""
+def ordered_frontier(stream: DataFrame, start: int = 0, most: int = MOST_BUFFERED, stall_ms: int | None = STALL_MS) -> DataFrame:
+    """Blocks in order, and rows about reorganisations, refetches and skipped ranges. Needs the RocksDB state store.
+
+    stall_ms None: no timers, for runs that end when their input does (with timers a run goes on, waiting for them).
+    """
     rows = stream.select("chain_id", "number", "hash", "parent_hash", "range_end")
-    return rows.groupBy("chain_id").transformWithStateInPandas(OrderedFrontier(start, most, stall_ms), OUTPUT, "Append", "ProcessingTime")
+    return rows.groupBy("chain_id").transformWithStateInPandas(OrderedFrontier(start, most, stall_ms), OUTPUT, "Append", "ProcessingTime" if stall_ms else "None")
 
 
 MERGED = "start long, end long, ts timestamp"

@@ -158,3 +158,17 @@ def run_to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "a
     schema = stream.schema
     stream.writeStream.format("parquet").outputMode(mode).option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(schema).parquet(folder)
+
+
+def run_complete(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """All that is there now through an aggregation in complete mode; each batch's whole result goes to a folder of its own, and the last is read."""
+    last: list[str] = []
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        path = f"{folder}/batch-{batch_id:012d}"
+        batch.write.mode("overwrite").parquet(path)
+        last[:] = [path]
+
+    stream.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)

@@ -62,7 +62,7 @@ def test_stream_keeps_order_over_batches(spark, tmp_path):
     for k, batch in enumerate([[100], [102], [101], [99, 104, 103]]):
         (folder / f"{k}.json").write_text("\n".join(json.dumps({"chain_id": 1, "number": n, "hash": f"h{n}", "parent_hash": f"h{n - 1}"}) for n in batch))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
-    got = jobs.run_to_table(frontier.ordered_frontier(stream, start=100), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = jobs.run_to_table(frontier.ordered_frontier(stream, start=100, stall_ms=None), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r.number for r in got.where("kind = 'block'").collect()) == [100, 101, 102, 103, 104]
 
 
