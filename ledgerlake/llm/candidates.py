@@ -99,8 +99,8 @@ def bloom(hashes: DataFrame, column: str) -> np.ndarray:
     bit = F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, BLOOM_BITS).bitwiseAND(mask)))
     words = hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("bits"))
     out = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.int64)
-    for r in words.collect():
-        out[r.word] = r.bits
+    got = words.toArrow()
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint64)
 
 

@@ -38,12 +38,14 @@ from ledgerlake.llm.common import map_arrow, pick, saved, table, texts_of
 SIMILARITY = (4, 5)  #: as a fraction
 MIN_TOKENS = 5
 MIN_USES = 16
-MAX_RANKED = 1 << 18
+MAX_RANKED = 1 << 17
 BLOCK = 20_000
 RANKED = 1 << 62
 
 WORDS = "word long, n long"
-POSTINGS = "token int, tile int, set long, doc long, line int, size int, place int, bits long"
+#: token: a hash of the token and a tile; shape: the size of the set and the token's place in it (32 bits each).
+POSTINGS = "token long, set long, doc long, line int, shape long, b0 long, b1 long, b2 long"
+BITS = ["b0", "b1", "b2"]
 _NULL_DOC = -(1 << 63)
 
 
@@ -72,25 +74,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return pick(docs, "text").mapInArrow(run, WORDS).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def ranks(docs: DataFrame, max_ranked: int = MAX_RANKED) -> dict[int, tuple[int, int]]:
-    """word -> (rank from 1, uses) of at most max_ranked frequent words, the most frequent with the highest rank."""
-    often = saved(word_counts(docs).where(F.col("n") >= MIN_USES), "frequent-words")
+def known_words(docs: DataFrame, max_ranked: int = MAX_RANKED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and uses of at most max_ranked frequent words, the rarest first; and a filter of all words used twice or more."""
+    again = saved(word_counts(docs).where("n > 1"), "words")
+    often = again.where(F.col("n") >= MIN_USES)
     sizes = {r.b: r.c for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("c")).collect()}
     total, least = 0, 64
     for b in sorted(sizes, reverse=True):
         if (total := total + sizes[b]) > max_ranked:
             break
         least = b
-    top = often.where(F.col("n") >= (1 << least if least < 63 else 1 << 62)).collect()
-    top.sort(key=lambda r: (r.n, r.word))
-    return {r.word: (k + 1, r.n) for k, r in enumerate(top)}
+    top = often.where(F.col("n") >= (1 << least if least < 63 else 1 << 62)).toArrow()
+    word, n = (top.column(c).to_numpy() for c in ("word", "n"))
+    order = np.lexsort((word, n))
+    return np.stack([word[order], n[order]]), bloom(again, "word")
 
 
 class Lines:
     """Token sets of lines, with what the word hashes were remembered."""
 
-    def __init__(self, ranked: dict[int, tuple[int, int]], min_tokens: int):
-        self.ranked, self.min_tokens, self.keys = ranked, min_tokens, {}
+    def __init__(self, ranked: np.ndarray, min_tokens: int):
+        self.ranked = {w: k + 1 for k, w in enumerate(ranked[0].tolist())}
+        self.min_tokens, self.keys = min_tokens, {}
 
     def sets(self, text: str) -> Iterator[tuple[int, list[int]]]:
         """(line, sorted token keys) of the lines that have tokens enough."""
@@ -105,7 +110,7 @@ class Lines:
             for w in words:
                 if (k := keys.get(w)) is None:
                     h = word_hash(w)
-                    k = keys[w] = RANKED + ranked[h][0] if h in ranked else h
+                    k = keys[w] = RANKED + ranked[h] if h in ranked else h
                 own.append(k)
             own.sort()
             yield at, own
@@ -120,35 +125,46 @@ def prefix(n: int) -> int:
     return n - -(-a * n // b) + 1
 
 
-def postings(docs: DataFrame, ranked: dict[int, tuple[int, int]], min_tokens: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(ranked)  # at most MAX_RANKED words
+def postings(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], min_tokens: int = MIN_TOKENS, block: int = BLOCK, only: np.ndarray | None = None) -> DataFrame:
+    """Rows of lines' sets under the tokens of their prefixes. Words used once have no other line and are left out. only: a filter of token hashes."""
+    held = docs.sparkSession.sparkContext.broadcast((*words, only))  # at most MAX_RANKED words and filters of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        own, again, some = held.value
         lines = Lines(own, min_tokens)
-        uses = {rank: n for rank, n in own.values() if n > block}
+        uses = {k + 1: n for k, n in enumerate(own[1].tolist()) if n > block}
         first: dict[int, tuple] = {}
 
         def out() -> pa.RecordBatch:
-            rows = []
-            for s, (doc, line, keys) in first.items():
-                n = len(keys)
-                bits = 0
-                for k in keys:
-                    bits |= 1 << ((k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 58)
-                bits -= (bits >> 63) << 64
-                for place in range(prefix(n)):
-                    k = keys[place]
-                    token = (k * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF) >> 32
-                    token -= (token >> 31) << 32
-                    tiles = 1 if k < RANKED else -(-uses.get(k - RANKED, 1) // block)
-                    if tiles == 1:
-                        rows.append((token, 0, s, doc, line, n, place, bits))
-                    else:  # a tile for each pair of blocks
-                        b = s % tiles
-                        rows.extend((token, max(b, c) * tiles + min(b, c) + 1, s, doc, line, n, place, bits) for c in range(tiles))
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in POSTINGS.split(", ")])
+            n = np.array([len(keys) for _, _, keys in first.values()])
+            bits = np.zeros((len(n), len(BITS)), dtype=np.uint64)
+            flat = np.fromiter((k for _, _, keys in first.values() for k in keys), dtype=np.uint64, count=n.sum())
+            with np.errstate(over="ignore"):
+                at = (((flat * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(64 * len(BITS))) >> np.uint64(32)
+            np.bitwise_or.at(bits, (np.repeat(np.arange(len(n)), n), (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.repeat(np.arange(len(n)), n)
+            keep = place < np.array([prefix(x) for x in n])[row]
+            rare = flat < np.uint64(RANKED)
+            keep[keep & rare] = may_hold(again, flat[keep & rare])
+            key, place, row = flat[keep], place[keep], row[keep]
+            with np.errstate(over="ignore"):
+                token = key * np.uint64(0xD6E8FEB86659FD93)
+            if some is not None:
+                keep = may_hold(some, token & np.uint64(0xFFFFFFFF00000000))
+                key, place, row, token = key[keep], place[keep], row[keep], token[keep]
+            token = (token & np.uint64(0xFFFFFFFF00000000)).view(np.int64)
+            sets = np.fromiter(first, dtype=np.int64, count=len(n))
+            if uses:
+                tiles = np.array([-(-uses.get(int(k) - RANKED, 1) // block) for k in key], dtype=np.int64)
+                times = np.where(tiles > 1, tiles, 1)
+                c = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                place, row, token, tiles = (np.repeat(v, times) for v in (place, row, token, tiles))
+                b = sets[row] % tiles
+                token = token + np.where(tiles > 1, np.maximum(b, c) * tiles + np.minimum(b, c) + 1, 0)  # a tile for each pair of blocks
+            docs_, lines_ = (np.array([v[k] for v in first.values()], dtype=np.int64) for k in (0, 1))
+            cols = [token, sets[row], docs_[row], lines_[row].astype(np.int32), n[row].astype(np.int64) << 32 | place, *(bits[row, k].view(np.int64) for k in range(len(BITS)))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in POSTINGS.split(", ")])
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
@@ -172,7 +188,7 @@ def _ids(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _bit_counts(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
+    return np.bitwise_count(np.ascontiguousarray(x).view(np.uint64)).astype(np.int64)
 
 
 def _passing(size, place, bits, y, x) -> np.ndarray:
@@ -184,12 +200,15 @@ def _passing(size, place, bits, y, x) -> np.ndarray:
     most = np.minimum(size[x] - place[x], size[y] - place[y])
     shared_before = np.minimum(place[x], place[y])
     ok = (b * small >= a * large) & (most + shared_before >= need)
-    ok &= _bit_counts(bits[x] ^ bits[y]) <= total - 2 * need
+    at = np.flatnonzero(ok)
+    ok[at] = _bit_counts(bits[x[at]] ^ bits[y[at]]).sum(axis=1) <= (total - 2 * need)[at]
     return ok
 
 
 def _columns(t: pa.Table) -> dict[str, np.ndarray]:
-    return {c: t.column(c).to_numpy().astype(np.int64) for c in t.column_names if c in ("size", "place", "bits", "wanted")}
+    shape = t.column("shape").to_numpy()
+    col = {"size": shape >> 32, "place": shape & 0xFFFFFFFF} | ({"wanted": t.column("wanted").to_numpy()} if "wanted" in t.column_names else {})
+    return col | {"bits": np.stack([t.column(b).to_numpy() for b in BITS], axis=1)}
 
 
 def partners(posted: DataFrame, every: bool) -> DataFrame:
@@ -199,10 +218,10 @@ def partners(posted: DataFrame, every: bool) -> DataFrame:
         ok = _passing(col["size"], col["place"], col["bits"], y, x)
         return ok & (col["wanted"][x] > 0) if every else ok
 
-    return compare(posted, ["token", "tile"], ["doc", "line", "set"], "set", _columns, passing, every=every)
+    return compare(posted, ["token"], ["doc", "line", "set"], "set", _columns, passing, every=every)
 
 
-def similar(docs: DataFrame, pairs: DataFrame, ranked: dict[int, tuple[int, int]], min_tokens: int = MIN_TOKENS) -> DataFrame:
+def similar(docs: DataFrame, pairs: DataFrame, ranked: np.ndarray, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """x, y of the pairs whose whole token sets are similar."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
@@ -244,26 +263,28 @@ def similar(docs: DataFrame, pairs: DataFrame, ranked: dict[int, tuple[int, int]
     return map_arrow(both.select("x", "y", "tx", "ty"), "x long, y long", verify)
 
 
-def late_sets(docs: DataFrame, ranked: dict[int, tuple[int, int]], *, min_tokens: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
+def late_sets(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], *, min_tokens: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
     """set: the token sets that have an earlier similar one."""
-    posted = postings(docs, ranked, min_tokens, block)
+    posted = postings(docs, words, min_tokens, block)
     pairs = saved(partners(posted, every=False).groupBy("x", "y").agg(F.max("more").alias("more")), "line-pairs")
-    late = saved(similar(docs, pairs, ranked, min_tokens).select("x").distinct(), "late-lines")
+    late = saved(similar(docs, pairs, words[0], min_tokens).select("x").distinct(), "late-lines")
     open_ = saved(pairs.where("more").select("x").distinct().join(late, "x", "left_anti"), "open-lines")
     if open_.isEmpty():
         return late.select(F.col("x").alias("set"))
-    flagged = posted.join(open_.select(F.col("x").alias("set"), F.lit(True).alias("wanted")), "set", "left")
-    tokens = flagged.where("wanted").select("token", "tile").distinct()
-    flagged = flagged.join(tokens, ["token", "tile"], "left_semi").select(*posted.columns, F.coalesce(F.col("wanted").cast("int"), F.lit(0)).alias("wanted"))
+    wanted = open_.select(F.col("x").alias("set"), F.lit(1).alias("wanted"))
+    tokens = saved(posted.join(wanted, "set").select("token").distinct(), "open-tokens")
+    high = bloom(tokens.select(F.col("token").bitwiseAND(F.lit(-(1 << 32))).alias("h")), "h")
+    flagged = postings(docs, words, min_tokens, block, only=high).join(tokens, "token", "left_semi").join(wanted, "set", "left")
+    flagged = flagged.select(*posted.columns, F.coalesce("wanted", F.lit(0)).alias("wanted"))
     rest = saved(partners(flagged, every=True).select("x", "y").distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "more-line-pairs")
-    return late.unionByName(similar(docs, rest, ranked, min_tokens).select("x").distinct()).select(F.col("x").alias("set"))
+    return late.unionByName(similar(docs, rest, words[0], min_tokens).select("x").distinct()).select(F.col("x").alias("set"))
 
 
 def removals(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, max_ranked: int = MAX_RANKED, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, n_lines, removed array<int>: a row for each document, with the places of the lines that go."""
-    ranked = ranks(docs, max_ranked)
-    late = saved(late_sets(docs, ranked, min_tokens=min_tokens, block=block), "late-sets")
-    held = docs.sparkSession.sparkContext.broadcast(ranked)
+    words = known_words(docs, max_ranked)
+    late = saved(late_sets(docs, words, min_tokens=min_tokens, block=block), "late-sets")
+    held = docs.sparkSession.sparkContext.broadcast(words[0])
 
     def make():
         lines = Lines(held.value, min_tokens)
