@@ -26,12 +26,12 @@ def shingles(text, n=5):
     return Counter(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else Counter()
 
 
-def near_classes(docs, n_buckets=None, threshold=0.8, margin=0.0):
+def near_classes(docs, threshold=0.8, margin=0.0):
     """{doc_id: smallest id of its class} by all pairs that share a shingle: weighted (exact df) or plain Jaccard."""
     sets = {d: shingles(t) for d, t in docs}
     df = Counter(s for c in sets.values() for s in c)
     n = len(docs)
-    idf = {s: 1 + math.log((n + 1) / (k + 1)) / math.log(n + 2) for s, k in df.items()}
+    idf = {s: 1 + math.log((n + 1) / (k + 1)) / (2 * math.log(n + 2)) for s, k in df.items()}
     w = {d: {s: (1 + math.log(k)) * idf[s] for s, k in c.items()} for d, c in sets.items()}
     by = defaultdict(list)
     for d, c in sets.items():
