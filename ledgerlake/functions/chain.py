@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.fixed import APPROVAL, BOTS, FLOW_PREFIXES, FLOW_TOKENS, MINT, SWAP, TRANSFER, ZERO_ADDRESS
-from ledgerlake.functions.u256 import limbs_from_decimal, limbs_from_hex, to_text
+from ledgerlake.functions.u256 import limbs_from_hex, to_text
 
 UNKNOWN_SENDER = "0xunknown"
 CREATION = "0xcontract_creation"
@@ -144,7 +144,3 @@ def is_visit(agent: Column, method: Column, ip: Column, admin: Column | None = N
     """a person's page view."""
     ok = agent.contains("Mozilla") & ~agent.rlike(BOTS) & (method == "GET") & (ip != "127.0.0.1")
     return ok if admin is None else ok & (admin.isNull() | (ip != admin))
-
-
-def amount_limbs(text: Column) -> Column:
-    return limbs_from_decimal(text)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.chain import CREATION
 from ledgerlake.functions.fixed import NETWORKS
-from ledgerlake.operators.relational import is_synthetic, not_null, previous_blocks
+from ledgerlake.operators.relational import is_synthetic, not_null
 from ledgerlake.operators.windows import chain_breaks, timestamp_anomalies
 
 
@@ -236,7 +236,3 @@ def content_digest(rows: DataFrame) -> DataFrame:
     """Q24: count and an order-free hash of the rows; equal runs give equal digests."""
     columns = sorted(rows.columns)
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in columns)}))"), F.lit(0)).alias("content"))
-
-
-def previous_of(blocks: DataFrame) -> DataFrame:
-    return previous_blocks(blocks, ["hash"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TRANSFER_ORDER = ["tx_hash", "from_address", "to_address", "token_address", "amount", "activity_type", "created_at"]
@@ -160,7 +159,3 @@ def capture_rows(rows: DataFrame, kind: str, ts_ms: Column) -> DataFrame:
 
 def capture_sink(rows: DataFrame, path: str, kind: str, ts_ms: Column) -> None:
     capture_rows(rows, kind, ts_ms).write.mode("append").option("compression", "gzip").text(path)
-
-
-def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*[c for c in rows.columns if c not in keys])))
