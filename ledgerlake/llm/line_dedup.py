@@ -100,7 +100,7 @@ class Lines:
     def sets(self, text: str) -> Iterator[tuple[int, list[int]]]:
         """(line, sorted token keys) of the lines that have tokens enough."""
         keys, ranked = self.keys, self.ranked
-        if len(keys) > 400_000:
+        if len(keys) > 800_000:
             keys.clear()
         for at, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
             words = set(line.split())
@@ -116,6 +116,18 @@ class Lines:
             yield at, own
 
 
+_SHARED: dict[tuple, Lines] = {}
+
+
+def shared_lines(ranked: np.ndarray, min_tokens: int) -> Lines:
+    """One object for all tasks that a Python worker runs with these ranks, so later ones find words that earlier ones met."""
+    key = (xxhash.xxh3_64_intdigest(ranked.tobytes()), min_tokens)
+    if key not in _SHARED:
+        _SHARED.clear()
+        _SHARED[key] = Lines(ranked, min_tokens)
+    return _SHARED[key]
+
+
 def set_hash(keys: list[int]) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(np.array(keys, dtype="<i8").tobytes()), "big", signed=True)
 
@@ -131,7 +143,7 @@ def postings(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], min_tokens:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, again, some = held.value
-        lines = Lines(own, min_tokens)
+        lines = shared_lines(own, min_tokens)
         uses = {k + 1: n for k, n in enumerate(own[1].tolist()) if n > block}
         first: dict[int, tuple] = {}
 
@@ -228,7 +240,7 @@ def similar(docs: DataFrame, pairs: DataFrame, ranked: np.ndarray, min_tokens: i
     held, ranks_ = spark.sparkContext.broadcast(bloom(ids, "set")), spark.sparkContext.broadcast(ranked)
 
     def make():
-        lines, seen = Lines(ranks_.value, min_tokens), set()
+        lines, seen = shared_lines(ranks_.value, min_tokens), set()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             sets, keys = [], []
@@ -287,7 +299,7 @@ def removals(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, max_ranked: int =
     held = docs.sparkSession.sparkContext.broadcast(words[0])
 
     def make():
-        lines = Lines(held.value, min_tokens)
+        lines = shared_lines(held.value, min_tokens)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, at, sets = [], [], []
