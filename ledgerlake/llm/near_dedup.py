@@ -1,7 +1,7 @@
 """MinHash near-dedup (operator 6): consistent weighted sampling of TF-IDF shingles, banded and verified.
 
-A text's shingles are its runs of five words. A shingle weighs (1 + ln tf) * idf with idf = 1 + ln((N + 1) / (df + 1)) / ln(N + 1),
-between 1 and 2; df is counted over all documents in 2^20 hash buckets. Improved consistent weighted sampling draws BANDS x ROWS
+A text's shingles are its runs of five words. A shingle weighs (1 + ln tf) * idf, idf = 1 + ln((N + 1) / (df + 1)) / (2 ln(N + 2)),
+between 1 and 1.5; df is counted over all documents in 2^20 hash buckets. Improved consistent weighted sampling draws BANDS x ROWS
 samples of a text, so that two texts share a sample with the probability of their weighted Jaccard similarity. The random
 numbers of sampling come from fixed tables that shingle hashes index.
 
@@ -9,9 +9,10 @@ Texts that share a band and at least AGREE samples of all are candidates. A pair
 of the TF-IDF weights, or that of equal weights (plain sets), is 0.8 or more. Linked texts form classes (connected components);
 exact copies share their text's class.
 
-Every text first meets its earliest candidate in each band; classes follow from the links found, and all candidate pairs that
-still lie in different classes are then verified as well, so no link between different classes is lost and big groups of near
-copies never expand into all pairs.
+Every text first meets its earliest candidate in each band, in an order that differs from band to band; classes follow from
+the links found, and candidates of different classes meet again in other orders. All candidate pairs that still lie in
+different classes are then verified as well, so no link between classes is lost, and big groups of near copies don't expand
+into all pairs.
 
 Scale: buckets of more than `block` texts are compared in tiles of that size. Only candidates' texts are shuffled, found by a
 Bloom filter of fixed size. The idf table has a fixed size. Class ids come from aggregates and equi-joins.
@@ -36,11 +37,12 @@ from ledgerlake.llm.common import map_arrow, mix64, pick, saved, table, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 14, 3
-AGREE = 20
+BANDS, ROWS = 10, 3
+AGREE = 17
 BUCKET_BITS = 20
 PART_BITS = 14  #: buckets of document counts travel in runs of this many bits
 BLOCK = 5_000
+TURNS = 3  #: meetings of texts of different classes; in the last all of them meet
 TABLE_BITS = 16
 
 
@@ -85,9 +87,11 @@ def bucket_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, n = Shingler(), np.zeros(runs * width, dtype=np.int64), 0
         for batch in batches:
-            for t in texts_of(batch):
-                np.add.at(seen, (np.unique(shingler.shingles(t)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-                n += 1
+            texts = texts_of(batch)
+            n += len(texts)
+            for low in range(0, len(texts), 1000):
+                own = [np.unique(shingler.shingles(t)) >> np.uint64(64 - BUCKET_BITS) for t in texts[low : low + 1000]]
+                seen += np.bincount(np.concatenate(own).astype(np.int64), minlength=len(seen))
         if n:
             parts = [seen[k * width : (k + 1) * width] for k in range(runs)]
             yield pa.RecordBatch.from_arrays([pa.array(range(runs), pa.int32()), pa.array([p.astype("<u4").tobytes() if p.max() < 1 << 32 else p.astype("<i8").tobytes() for p in parts]), pa.array([n] + [0] * (runs - 1), pa.int64())], ["run", "counts", "n"])
@@ -113,7 +117,7 @@ def bucket_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 def idf_table(n: int, counts: np.ndarray) -> np.ndarray:
     df = np.minimum(counts, n)
-    return (1 + np.log((n + 1) / (df + 1)) / np.log(n + 2)).astype(np.float32)
+    return (1 + np.log((n + 1) / (df + 1)) / (2 * np.log(n + 2))).astype(np.float32)
 
 
 def weights(shingles: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -127,24 +131,25 @@ class Sampler:
         k = BANDS * ROWS
         draw = np.random.default_rng(20_240_101)
         size = 1 << TABLE_BITS
-        self.r = draw.gamma(2.0, 1.0, size).astype(np.float32) + np.float32(1e-6)
-        self.log_c = np.log(draw.gamma(2.0, 1.0, size) + 1e-30).astype(np.float32)
-        self.beta = draw.random(size).astype(np.float32)
-        self.inverse = (1 / self.r).astype(np.float32)
+        r = draw.gamma(2.0, 1.0, size) + 1e-6
+        self.table = np.stack([r, 1 / r, np.log(draw.gamma(2.0, 1.0, size) + 1e-30), draw.random(size)], axis=1).astype(np.float32)
         self.factors = (draw.integers(1 << 62, size=k, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
-    def sample(self, shingles: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the samples. shingles: different, ascending; w: their weights."""
+    def sample(self, shingles: np.ndarray, w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the samples, a row for each text. shingles: those of all texts in turn; w: their weights; sizes: how many each text has, over 0."""
+        starts = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
         log_w = np.log(w).astype(np.float32)
-        out = np.zeros(len(self.factors), dtype=np.uint64)
+        out = np.zeros((len(sizes), len(self.factors)), dtype=np.uint64)
         with np.errstate(over="ignore"):
             for k, factor in enumerate(self.factors):
-                at = ((shingles * factor) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-                r, beta = self.r[at], self.beta[at]
-                t = np.floor(log_w * self.inverse[at] + beta)
-                i = int(np.argmin(self.log_c[at] - r * (t - beta + 1)))  # the first, so the smallest shingle, of equal ones
-                out[k] = mix64(np.array([shingles[i] ^ np.uint64(int(t[i]) & 0xFFFFFFFFFFFFFFFF) * factor]))[0]
-        return out
+                draws = self.table[((shingles * factor) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+                t = np.floor(log_w * draws[:, 1] + draws[:, 3])
+                a = draws[:, 2] - draws[:, 0] * (t - draws[:, 3] + 1)
+                least = np.flatnonzero(a == np.minimum.reduceat(a, starts)[row])
+                i = least[np.searchsorted(least, starts)]  # the first, so the smallest shingle, of equal ones
+                out[:, k] = shingles[i] ^ (t[i].astype(np.int64).view(np.uint64) * factor)
+        return mix64(out)
 
 
 SIGNATURES = "text_hash long, bands array<long>, samples binary"
@@ -158,21 +163,23 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
         place = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            rows = []
+            rows, texts = [], []
             for t in texts_of(batch):
-                h = text_hash(t)
-                if h in seen:
+                if (h := text_hash(t)) not in seen:
+                    seen.add(h)
+                    texts.append((h, t))
+            for low in range(0, len(texts), 64):
+                part = [(h, *shingler.counted(t)) for h, t in texts[low : low + 64]]
+                part = [x for x in part if len(x[1])]
+                if not part:
                     continue
-                seen.add(h)
-                shingles, tf = shingler.counted(t)
-                if not len(shingles):
-                    continue
-                s = sampler.sample(shingles, weights(shingles, tf, idf.value))
+                shingles, tf = (np.concatenate([x[k] for x in part]) for k in (1, 2))
+                s = sampler.sample(shingles, weights(shingles, tf, idf.value), np.array([len(x[1]) for x in part]))
                 with np.errstate(over="ignore"):
-                    own = place.copy()
+                    own = np.repeat(place[None, :], len(part), axis=0)
                     for k in range(ROWS):
-                        own = mix64(own + s[k::ROWS])
-                rows.append((h, own.view(np.int64), (s >> np.uint64(48)).astype("<u2").tobytes()))
+                        own = mix64(own + s[:, k::ROWS])
+                rows += [(x[0], own[i].view(np.int64), (s[i] >> np.uint64(48)).astype("<u2").tobytes()) for i, x in enumerate(part)]
             if len(seen) > 1_000_000:
                 seen.clear()
             if not rows:
@@ -205,9 +212,9 @@ def _apart(col: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> np.ndarr
     return out
 
 
-def bucketed(signed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each text and band, dealt in tiles where a band's bucket has more than block texts."""
-    rows = signed.select("*", F.explode("bands").alias("band")).drop("bands")
+def bucketed(signed: DataFrame, block: int = BLOCK, turn: int = 0) -> DataFrame:
+    """A row for each text and band, dealt in tiles where a band's bucket has more than block texts. place: an order of each band's own."""
+    rows = signed.select("*", F.explode("bands").alias("band")).drop("bands").withColumn("place", F.xxhash64("text_hash", "band", F.lit(turn)))
     big = saved(rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > block), "big-buckets")
     if big.isEmpty():
         return rows.withColumn("tile", F.lit(0).cast("long"))
@@ -278,21 +285,29 @@ def links(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     n, counts = bucket_counts(docs)
     idf = spark.sparkContext.broadcast(idf_table(n, counts))
     signed = saved(signatures(docs, idf), "signatures")
-    rows = bucketed(signed, block)
-    met = saved(compare(rows, ["band", "tile"], ["text_hash"], "text_hash", _columns, _agreeing, touched=True).groupBy("x", "y").agg(F.max("more").alias("more")), "met")
-    pairs = met.where("x <> y").select("x", "y")
-    edges = saved(linked(docs, pairs, idf), "links")
+    keys, order, item = ["band", "tile"], ["place", "text_hash"], "text_hash"
+    met = saved(compare(bucketed(signed, block), keys, order, item, _columns, _agreeing, touched=True).groupBy("x", "y").agg(F.max("more").alias("more")), "met")
+    tried = met.where("x <> y").select("x", "y")
+    edges = saved(linked(docs, tried, idf), "links")
     labels = components(edges)
     if met.where("more").isEmpty():
         return labels
-    some = signed.join(met.select(F.explode(F.array("x", "y")).alias("text_hash")).distinct(), "text_hash", "left_semi")
-    named = some.join(labels.select(F.col("node").alias("text_hash"), "label"), "text_hash", "left").withColumn("label", F.coalesce("label", "text_hash"))
-    rest = compare(bucketed(named, block), ["band", "tile"], ["text_hash"], "text_hash", _columns, _apart, every=True)
-    rest = saved(rest.select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti"), "more-pairs")
-    if rest.isEmpty():
-        return labels
-    more = saved(linked(docs, rest, idf), "more-links")
-    return labels if more.isEmpty() else components(edges.unionByName(more))
+    some = saved(signed.join(met.select(F.explode(F.array("x", "y")).alias("text_hash")).distinct(), "text_hash", "left_semi"), "met-signatures")
+    for turn in range(1, TURNS + 1):
+        every = turn == TURNS
+        named = some.join(labels.select(F.col("node").alias("text_hash"), "label"), "text_hash", "left").withColumn("label", F.coalesce("label", "text_hash"))
+        rest = compare(bucketed(named, block, turn), keys, order, item, _columns, _apart, every=every)
+        rest = rest.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        rest = saved(rest.join(tried.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), ["x", "y"], "left_anti"), "more-pairs")
+        if rest.isEmpty():
+            if every:
+                break
+            continue
+        more = saved(linked(docs, rest, idf), "more-links")
+        tried, edges = tried.unionByName(rest), edges.unionByName(more)
+        if not more.isEmpty():
+            labels = components(edges)
+    return labels
 
 
 def classified(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
