@@ -1,12 +1,13 @@
 """Line dedup (operator 4): an exact set-similarity join of lines.
 
 A line's tokens are its different words. A line is removed if an earlier line (by document id, then place) has a Jaccard
-similarity of `similarity` (0.8) or more to it, whether that earlier line stays or not. Lines of fewer than `min_tokens`
-different words are left alone.
+similarity of `similarity` (0.8) or more to it, whether that earlier line stays or not. The query and apply() treat every line
+that holds words; removals() leaves lines of fewer than `min_tokens` different words alone.
 
 1. Word frequencies over all texts; words of 16 or more uses, up to `max_ranked` of them, are ranked by frequency. Tokens of a
    line stand in the order of rarity: unranked words by their hash, then the ranked ones. Any order keeps the join exact.
 2. Prefix filter: a line of n tokens is posted under its first n - ceil(0.8 n) + 1 tokens. Equal token sets are posted once.
+   Sets of one to three tokens are similar to equal ones only (3 of 4 is 0.75, but 4 of 5 is 0.8) and need no postings.
 3. Lines under the same token are compared by length, by the overlap that their positions still allow, and by a bitmap of
    their tokens (differing bits need differing tokens). Each line's earliest partner under each token is verified with whole
    token sets; lines without a verified partner that had more partners then meet all of those.
@@ -37,6 +38,7 @@ from ledgerlake.llm.common import map_arrow, pick, saved, table, texts_of
 
 SIMILARITY = (4, 5)  #: as a fraction
 MIN_TOKENS = 5
+EQUAL_ONLY = 3  #: sets of so many tokens at most have no similar ones but equal ones
 MIN_USES = 16
 MAX_RANKED = 1 << 17
 BLOCK = 20_000
@@ -139,6 +141,7 @@ def prefix(n: int) -> int:
 
 def postings(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], min_tokens: int = MIN_TOKENS, block: int = BLOCK, only: np.ndarray | None = None) -> DataFrame:
     """Rows of lines' sets under the tokens of their prefixes. Words used once have no other line and are left out. only: a filter of token hashes."""
+    min_tokens = max(min_tokens, EQUAL_ONLY + 1)
     held = docs.sparkSession.sparkContext.broadcast((*words, only))  # at most MAX_RANKED words and filters of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,7 @@ def partners(posted: DataFrame, every: bool) -> DataFrame:
 
 def similar(docs: DataFrame, pairs: DataFrame, ranked: np.ndarray, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """x, y of the pairs whose whole token sets are similar."""
-    spark = docs.sparkSession
+    spark, min_tokens = docs.sparkSession, max(min_tokens, EQUAL_ONLY + 1)
     ids = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
     held, ranks_ = spark.sparkContext.broadcast(bloom(ids, "set")), spark.sparkContext.broadcast(ranked)
 
@@ -327,9 +330,9 @@ def _text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def apply(docs: DataFrame, **options) -> DataFrame:
+def apply(docs: DataFrame, *, min_tokens: int = 1, **options) -> DataFrame:
     """docs with the removed lines cut out of text; a null text stays null."""
-    gone = saved(removals(docs, **options).where(F.size("removed") > 0).dropDuplicates(["doc_id", "text_hash"]), "removed-lines")
+    gone = saved(removals(docs, min_tokens=min_tokens, **options).where(F.size("removed") > 0).dropDuplicates(["doc_id", "text_hash"]), "removed-lines")
     gone = gone.select(F.col("doc_id").alias("_gone_doc"), F.col("text_hash").alias("_gone_hash"), F.col("removed").alias("_gone"))
     joined = docs.withColumn("_text_hash", _text_hash()).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.col("_text_hash") == F.col("_gone_hash")), "left")
     lines = F.split("text", "\n")
@@ -338,5 +341,5 @@ def apply(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = removals(table(spark, sf_dir, "documents"))
+    gone = removals(table(spark, sf_dir, "documents"), min_tokens=1)
     return gone.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", "removed").alias("removed_lines"))
