@@ -1,9 +1,13 @@
 """The ordered frontier's rules, and streams against their rules over tables."""
 
 import json
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from ledgerlake.plans import streams
+from ledgerlake.plans.registry import QUERIES
+from ledgerlake.plans.views import Views
 from ledgerlake.streaming import frontier, jobs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -92,3 +96,22 @@ def test_capture_skips_unusable_lines(spark):
     ]
     got = sorted((r.number, len(r.logs)) for r in jobs.parse_capture(spark.createDataFrame([(x,) for x in lines], "value string")).collect())
     assert got == [(7, 1), (8, 1)]
+
+
+def test_frontier_queries_take_all_blocks(spark):
+    blocks = Views(spark, "/root/testdata/sf0.01").blocks.select("number", "hash", "parent_hash")
+
+    def kinds(rows):
+        f, n = frontier.Frontier(0, most=50), Counter()
+        for number, own, parent in rows:
+            n.update(kind for kind, *_ in f.block(number, own, parent))
+        return dict(n)
+
+    whole = blocks.where("number % 211 <> 5 AND number % 101 <> 7")
+    want = kinds(sorted(tuple(r) for r in whole.collect()))  # late blocks are never skipped, so the same as in order
+    assert want["block"] > whole.count() - 51
+    assert {r.kind: r.n for r in QUERIES["t06_buffer_overflow_skip"](spark, "/root/testdata/sf0.01").collect()} == want
+    rows = blocks.select(streams._arrival(blocks).alias("part"), "*").collect()
+    want = kinds(tuple(r)[1:] for r in sorted(rows))
+    assert want["reorg"] > 100
+    assert {r.kind: r.n for r in QUERIES["t08_stream_reorg"](spark, "/root/testdata/sf0.01").collect()} == want
