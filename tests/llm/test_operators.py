@@ -42,6 +42,20 @@ def test_quality_rules_remove_common_lines(spark):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_rules_same_rows_as_sql_where_lines_go(spark, tmp_path):
+    import duckdb
+
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{body} {k}\nShared  line {k % 2}\nonly here {k}", "en", "a" if k < 450 else "b", 1, "", "") for k in range(500)]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = rows_of(quality_rules.query(spark, str(tmp_path)))
+    assert got == rows_of_sql(con, quality_rules.SQL)
+    at = got[0].index("removed_words")
+    assert sum(r[at] == "3" for r in got[1]) == 448  # all of host a but the first of each line
+
+
 def test_quality_rules_on_odd_rows(spark):
     got = {r.doc_id: r for r in quality_rules.judge(odd_documents(spark)).collect()}
     assert got[3].n_words == 0 and got[3].base_failed and not got[3].kept
