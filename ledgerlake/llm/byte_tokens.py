@@ -2,129 +2,121 @@
 
 The pattern of a byte-level BPE starts a new piece at a blank or line feed that stands between two other characters, and
 between letters and the punctuation after them. Texts are therefore cut at single blanks and line feeds; every different word
-is encoded once while a worker remembers it, many words to a call, and a text's ids are the joined ids of its words. Texts
-with runs of white space, or with white space at an end, are encoded whole.
+is encoded once while a worker remembers it, and a text's ids are the joined ids of its words. Words are told apart by 64-bit
+hashes of their bytes. Texts with other white space, with runs of it or with it at an end, and texts that hold the string of a
+special token are encoded whole, as the library does it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 from struct import pack
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerlake.llm.common import quiet_threads, tokenizer_file
+from ledgerlake.llm.word_memory import WordValues, plain_texts
+from ledgerlake.llm.words import Words, chunks
 
-#: White space beside white space, or at an end of the text; such texts aren't cut.
-_RUNS = re.compile(r"\s\s|^\s|\s\Z")
-_WORD_AND_TAIL = re.compile(r"(\n?[^\W\d_]+)([^\w\s]+)\Z").match
+_WORD_AND_TAIL = re.compile(r"([^\W\d_]+)([^\w\s]+)\Z").match
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
-_NONE = re.compile("(?!)").match
 _FEED = 198  #: the id of "\n", a piece of its own between words
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. Remembers two generations of up to `keep` words."""
+    """Encodes texts to little-endian unsigned 32-bit ids. Remembers up to `keep` words, some 200 bytes each."""
 
-    def __init__(self, file: str | None = None, keep: int = 500_000):
+    def __init__(self, file: str | None = None, keep: int = 800_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file or tokenizer_file("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep = keep
-        #: Ids of " word" under word, and of "\n" and word under "\n" + word.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.special = tuple(str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.feed = np.array([_FEED], "<u4").tobytes()
         printed = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that spell themselves
         others = [b for b in range(256) if b not in set(printed)]
         self.spelling = {b: b for b in printed} | {b: 256 + k for k, b in enumerate(others)}
         self.blank = chr(self.spelling[32])
-        self.spells = False
+        self.bases: dict[str, bytes] = {}  #: words without the punctuation after them
+        self.tails: dict[str, bytes] = {}
         probe = ["Straße", "of", "queaciónñ", "Éleque"]
-        self._learn_plain(probe)
-        self.spells = [self.known[w] for w in probe] == self.whole([" " + w for w in probe])
+        self.spells = [self._spelt(w) for w in probe] == self.whole([" " + w for w in probe])
         self.cuts = self.whole(["\n"])[0] == self.feed and self.whole(["a,\nb c."])[0] == b"".join(self.whole(["a", ",", "\n", "b", " c", "."]))
+        self.words = WordValues(self._learn, keep)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_plain(self, words: list[str]) -> None:
-        """Remember Latin words that stand after a blank: one piece each, which the model takes in its spelling of bytes."""
-        tokenize, known, blank = self.tokenizer.model.tokenize, self.known, self.blank
-        for w in words:
-            piece = blank + (w if w.isascii() else w.encode().decode("latin-1").translate(self.spelling))
-            known[w] = pack("<%dI" % len(t), *t) if (t := [x.id for x in tokenize(piece)]) else b""
+    def _spelt(self, word: str) -> bytes:
+        """Ids of a Latin word that stands after a blank: one piece, which the model takes in its spelling of bytes."""
+        piece = self.blank + (word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling))
+        t = self.tokenizer.model.tokenize(piece)
+        return pack("<%dI" % len(t), *[x.id for x in t])
 
-    def _learn(self, words: list[str], first: bool) -> None:
-        """Remember words that stand first in a line, or after a blank; their ids in one call are parted by line feeds."""
-        before = "" if first else " "
+    def _parted(self, words: list[str]) -> list[bytes]:
+        """Ids of words (a blank may stand before one), many to a call, parted by line feeds."""
+        out = []
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            raw = self.whole(["\n".join([before + (w[1:] if first else w) for w in part])])[0]
+            raw = self.whole(["\n".join(part)])[0]
             ends = np.flatnonzero(np.frombuffer(raw, dtype="<u4") == _FEED).tolist()
             low = 0
-            for w, high in zip(part, [*ends, len(raw) // 4], strict=True):
-                self.known[w] = (self.feed if first else b"") + raw[4 * low : 4 * high]
+            for high in [*ends, len(raw) // 4]:
+                out.append(raw[4 * low : 4 * high])
                 low = high + 1
+        return out
 
-    def _meet(self, words: set[str]) -> None:
-        known, older = self.known, self.older
-        new, joint = set(), []
-        for w in words:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            elif (m := _WORD_AND_TAIL(w)) is not None:
-                base, tail = m.groups()
-                joint.append((w, base, tail))
-                if base not in known:
-                    if base in older:
-                        known[base] = older[base]
-                    else:
-                        new.add(base)
-                if tail not in self.tails:
-                    self.tails[tail] = self.whole([tail])[0]
+    def _learn(self, words: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of each word after a blank; of one that stands first in its line, those of a line feed and the word."""
+        if len(self.bases) > 300_000:
+            self.bases.clear()
+        if len(self.tails) > 10_000:
+            self.tails.clear()
+        bases = self.bases
+        out: list[bytes | None] = [None] * len(words)
+        tailed, other = [], []
+        for i, (w, first) in enumerate(words):
+            if not first and self.spells and (m := _WORD_AND_TAIL(w)) is not None and _PLAIN(m[1]):
+                tailed.append((i, *m.groups()))
+            elif not first and self.spells and _PLAIN(w):
+                if (ids := bases.get(w)) is None:
+                    ids = bases[w] = self._spelt(w)
+                out[i] = ids
             else:
-                new.add(w)
-        self._learn([w for w in new if w[:1] == "\n"], True)
-        plain = _PLAIN if self.spells else _NONE
-        self._learn_plain([w for w in new if plain(w)])
-        self._learn([w for w in new if w[:1] != "\n" and not plain(w)], False)
-        for w, base, tail in joint:
-            known[w] = known[base] + self.tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        cut, rest = [], []
-        for i, t in enumerate(texts):
-            if t:
-                (cut if self.cuts and not _RUNS.search(t) else rest).append(i)
+                other.append(i)
+        for i, base, tail in tailed:
+            if (ids := bases.get(base)) is None:
+                ids = bases[base] = self._spelt(base)
+            if (end := self.tails.get(tail)) is None:
+                end = self.tails[tail] = self.whole([tail])[0]
+            out[i] = ids + end
+        for i, ids in zip(other, self._parted([w if first else " " + w for w, first in (words[i] for i in other)]), strict=True) if other else ():
+            out[i] = self.feed + ids if words[i][1] else ids
+        return out
+
+    def _chunk(self, w: Words) -> list[bytes]:
+        out = [b""] * w.texts
+        cut = plain_texts(w, self.special) if self.cuts else np.zeros(w.texts, dtype=bool)
+        size = np.diff(w.offsets)
+        rest = np.flatnonzero(~cut & (size > 0)).tolist()
         for low in range(0, len(rest), 100):
             part = rest[low : low + 100]
-            for i, ids in zip(part, self.whole([texts[i] for i in part]), strict=True):
+            for i, ids in zip(part, self.whole([w.data[w.offsets[i] : w.offsets[i + 1]].tobytes().decode() for i in part]), strict=True):
                 out[i] = ids
-        for low in range(0, len(cut), 100):
-            if len(self.known) > self.keep:
-                self.older, self.known = self.known, {}
-                self.tails.clear()
-            part = []
-            for i in cut[low : low + 100]:
-                words = []
-                for line in texts[i].split("\n"):
-                    at = len(words)
-                    words += line.split(" ")
-                    words[at] = "\n" + words[at]
-                part.append(words)
-            known = self.known
-            if missing := set().union(*part).difference(known):
-                self._meet(missing)
-            for i, words in zip(cut[low : low + 100], part, strict=True):
-                out[i] = b"".join(map(known.__getitem__, words))[4:]
+        number, bounds = self.words.of(w, cut)
+        get, bounds = self.words.values.__getitem__, bounds.tolist()
+        for i in np.flatnonzero(cut).tolist():
+            out[i] = b"".join(map(get, number[bounds[i] : bounds[i + 1]].tolist()))[4:]
         return out
 
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text in a column of strings; null counts as empty."""
+        for w in chunks(column):
+            yield from self._chunk(w)
+
 
 @cache
 def shared_encoder(file: str | None = None) -> Encoder:

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.byte_tokens import shared_encoder
-from ledgerlake.llm.common import pick, saved, table, texts_of
+from ledgerlake.llm.common import pick, saved, table
 
 END_ID = 2
 LENGTH = 1024
@@ -48,13 +48,12 @@ def cut(docs: DataFrame, size: int = LENGTH, file: str | None = None) -> DataFra
         encoder, part, seen = shared_encoder(file), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            docs, texts, rows = batch.column("doc_id").to_pylist(), texts_of(batch), []
-            for low in range(0, len(docs), 200):
-                for doc, raw in zip(docs[low : low + 200], encoder.encode(texts[low : low + 200]), strict=True):
-                    raw += end
-                    for k, (start, n) in enumerate(pieces_of(len(raw) // 4, size)):
-                        rows.append((doc, k, start, n, zlib.crc32(memoryview(raw)[4 * start : 4 * (start + n)]), part, int(seen[n])))
-                        seen[n] += 1
+            rows = []
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                raw += end
+                for k, (start, n) in enumerate(pieces_of(len(raw) // 4, size)):
+                    rows.append((doc, k, start, n, zlib.crc32(memoryview(raw)[4 * start : 4 * (start + n)]), part, int(seen[n])))
+                    seen[n] += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             names = [x.split()[0] for x in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.byte_tokens import shared_encoder
-from ledgerlake.llm.common import new_folder, pick, saved, store, table, texts_of
+from ledgerlake.llm.common import new_folder, pick, saved, store, table
 
 END_ID = 2
 MAGIC = 0x4C4C5353
@@ -206,17 +206,15 @@ def write_shards(docs: DataFrame, folder: str, *, file: str | None = None, shard
             return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "first_key": first, "part": part, "shard": shard, "n_docs": writer.docs, "n_tokens": writer.tokens}], schema=pa.schema([("path", pa.string()), ("first_key", pa.binary()), ("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for low in range(0, len(ids), 200):
-                for doc, raw in zip(ids[low : low + 200], encoder.encode(texts[low : low + 200]), strict=True):
-                    key = key_of(doc)
-                    if writer is None:
-                        name, first = f"{part:06d}-{uuid.uuid4().hex}.sst", key
-                        writer = Writer(files.open_output_stream(f"{at}/{name}"))
-                    writer.add(key, np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(END_ID)))
-                    if writer.at >= shard_bytes:
-                        yield closed()
-                        writer, shard = None, shard + 1
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                key = key_of(doc)
+                if writer is None:
+                    name, first = f"{part:06d}-{uuid.uuid4().hex}.sst", key
+                    writer = Writer(files.open_output_stream(f"{at}/{name}"))
+                writer.add(key, np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(END_ID)))
+                if writer.at >= shard_bytes:
+                    yield closed()
+                    writer, shard = None, shard + 1
         if writer is not None:
             yield closed()
 

@@ -1,13 +1,16 @@
 """Every operator against a plain version on the small tables, and on hand-made rows with nulls, ties, repeats and odd columns."""
 
 import hashlib
+import random
 import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import rows_of, rows_of_sql
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ledgerlake.llm import byte_tokens, chat_format, learned_index, line_dedup, near_dedup, packing, quality_classifier, quality_rules, registry, sentence_pieces, sorted_tables, url_filter
 from ledgerlake.llm.common import new_folder, table, tokenizer_file
@@ -81,9 +84,9 @@ def test_packing(spark, sf_dir):
     rows, by = packed_rows(spark, docs)
     total = sum(r.length for r in rows)
     assert len(by) <= 1.03 * -(-total // packing.LENGTH)
-    encoder = byte_tokens.Encoder()
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
     for doc, text in documents(spark, sf_dir):
-        ids = np.append(np.frombuffer(encoder.whole([text])[0] if text else b"", "<u4"), np.uint32(2))
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
         own = sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.piece)
         assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(ids)
         assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
@@ -175,8 +178,6 @@ def test_sentence_pieces(spark, sf_dir):
 
 
 def test_sentence_pieces_random_text():
-    import random
-
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
@@ -289,9 +290,9 @@ def test_sorted_tables(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     manifest = sorted_tables.write_shards(docs, new_folder(spark, "shards"), shard_bytes=40_000)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in sorted_tables.read_shards(manifest).collect()}
-    encoder, at, want, ids = byte_tokens.Encoder(), 0, {}, {}
+    library, at, want, ids = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")), 0, {}, {}
     for doc, text in sorted(documents(spark, sf_dir)):
-        ids[doc] = np.append(np.frombuffer(encoder.whole([text])[0] if text else b"", "<u4"), np.uint32(2))
+        ids[doc] = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
         want[doc] = (at, len(ids[doc]), zlib.crc32(ids[doc].tobytes()))
         at += len(ids[doc])
     assert got == want
@@ -311,13 +312,30 @@ def test_sorted_tables_odd_rows(spark):
 
 
 def test_byte_tokens_random_text():
-    import random
-
     encoder, draw = byte_tokens.Encoder(keep=200), random.Random(2)
     assert encoder.cuts and encoder.spells
     letters = "ab Zé,.!'s t\n1²_\t ñ \x1c日😀<|endoftext|>-\u2003"
     texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 30))) for _ in range(5000)] + ["it's, don't' x'll", "a,b c.d,\ne.", "<|endoftext|> x"]
-    assert encoder.encode(texts) == [encoder.whole([t])[0] if t else b"" for t in texts]
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(next(encoder.encode(pa.array(["a <|endoftext|> b"]))), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_words_of_texts():
+    from ledgerlake.llm import words
+
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abé日 \n\t\r\x00\u00a0-") for _ in range(draw.randint(0, 40))) for _ in range(2000)] + ["x" * 300 + " " + "y" * 17, None, "z" * 5000]
+    for most in (100, 1 << 20):
+        got, lines, seen = [], [], {}
+        for w in words.chunks(pa.array(texts), most):
+            spelt = [w.data[a:b].tobytes() for a, b in zip(w.start, w.end)]
+            for x, h in zip(spelt, w.hashes().tolist()):
+                assert seen.setdefault(x, h) == h
+            got += list(zip((w.text + w.first).tolist(), w.lines().tolist(), spelt))
+            lines += w.line_counts().tolist()
+        assert got == [(i, k, x) for i, t in enumerate(texts) for k, line in enumerate((t or "").encode().split(b"\n")) for x in line.split()]
+        assert lines == [(t or "").count("\n") + 1 for t in texts] and len(set(seen.values())) == len(seen)
 
 
 def test_quality_classifier(spark, sf_dir):
