@@ -5,8 +5,9 @@ leaves as it is. So one pass over the text with an automaton of all pieces store
 there and is compatible with the stored last token of the prefix before it; the ids are then read off backwards from the end.
 No merge queue is kept for a text.
 
-A text is cut where no piece reaches across (before blanks, and between characters that no piece has side by side); parts are
-encoded once and remembered, up to `keep` of them, whose loss only costs time. Characters that no piece has become byte tokens.
+A text is cut where no piece reaches across (before blanks, at line feeds, and between characters that no piece has side by
+side); words are encoded once and remembered by 64-bit hashes of their bytes, up to `keep` of them, whose loss only costs time.
+Texts with runs of blanks, blanks at an end or other white space are encoded by themselves. Characters that no piece has become byte tokens.
 
 Defined results: null counts as empty, and an empty text has no ids and decodes to an empty text; U+2581 in a text counts as a
 blank, as in the library; bytes that form no character decode to U+FFFD each; repeated rows each get their own row.
@@ -16,12 +17,17 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.llm.common import map_arrow, pick, table, texts_of, tokenizer_file
+from ledgerlake.llm.word_memory import WordValues, plain_texts
+from ledgerlake.llm.words import chunks
 
 SPACE = "▁"
 codecs.register_error("ledgerlake-each-byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -125,23 +131,34 @@ class Pieces:
 
 
 class Codec:
-    """Encodes and decodes texts, remembering parts."""
+    """Encodes and decodes texts, remembering words: up to `keep` of them, some 300 bytes each."""
 
-    def __init__(self, file: str | None = None, keep: int = 250_000):
+    def __init__(self, file: str | None = None, keep: int = 600_000):
         self.pieces = Pieces(file or tokenizer_file("piece_bpe_32k.model"))
         self.keep = keep
         self.small: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.cuts = not any("\n" in pair for pair in self.pieces.beside)  # no piece reaches across a line feed
+        self.words = WordValues(self._learn, keep, heads=False)
 
     def _ids(self, part: str) -> list[int]:
         out: list[int] = []
         small = self.small
         for p in self.pieces.split(part):
             if (ids := small.get(p)) is None:
+                if len(small) > self.keep:
+                    small.clear()
                 ids = small[p] = self.pieces.encode_part(p)
             out += ids
         return out
 
+    def _learn(self, words: list[tuple[str, bool]]) -> list[tuple[bytes, bytes]]:
+        """A word's decimal ids, a comma before each, and the text they decode to: with the blank or line feed before the word."""
+        out = []
+        for w, first in words:
+            ids = self._ids("\n" + w if first else SPACE + w)
+            out.append((("," + ",".join(map(str, ids))).encode(), self.pieces.raw(ids).encode("utf-8", "surrogatepass")))
+        return out
+
     def encode(self, text: str) -> list[int]:
         return [i for part in self.parts(text) for i in self._ids(part)]
 
@@ -163,32 +180,43 @@ class Codec:
             return [*out, t[low:]]
         return [SPACE + x for x in text.split(" ")]
 
+    def _digest(self, text: str) -> tuple[int, str, str]:
+        ids = self.encode(text)
+        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def digests(self, column: pa.Array) -> Iterator[tuple[int, str, str]]:
+        """For each text: its number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of what the ids decode to."""
+        sha = hashlib.sha256
+        for w in chunks(column):
+            cut = plain_texts(w, (SPACE.encode(),)) if self.cuts else np.zeros(w.texts, dtype=bool)
+            number, bounds = self.words.of(w, cut)
+            get, bounds = self.words.values.__getitem__, bounds.tolist()
+            for i, plain in enumerate(cut.tolist()):
+                if not plain:
+                    yield self._digest(w.data[w.offsets[i] : w.offsets[i + 1]].tobytes().decode())
+                    continue
+                found = list(map(get, number[bounds[i] : bounds[i + 1]].tolist()))
+                ids, raw = b"".join([x for x, _ in found]), b"".join([x for _, x in found])
+                yield ids.count(b","), sha(memoryview(ids)[1:]).hexdigest(), sha(raw.removeprefix(b" ")).hexdigest()
+
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of what the ids decode to."""
-        if len(self.known) > self.keep:
-            self.known.clear()
-        if len(self.small) > self.keep:
-            self.small.clear()
-        known, parts = self.known, self.parts(text)
-        for p in parts:
-            if p not in known:
-                ids = self._ids(p)
-                known[p] = (",".join(map(str, ids)), len(ids), self.pieces.raw(ids))
-        found = [known[p] for p in parts]
-        decoded = "".join([x[2] for x in found])  # each part decodes by itself: byte tokens of a character stay in one part
-        decoded = decoded[1:] if decoded.startswith(" ") else decoded
-        ids = ",".join([x[0] for x in found])
-        return sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        return next(self.digests(pa.array([text], pa.string())))
+
+
+@cache
+def shared_codec(file: str | None = None) -> Codec:
+    """One codec for all tasks that a Python worker runs, so later ones find words that earlier ones met."""
+    return Codec(file)
 
 
 def digests(docs: DataFrame, file: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
 
     def make():
-        codec = Codec(file)
+        codec = shared_codec(file)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, ids, text = zip(*map(codec.digest, texts_of(batch)), strict=True)
+            n, ids, text = zip(*codec.digests(batch.column("text")), strict=True)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return f
@@ -200,7 +228,7 @@ def encoded(docs: DataFrame, file: str | None = None) -> DataFrame:
     """doc_id, ids array<int>, decoded string of every whole text."""
 
     def make():
-        codec = Codec(file)
+        codec = shared_codec(file)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [codec.encode(t) for t in texts_of(batch)]

@@ -76,18 +76,22 @@ def plain_texts(w: Words, but: tuple[bytes, ...] = ()) -> np.ndarray:
 
 
 class WordValues:
-    """Remembered values of words; `learn` gives those of new words: a list for [(word, whether it stands first in its line)]."""
+    """Remembered values of words; `learn` gives those of new words: a list for [(word, whether it stands first in its line)].
+
+    heads: whether a text's first word counts as one that stands first in a line.
+    """
 
     FIRST = np.uint64(0xD1B54A32D192ED03)
 
-    def __init__(self, learn, keep: int):
-        self.learn, self.memory, self.values = learn, Memory(keep), []
+    def __init__(self, learn, keep: int, heads: bool = True):
+        self.learn, self.memory, self.values, self.heads = learn, Memory(keep), [], heads
 
     def of(self, w: Words, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of values, bounds): those of the marked texts' words in turn, and where each text's words begin and end in them."""
         at = np.flatnonzero(texts[w.text])
         sub = w._replace(start=w.start[at], end=w.end[at], text=w.text[at])
-        first = (sub.start == w.offsets[sub.text]) | (w.data[sub.start - 1] == 10)
+        head, first = sub.start == w.offsets[sub.text], w.data[sub.start - 1] == 10
+        first = first | head if self.heads else first & ~head
         with np.errstate(over="ignore"):
             keys = sub.hashes() ^ np.where(first, self.FIRST, np.uint64(0))
         bounds = np.searchsorted(sub.text, np.arange(w.texts + 1))
