@@ -56,19 +56,16 @@ def compare_group_rows(col: dict[str, np.ndarray], key: np.ndarray, item: np.nda
     return item[np.concatenate([x, z])], item[np.concatenate([y, z])], np.concatenate([more, np.zeros(len(z), dtype=bool)])
 
 
-def compare(rows: DataFrame, keys: list[str], order: list[str], item: str, columns: Callable[[pa.Table], dict[str, np.ndarray]], passing: Passing, *, every: bool = False, touched: bool = False, batch_rows: int = 200_000) -> DataFrame:
-    """x long, y long, more boolean: rows that share their keys, compared in `order`, a bounded number of whole keys at a time."""
+def in_groups(rows: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str, batch_rows: int = 200_000) -> DataFrame:
+    """f(table, group) for rows that share their keys, sorted by `order`: a bounded number of whole groups at a time."""
 
-    def compared(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(parts).combine_chunks()
-        key = np.zeros(t.num_rows, dtype=np.int64)
         change = np.zeros(t.num_rows, dtype=bool)
         for k in keys:
             v = t.column(k).to_numpy()
             change[1:] |= v[1:] != v[:-1]
-        key = np.cumsum(change)
-        x, y, more = compare_group_rows(columns(t), key, t.column(item).to_numpy(), passing, every=every, touched=touched)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(more)], ["x", "y", "more"]) if len(x) else None
+        return f(t, np.cumsum(change))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
@@ -81,16 +78,32 @@ def compare(rows: DataFrame, keys: list[str], order: list[str], item: str, colum
             at = np.flatnonzero(change)
             if held + batch.num_rows > batch_rows and len(at):
                 cut = int(at[-1])
-                if (out := compared([*parts, batch.slice(0, cut)])) is not None:
+                if (out := done([*parts, batch.slice(0, cut)])) is not None:
                     yield out
                 parts, held = [batch.slice(cut)], batch.num_rows - cut
             else:
                 parts.append(batch)
                 held += batch.num_rows
-        if held and (out := compared(parts)) is not None:
+        if held and (out := done(parts)) is not None:
             yield out
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, "x long, y long, more boolean")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+PAIRS = "x long, y long, more boolean"
+
+
+def pairs_batch(x: np.ndarray, y: np.ndarray, more: np.ndarray) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(more)], ["x", "y", "more"]) if len(x) else None
+
+
+def compare(rows: DataFrame, keys: list[str], order: list[str], item: str, columns: Callable[[pa.Table], dict[str, np.ndarray]], passing: Passing, *, every: bool = False, touched: bool = False) -> DataFrame:
+    """x long, y long, more boolean: rows that share their keys, compared in `order`."""
+
+    def f(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
+        return pairs_batch(*compare_group_rows(columns(t), group, t.column(item).to_numpy(), passing, every=every, touched=touched))
+
+    return in_groups(rows, keys, order, f, PAIRS)
 
 
 def bloom(hashes: DataFrame, column: str) -> np.ndarray:

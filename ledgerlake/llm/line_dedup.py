@@ -1,345 +1,409 @@
 """Line dedup (operator 4): an exact set-similarity join of lines.
 
-A line's tokens are its different words. A line is removed if an earlier line (by document id, then place) has a Jaccard
-similarity of `similarity` (0.8) or more to it, whether that earlier line stays or not. The query and apply() treat every line
-that holds words; removals() leaves lines of fewer than `min_tokens` different words alone.
+A line's tokens are its different words, told apart by 62-bit hashes. A line that holds words is removed if an earlier line (by
+document id, then place) has a Jaccard similarity of 0.8 or more to it, whether that earlier line stays or not.
 
 1. Word frequencies over all texts; words of 16 or more uses, up to `max_ranked` of them, are ranked by frequency. Tokens of a
    line stand in the order of rarity: unranked words by their hash, then the ranked ones. Any order keeps the join exact.
-2. Prefix filter: a line of n tokens is posted under its first n - ceil(0.8 n) + 1 tokens. Equal token sets are posted once.
-   Sets of one to three tokens are similar to equal ones only (3 of 4 is 0.75, but 4 of 5 is 0.8) and need no postings.
-3. Lines under the same token are compared by length, by the overlap that their positions still allow, and by a bitmap of
-   their tokens (differing bits need differing tokens). Each line's earliest partner under each token is verified with whole
-   token sets; lines without a verified partner that had more partners then meet all of those.
-4. Lines whose set has an earlier equal or similar one go.
-
-Scale: postings are combined in each task before the shuffle; a token that may hold more than `block` postings is dealt in tiles
-of that size; only sets that are candidates (found by a fixed-size Bloom filter) are fetched for verification; removals reach
-documents by an equi-join. Nothing is capped: step 3's second part takes every remaining pair.
+2. One pass over the texts writes a row for each line: its place, a hash of its set, a bitmap of 128 bits, and its tokens (ranks
+   as 32-bit integers, other words as hashes). Every later step reads these rows, the texts only when lines are cut out.
+3. Prefix filter: a set of n tokens is posted under its first n - ceil(0.8 n) + 1 tokens, equal sets once in a task. Sets of
+   one to three tokens are similar to equal ones only (3 of 4 is 0.75, but 4 of 5 is 0.8) and need no postings.
+4. Sets under the same token stand in the order of their sizes. A set meets those up to 1.25 times its size, as long as the
+   token is among its own first n - ceil(8 n / 9) + 1, which suffices for the smaller set of a similar pair; the overlap that
+   positions still allow and the bitmaps (differing bits need differing tokens) decide who is a candidate.
+5. Each set's earliest candidate under each token is verified with whole token sets; sets without a verified partner that had
+   more candidates then meet all of those.
+6. Lines whose set has an earlier equal or similar one go.
+
+Scale: a token with more than `block` postings is dealt in tiles of that size; only sets that are candidates (found by a
+fixed-size Bloom filter) are fetched for verification; removals reach documents by an equi-join. Nothing is capped: step 5's
+second part takes every remaining pair. Texts are read in chunks of some megabytes; no words are remembered between them.
 
 Defined results: null and empty texts have one line without words, which stays; rows with equal id and text are the same
 document and get equal results; lines at one place of different texts with equal ids are ordered by a hash; null ids come first;
-an empty table gives an empty result; other columns are passed through by apply().
+an empty table gives an empty result; other columns are passed through by apply(), whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.candidates import bloom, compare, may_hold
-from ledgerlake.llm.common import map_arrow, pick, saved, table, texts_of
+from ledgerlake.llm.candidates import PAIRS, bloom, in_groups, may_hold, pairs_batch
+from ledgerlake.llm.common import map_arrow, mix64, pick, saved, table
+from ledgerlake.llm.word_memory import Memory
+from ledgerlake.llm.words import Words, chunks
 
-SIMILARITY = (4, 5)  #: as a fraction
-MIN_TOKENS = 5
 EQUAL_ONLY = 3  #: sets of so many tokens at most have no similar ones but equal ones
 MIN_USES = 16
 MAX_RANKED = 1 << 17
 BLOCK = 20_000
 RANKED = 1 << 62
+HIGH = np.uint64(0xFFFFFFFF00000000)
 
-WORDS = "word long, n long"
+#: rank and rest: the line's tokens, ascending. text_hash tells texts with equal ids apart.
+LINES = "doc long, text_hash long, line int, set long, n int, b0 long, b1 long, rest array<long>, rank array<int>"
 #: token: a hash of the token and a tile; shape: the size of the set and the token's place in it (32 bits each).
-POSTINGS = "token long, set long, doc long, line int, shape long, b0 long, b1 long, b2 long"
-BITS = ["b0", "b1", "b2"]
+POSTINGS = "token long, set long, doc long, line int, shape long, b0 long, b1 long"
 _NULL_DOC = -(1 << 63)
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 2
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (a hash), n: the uses of every word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in seen], pa.int64()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            found = [w.hashes() >> np.uint64(2) for w in chunks(batch.column("text"))]
+            word, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"]) if len(word) else None
 
-        for batch in batches:
-            for t in texts_of(batch):
-                seen.update(t.encode("utf-8", "surrogatepass").split())
-                if len(seen) > 500_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+        return f
 
-    return pick(docs, "text").mapInArrow(run, WORDS).groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(pick(docs, "text"), "word long, n long", make).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def known_words(docs: DataFrame, max_ranked: int = MAX_RANKED) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and uses of at most max_ranked frequent words, the rarest first; and a filter of all words used twice or more."""
+    """At most max_ranked frequent words, the rarest first; and a filter of all words used twice or more."""
     again = saved(word_counts(docs).where("n > 1"), "words")
     often = again.where(F.col("n") >= MIN_USES)
     sizes = {r.b: r.c for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("c")).collect()}
-    total, least = 0, 64
+    total, least = 0, 62
     for b in sorted(sizes, reverse=True):
         if (total := total + sizes[b]) > max_ranked:
             break
         least = b
-    top = often.where(F.col("n") >= (1 << least if least < 63 else 1 << 62)).toArrow()
+    top = often.where(F.col("n") >= (1 << least)).toArrow()
     word, n = (top.column(c).to_numpy() for c in ("word", "n"))
-    order = np.lexsort((word, n))
-    return np.stack([word[order], n[order]]), bloom(again, "word")
+    return word[np.lexsort((word, n))].view(np.uint64), bloom(again, "word")
+
+
+class Ranks:
+    """Token keys of word hashes: RANKED and the rank, or the hash."""
+
+    def __init__(self, ranked: np.ndarray):
+        self.memory = Memory(max(1, len(ranked)))
+        self.memory.add(ranked << np.uint64(2))
+
+    def keys(self, words: np.ndarray) -> np.ndarray:
+        rank = self.memory.find(words << np.uint64(2))
+        return np.where(rank >= 0, rank.astype(np.uint64) + np.uint64(RANKED), words)
+
+
+def sets_of(w: Words, ranks: Ranks) -> dict[str, np.ndarray]:
+    """The lines of a chunk that hold words: text, line, n, set (hash), b0, b1; and key: their different tokens, ascending."""
+    line = w.lines()
+    count = w.line_counts()
+    row = (np.cumsum(count) - count)[w.text] + line  # every line of the chunk has a number
+    key = ranks.keys(w.hashes() >> np.uint64(2))
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    key, row, at = key[new], row[new], order[new]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.r_[first, len(row)])
+    out = {"text": w.text[at[first]], "line": line[at[first]], "n": n, "key": key}
+    with np.errstate(over="ignore"):
+        mixed = mix64(key)
+        out["set"] = mix64(np.add.reduceat(mixed, first) + n.astype(np.uint64)) if len(first) else mixed
+        place = mixed >> np.uint64(57)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        for k in (0, 1):
+            out[f"b{k}"] = np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), first) if len(first) else mixed
+    return out
+
+
+def _lists(flat: np.ndarray, row: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(flat, kind))
+
+
+def lines_of(docs: DataFrame, ranked: np.ndarray) -> DataFrame:
+    """A row for each line that holds words."""
+    held = docs.sparkSession.sparkContext.broadcast(ranked)  # at most MAX_RANKED words
+    rows = pick(docs, "doc_id", "text").select(doc_key().alias("doc"), "text", text_key().alias("text_hash"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, names = Ranks(held.value), [x.split()[0] for x in LINES.split(", ")]
+        for batch in batches:
+            doc, text_hash = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
+            for w in chunks(batch.column("text")):
+                s = sets_of(w, ranks)
+                if not len(s["n"]):
+                    continue
+                own, at = np.repeat(np.arange(len(s["n"])), s["n"]), s["text"] + w.first
+                often = s["key"] >= np.uint64(RANKED)
+                rest = _lists(s["key"][~often].view(np.int64), own[~often], len(s["n"]), pa.int64())
+                rank = _lists((s["key"][often] - np.uint64(RANKED)).astype(np.int32), own[often], len(s["n"]), pa.int32())
+                cols = [doc[at], text_hash[at], s["line"].astype(np.int32), s["set"].view(np.int64), s["n"].astype(np.int32), s["b0"].view(np.int64), s["b1"].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), rest, rank], names)
 
-class Lines:
-    """Token sets of lines, with what the word hashes were remembered."""
+    return rows.mapInArrow(run, LINES)
 
-    def __init__(self, ranked: np.ndarray, min_tokens: int):
-        self.ranked = {w: k + 1 for k, w in enumerate(ranked[0].tolist())}
-        self.min_tokens, self.keys = min_tokens, {}
 
-    def sets(self, text: str) -> Iterator[tuple[int, list[int]]]:
-        """(line, sorted token keys) of the lines that have tokens enough."""
-        keys, ranked = self.keys, self.ranked
-        if len(keys) > 800_000:
-            keys.clear()
-        for at, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-            words = set(line.split())
-            if len(words) < self.min_tokens:
-                continue
-            own = []
-            for w in words:
-                if (k := keys.get(w)) is None:
-                    h = word_hash(w)
-                    k = keys[w] = RANKED + ranked[h] if h in ranked else h
-                own.append(k)
-            own.sort()
-            yield at, own
+def doc_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_DOC))
 
 
-_SHARED: dict[tuple, Lines] = {}
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def shared_lines(ranked: np.ndarray, min_tokens: int) -> Lines:
-    """One object for all tasks that a Python worker runs with these ranks, so later ones find words that earlier ones met."""
-    key = (xxhash.xxh3_64_intdigest(ranked.tobytes()), min_tokens)
-    if key not in _SHARED:
-        _SHARED.clear()
-        _SHARED[key] = Lines(ranked, min_tokens)
-    return _SHARED[key]
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row of each value) of a column of lists."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), size)
 
 
-def set_hash(keys: list[int]) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(np.array(keys, dtype="<i8").tobytes()), "big", signed=True)
+def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row, place) of the tokens of lines, in the order of rarity."""
+    rest, a = _flat(batch.column("rest"))
+    rank, b = _flat(batch.column("rank"))
+    key, row = np.concatenate([rest.astype(np.int64), rank.astype(np.int64) + RANKED]), np.concatenate([a, b])
+    order = np.argsort(row, kind="stable")
+    key, row = key[order].view(np.uint64), row[order]
+    return key, row, np.arange(len(row)) - np.searchsorted(row, row)
 
 
-def prefix(n: int) -> int:
-    a, b = SIMILARITY
-    return n - -(-a * n // b) + 1
+def _prefix(n: np.ndarray) -> np.ndarray:
+    return n + 1 - -(-4 * n // 5)
 
 
-def postings(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], min_tokens: int = MIN_TOKENS, block: int = BLOCK, only: np.ndarray | None = None) -> DataFrame:
-    """Rows of lines' sets under the tokens of their prefixes. Words used once have no other line and are left out. only: a filter of token hashes."""
-    min_tokens = max(min_tokens, EQUAL_ONLY + 1)
-    held = docs.sparkSession.sparkContext.broadcast((*words, only))  # at most MAX_RANKED words and filters of a fixed size
+def _short_prefix(n: np.ndarray) -> np.ndarray:
+    return n + 1 - -(-8 * n // 9)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, again, some = held.value
-        lines = shared_lines(own, min_tokens)
-        uses = {k + 1: n for k, n in enumerate(own[1].tolist()) if n > block}
-        first: dict[int, tuple] = {}
-
-        def out() -> pa.RecordBatch:
-            n = np.array([len(keys) for _, _, keys in first.values()])
-            bits = np.zeros((len(n), len(BITS)), dtype=np.uint64)
-            flat = np.fromiter((k for _, _, keys in first.values() for k in keys), dtype=np.uint64, count=n.sum())
-            with np.errstate(over="ignore"):
-                at = (((flat * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(64 * len(BITS))) >> np.uint64(32)
-            np.bitwise_or.at(bits, (np.repeat(np.arange(len(n)), n), (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row = np.repeat(np.arange(len(n)), n)
-            keep = place < np.array([prefix(x) for x in n])[row]
-            rare = flat < np.uint64(RANKED)
-            keep[keep & rare] = may_hold(again, flat[keep & rare])
-            key, place, row = flat[keep], place[keep], row[keep]
-            with np.errstate(over="ignore"):
-                token = key * np.uint64(0xD6E8FEB86659FD93)
-            if some is not None:
-                keep = may_hold(some, token & np.uint64(0xFFFFFFFF00000000))
-                key, place, row, token = key[keep], place[keep], row[keep], token[keep]
-            token = (token & np.uint64(0xFFFFFFFF00000000)).view(np.int64)
-            sets = np.fromiter(first, dtype=np.int64, count=len(n))
-            if uses:
-                tiles = np.array([-(-uses.get(int(k) - RANKED, 1) // block) for k in key], dtype=np.int64)
-                times = np.where(tiles > 1, tiles, 1)
-                c = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                place, row, token, tiles = (np.repeat(v, times) for v in (place, row, token, tiles))
-                b = sets[row] % tiles
-                token = token + np.where(tiles > 1, np.maximum(b, c) * tiles + np.minimum(b, c) + 1, 0)  # a tile for each pair of blocks
-            docs_, lines_ = (np.array([v[k] for v in first.values()], dtype=np.int64) for k in (0, 1))
-            cols = [token, sets[row], docs_[row], lines_[row].astype(np.int32), n[row].astype(np.int64) << 32 | place, *(bits[row, k].view(np.int64) for k in range(len(BITS)))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in POSTINGS.split(", ")])
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                doc = _NULL_DOC if doc is None else doc
-                for line, keys in lines.sets(text):
-                    s = set_hash(keys)
-                    was = first.get(s)
-                    if was is None or (doc, line) < was[:2]:
-                        first[s] = (doc, line, keys)
-                if len(first) > 20_000:
-                    yield out()
-                    first.clear()
-        if first:
-            yield out()
+def _mixed(key: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(key) & HIGH
 
-    return _ids(docs).mapInArrow(run, POSTINGS)
 
+def posted_tokens(batch: pa.RecordBatch, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row, place) of the prefixes of a batch of lines; equal sets once. Words used once have no other line and are left out."""
+    n = batch.column("n").to_numpy()
+    doc, line, own = (batch.column(c).to_numpy() for c in ("doc", "line", "set"))
+    order = np.lexsort((line, doc, own))
+    once = np.zeros(len(n), dtype=bool)
+    once[order] = np.r_[True, own[order][1:] != own[order][:-1]]
+    key, row, place = tokens_of(batch)
+    keep = (place < _prefix(n)[row]) & (once & (n > EQUAL_ONLY))[row]
+    key, row, place = key[keep], row[keep], place[keep]
+    keep = key >= np.uint64(RANKED)
+    keep[~keep] = may_hold(again, key[~keep].view(np.int64))
+    return key[keep], row[keep], place[keep]
 
-def _ids(docs: DataFrame, *more: str) -> DataFrame:
-    return pick(docs, "doc_id", "text", *more).withColumn("doc_id", F.col("doc_id").cast("long"))
 
+def popular(lines: DataFrame, again, block: int = BLOCK) -> dict[int, int]:
+    """Postings of each ranked token (by its 32-bit hash) that has more than `block` of them; at most MAX_RANKED rows."""
 
-def _bit_counts(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(np.ascontiguousarray(x).view(np.uint64)).astype(np.int64)
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            key, _, _ = posted_tokens(batch, again.value)
+            token, n = np.unique(_mixed(key[key >= np.uint64(RANKED)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"]) if len(n) else None
 
+        return f
 
-def _passing(size, place, bits, y, x) -> np.ndarray:
-    """Which pairs of rows (y, x) may be similar: length, positional and bitmap filters."""
-    a, b = SIMILARITY
-    small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-    total = small + large
-    need = -(-a * total // (a + b))  # shared tokens
-    most = np.minimum(size[x] - place[x], size[y] - place[y])
-    shared_before = np.minimum(place[x], place[y])
-    ok = (b * small >= a * large) & (most + shared_before >= need)
-    at = np.flatnonzero(ok)
-    ok[at] = _bit_counts(bits[x[at]] ^ bits[y[at]]).sum(axis=1) <= (total - 2 * need)[at]
-    return ok
+    sums = map_arrow(lines.select("doc", "line", "set", "n", "rest", "rank"), "token long, n long", make).groupBy("token").agg(F.sum("n").alias("n"))
+    return {r.token: r.n for r in sums.where(F.col("n") > block).collect()}
 
 
-def _columns(t: pa.Table) -> dict[str, np.ndarray]:
-    shape = t.column("shape").to_numpy()
-    col = {"size": shape >> 32, "place": shape & 0xFFFFFFFF} | ({"wanted": t.column("wanted").to_numpy()} if "wanted" in t.column_names else {})
-    return col | {"bits": np.stack([t.column(b).to_numpy() for b in BITS], axis=1)}
+def postings(lines: DataFrame, again, uses: dict[int, int], block: int = BLOCK, only: np.ndarray | None = None) -> DataFrame:
+    """Rows of lines' sets under the tokens of their prefixes. only: a filter of token hashes."""
+    held = lines.sparkSession.sparkContext.broadcast((uses, only))  # at most MAX_RANKED tokens and a filter of a fixed size
 
+    def make():
+        uses, some = held.value
+        hot = np.array(sorted(uses), dtype=np.int64)
+        tiles_of_hot = np.array([-(-uses[t] // block) for t in hot.tolist()], dtype=np.int64)
 
-def partners(posted: DataFrame, every: bool) -> DataFrame:
-    """x, y, more: lines' sets and an earlier set that may be similar. Not every: the earliest one under each token; more tells that there are others."""
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            key, row, place = posted_tokens(batch, again.value)
+            token = _mixed(key)
+            if some is not None:
+                keep = may_hold(some, token.view(np.int64))
+                row, place, token = row[keep], place[keep], token[keep]
+            token, own = token.view(np.int64), batch.column("set").to_numpy()
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                times = np.where(hot[at] == token, tiles_of_hot[at], 1)
+                c = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, place, token, tiles = (np.repeat(v, times) for v in (row, place, token, times))
+                b = (own[row].view(np.uint64) % tiles.astype(np.uint64)).astype(np.int64)
+                token = token + np.where(tiles > 1, np.maximum(b, c) * tiles + np.minimum(b, c) + 1, 0)  # a tile for each pair of blocks
+            if not len(row):
+                return None
+            shape = batch.column("n").to_numpy().astype(np.int64)[row] << 32 | place
+            take = pa.array(row)
+            return pa.RecordBatch.from_arrays([pa.array(token), *(batch.column(c).take(take) for c in ("set", "doc", "line")), pa.array(shape), *(batch.column(c).take(take) for c in ("b0", "b1"))], [x.split()[0] for x in POSTINGS.split(", ")])
+
+        return f
+
+    return map_arrow(lines, POSTINGS, make)
+
+
+def _meet(t: pa.Table, group: np.ndarray, every: bool) -> pa.RecordBatch | None:
+    """Candidates of rows that stand by group, then size. Not every: each later set with its earliest candidate, and whether it had more."""
+    own, doc, line, shape = (t.column(c).to_numpy() for c in ("set", "doc", "line", "shape"))
+    wanted = t.column("wanted").to_numpy() if every else None
+    bits = np.stack([t.column(b).to_numpy().view(np.uint64) for b in ("b0", "b1")], axis=1)
+    when = np.empty(len(own), dtype=np.int64)  # the order of the documents
+    when[np.lexsort((own, line, doc))] = np.arange(len(own))
+    order = np.lexsort((when, own, group))
+    keep = np.zeros(len(own), dtype=bool)  # a set that several tasks have posted: its earliest row
+    keep[order] = np.r_[True, (group[order][1:] != group[order][:-1]) | (own[order][1:] != own[order][:-1])]
+    keep = np.flatnonzero(keep)
+    own, shape, bits, when, group = own[keep], shape[keep], bits[keep], when[keep], group[keep]
+    wanted = wanted[keep] if every else None
+    size, place = shape >> 32, shape & 0xFFFFFFFF
+    n = len(own)
+    best, count, pairs = np.full(n, np.iinfo(np.int64).max), np.zeros(n, dtype=np.int64), []
+    left, d = np.flatnonzero(place < _short_prefix(size)), 1
+    while True:
+        left = left[left + d < n]
+        other = left + d
+        left = left[(group[left] == group[other]) & (5 * size[left] >= 4 * size[other])]
+        if not len(left):
+            break
+        a, b = left, left + d
+        total = size[a] + size[b]
+        need = -(-4 * total // 9)  # shared tokens
+        ok = np.minimum(size[a] - place[a], size[b] - place[b]) + np.minimum(place[a], place[b]) >= need
+        a, b, most = a[ok], b[ok], (total - 2 * need)[ok]
+        ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most
+        a, b = a[ok], b[ok]
+        swap = when[a] < when[b]
+        x, y = np.where(swap, b, a), np.where(swap, a, b)
+        if every:
+            ok = wanted[x] > 0
+            pairs.append((x[ok], y[ok]))
+        else:
+            np.minimum.at(best, x, when[y])
+            np.add.at(count, x, 1)
+        d += 1
+    if every:
+        x, y = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+        return pairs_batch(own[x], own[y], np.zeros(len(x), dtype=bool))
+    x = np.flatnonzero(count)
+    back = np.zeros(int(when.max()) + 1, dtype=np.int64)
+    back[when] = np.arange(n)
+    return pairs_batch(own[x], own[back[best[x]]], count[x] > 1)
 
-    def passing(col: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        ok = _passing(col["size"], col["place"], col["bits"], y, x)
-        return ok & (col["wanted"][x] > 0) if every else ok
 
-    return compare(posted, ["token"], ["doc", "line", "set"], "set", _columns, passing, every=every)
+def partners(posted: DataFrame, every: bool) -> DataFrame:
+    """x, y, more: a set and an earlier one that may be similar. Not every: the earliest one under each token; more tells that there are others."""
+    return in_groups(posted.withColumn("size", F.shiftright("shape", 32)), ["token"], ["size"], lambda t, group: _meet(t, group, every), PAIRS)
 
 
-def similar(docs: DataFrame, pairs: DataFrame, ranked: np.ndarray, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """x, y of the pairs whose whole token sets are similar."""
-    spark, min_tokens = docs.sparkSession, max(min_tokens, EQUAL_ONLY + 1)
     ids = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
-    held, ranks_ = spark.sparkContext.broadcast(bloom(ids, "set")), spark.sparkContext.broadcast(ranked)
+    held = lines.sparkSession.sparkContext.broadcast(bloom(ids, "set"))
 
     def make():
-        lines, seen = shared_lines(ranks_.value, min_tokens), set()
-
         def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            sets, keys = [], []
-            for t in texts_of(batch):
-                for _, own in lines.sets(t):
-                    sets.append(set_hash(own))
-                    keys.append(own)
-            at = np.flatnonzero(may_hold(held.value, np.array(sets, dtype=np.int64))) if sets else []
-            at = [i for i in at if sets[i] not in seen and not seen.add(sets[i])]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([sets[i] for i in at], pa.int64()), pa.array([np.array(keys[i], dtype="<i8").tobytes() for i in at], pa.binary())], ["set", "tokens"]) if at else None
+            sets = batch.column("set").to_numpy()
+            at = np.flatnonzero(may_hold(held.value, sets))
+            at = at[np.unique(sets[at], return_index=True)[1]]
+            return batch.take(pa.array(at)) if len(at) else None
 
         return f
 
-    found = map_arrow(pick(docs, "text"), "set long, tokens binary", make).dropDuplicates(["set"]).join(ids, "set", "left_semi")
+    schema = "set long, rest array<long>, rank array<int>"
+    found = map_arrow(lines.select("set", "rest", "rank"), schema, make).dropDuplicates(["set"]).join(ids, "set", "left_semi")
     found = saved(found, "candidate-sets")
-    both = pairs.select("x", "y").join(found.select(F.col("set").alias("x"), F.col("tokens").alias("tx")), "x").join(found.select(F.col("set").alias("y"), F.col("tokens").alias("ty")), "y")
+    x = found.select(F.col("set").alias("x"), F.col("rest").alias("rest_x"), F.col("rank").alias("rank_x"))
+    y = found.select(F.col("set").alias("y"), F.col("rest").alias("rest_y"), F.col("rank").alias("rank_y"))
+    both = pairs.select("x", "y").join(x, "x").join(y, "y")
 
     def verify():
-        a, b = SIMILARITY
-
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ok = []
-            for tx, ty in zip(batch.column("tx").to_pylist(), batch.column("ty").to_pylist(), strict=True):
-                n = len(np.intersect1d(np.frombuffer(tx, "<i8"), np.frombuffer(ty, "<i8"), assume_unique=True))
-                ok.append(b * n >= a * ((len(tx) + len(ty)) // 8 - n))
-            return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(ok)], ["x", "y", "ok"]).filter(pa.array(ok)).select(["x", "y"])
+            shared, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+            for c in ("rest", "rank"):
+                a, b = _flat(batch.column(f"{c}_x")), _flat(batch.column(f"{c}_y"))
+                value, row = (np.concatenate(p) for p in zip(a, b, strict=True))
+                order = np.lexsort((value, row))
+                value, row = value[order], row[order]
+                twice = row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])]
+                shared += np.bincount(twice, minlength=batch.num_rows)
+                total += np.bincount(row, minlength=batch.num_rows)
+            return batch.select(["x", "y"]).filter(pa.array(5 * shared >= 4 * (total - shared)))
 
         return f
 
-    return map_arrow(both.select("x", "y", "tx", "ty"), "x long, y long", verify)
+    return map_arrow(both.select("x", "y", "rest_x", "rank_x", "rest_y", "rank_y"), "x long, y long", verify)
 
 
-def late_sets(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], *, min_tokens: int = MIN_TOKENS, block: int = BLOCK) -> DataFrame:
+def late_sets(lines: DataFrame, again_: np.ndarray, *, block: int = BLOCK) -> DataFrame:
     """set: the token sets that have an earlier similar one."""
-    posted = postings(docs, words, min_tokens, block)
+    again = lines.sparkSession.sparkContext.broadcast(again_)  # of a fixed size
+    uses = popular(lines, again, block)
+    posted = postings(lines, again, uses, block)
     pairs = saved(partners(posted, every=False).groupBy("x", "y").agg(F.max("more").alias("more")), "line-pairs")
-    late = saved(similar(docs, pairs, words[0], min_tokens).select("x").distinct(), "late-lines")
+    late = saved(similar(lines, pairs).select("x").distinct(), "late-lines")
     open_ = saved(pairs.where("more").select("x").distinct().join(late, "x", "left_anti"), "open-lines")
     if open_.isEmpty():
         return late.select(F.col("x").alias("set"))
     wanted = open_.select(F.col("x").alias("set"), F.lit(1).alias("wanted"))
-    tokens = saved(posted.join(wanted, "set").select("token").distinct(), "open-tokens")
-    high = bloom(tokens.select(F.col("token").bitwiseAND(F.lit(-(1 << 32))).alias("h")), "h")
-    flagged = postings(docs, words, min_tokens, block, only=high).join(tokens, "token", "left_semi").join(wanted, "set", "left")
-    flagged = flagged.select(*posted.columns, F.coalesce("wanted", F.lit(0)).alias("wanted"))
-    rest = saved(partners(flagged, every=True).select("x", "y").distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "more-line-pairs")
-    return late.unionByName(similar(docs, rest, words[0], min_tokens).select("x").distinct()).select(F.col("x").alias("set"))
-
-
-def removals(docs: DataFrame, *, min_tokens: int = MIN_TOKENS, max_ranked: int = MAX_RANKED, block: int = BLOCK) -> DataFrame:
-    """doc_id, text_hash, n_lines, removed array<int>: a row for each document, with the places of the lines that go."""
-    words = known_words(docs, max_ranked)
-    late = saved(late_sets(docs, words, min_tokens=min_tokens, block=block), "late-sets")
-    held = docs.sparkSession.sparkContext.broadcast(words[0])
+    held = lines.sparkSession.sparkContext.broadcast(bloom(open_, "x"))
 
     def make():
-        lines = shared_lines(held.value, min_tokens)
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, at, sets = [], [], []
-            for t in texts_of(batch):
-                found = list(lines.sets(t))
-                n.append(t.count("\n") + 1)
-                at.append([k for k, _ in found])
-                sets.append([set_hash(own) for _, own in found])
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_lines", "at", "sets"])
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            return batch.filter(pa.array(may_hold(held.value, batch.column("set").to_numpy())))
 
         return f
 
-    rows = map_arrow(_ids(docs).withColumn("text_hash", _text_hash()), "doc_id long, text_hash long, n_lines long, at array<int>, sets array<long>", make)
-    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "lines")
-    lines = rows.select("row", F.coalesce("doc_id", F.lit(_NULL_DOC)).alias("doc"), "text_hash", F.explode(F.arrays_zip("at", "sets")).alias("l"))
-    lines = lines.select("row", F.col("l.sets").alias("set"), F.struct("doc", F.col("l.at").alias("line"), "text_hash").alias("place"))
+    some = map_arrow(lines, LINES, make)
+    tokens = saved(postings(some, again, uses, block).join(wanted, "set", "left_semi").select("token").distinct(), "open-tokens")
+    high = bloom(tokens.select(F.col("token").bitwiseAND(F.lit(-(1 << 32))).alias("h")), "h")
+    flagged = postings(lines, again, uses, block, only=high).join(tokens, "token", "left_semi").join(wanted, "set", "left")
+    flagged = flagged.select(*posted.columns, F.coalesce("wanted", F.lit(0)).alias("wanted"))
+    rest = saved(partners(flagged, every=True).select("x", "y").distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "more-line-pairs")
+    return late.unionByName(similar(lines, rest).select("x").distinct()).select(F.col("x").alias("set"))
+
+
+def removed_lines(docs: DataFrame, *, max_ranked: int = MAX_RANKED, block: int = BLOCK) -> DataFrame:
+    """doc, text_hash, removed array<int>: the places of the lines that go, for each different document that loses any."""
+    ranked, again = known_words(docs, max_ranked)
+    rows = saved(lines_of(docs, ranked), "lines")
+    late = saved(late_sets(rows, again, block=block), "late-sets")
+    lines = rows.select("doc", "text_hash", "set", F.struct("doc", "line", "text_hash").alias("place"))
     first = lines.groupBy("set").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     first = first.join(late.withColumn("late", F.lit(True)), "set", "left").where("late OR n > 1").select("set", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    gone = lines.join(first, "set").where("late OR place <> first").groupBy("row").agg(F.array_sort(F.collect_set("place.line")).alias("removed"))
-    out = rows.select("row", "doc_id", "text_hash", "n_lines").join(gone, "row", "left")
-    return out.select("doc_id", "text_hash", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    gone = lines.join(first, "set").where("late OR place <> first")
+    return gone.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("place.line")).alias("removed"))
+
+
+def _with_removed(docs: DataFrame, **options) -> tuple[DataFrame, Column]:
+    """docs under names of their own (c0, c1, ...), joined with what goes from them; and the list of places."""
+    gone = saved(removed_lines(docs, **options), "removed-lines")
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    at = {c: F.col(f"c{k}") for k, c in enumerate(docs.columns)}
+    keyed = own.withColumn("own_doc", F.coalesce(at["doc_id"].cast("long"), F.lit(_NULL_DOC))).withColumn("own_text", F.xxhash64(F.coalesce(at["text"], F.lit(""))))
+    joined = keyed.join(gone, (F.col("own_doc") == F.col("doc")) & (F.col("own_text") == F.col("text_hash")), "left")
+    return joined, at
 
 
-def _text_hash():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def removals(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_lines, removed array<int>: a row for each document, with the places of the lines that go."""
+    joined, at = _with_removed(pick(docs, "doc_id", "text"), **options)
+    text = F.coalesce(at["text"], F.lit(""))
+    n = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return joined.select(at["doc_id"].cast("long").alias("doc_id"), n.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def apply(docs: DataFrame, *, min_tokens: int = 1, **options) -> DataFrame:
+def apply(docs: DataFrame, **options) -> DataFrame:
     """docs with the removed lines cut out of text; a null text stays null."""
-    gone = saved(removals(docs, min_tokens=min_tokens, **options).where(F.size("removed") > 0).dropDuplicates(["doc_id", "text_hash"]), "removed-lines")
-    gone = gone.select(F.col("doc_id").alias("_gone_doc"), F.col("text_hash").alias("_gone_hash"), F.col("removed").alias("_gone"))
-    joined = docs.withColumn("_text_hash", _text_hash()).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.col("_text_hash") == F.col("_gone_hash")), "left")
-    lines = F.split("text", "\n")
-    left = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)))
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    joined, at = _with_removed(docs, **options)
+    left = F.concat_ws("\n", F.filter(F.split(at["text"], "\n"), lambda x, i: ~F.array_contains("removed", i)))
+    cut = F.when(F.col("removed").isNull(), at["text"]).otherwise(left)
+    return joined.select(*[(cut if c == "text" else at[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = removals(table(spark, sf_dir, "documents"), min_tokens=1)
+    gone = removals(table(spark, sf_dir, "documents"))
     return gone.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", "removed").alias("removed_lines"))

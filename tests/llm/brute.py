@@ -5,14 +5,14 @@ import math
 from collections import Counter, defaultdict
 
 
-def similar_lines(docs, min_tokens=5):
+def similar_lines(docs):
     """{doc_id: places of removed lines} of [(doc_id, text)] with different ids: a line goes if an earlier one has Jaccard 0.8."""
     seen, out = [], {}
     for doc, text in sorted(docs):
         gone = []
         for k, line in enumerate((text or "").encode().split(b"\n")):
             s = frozenset(line.split())
-            if len(s) < min_tokens:
+            if not s:
                 continue
             if any(5 * len(s & t) >= 4 * len(s | t) for t in seen):
                 gone.append(k)

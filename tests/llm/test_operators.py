@@ -149,12 +149,12 @@ def test_line_dedup_short_lines(spark, sf_dir):
     texts = ["a\na b\na b c\na b c d", "b a\nd c b a e\n\nc a b x\na a", "a b c\nd a b c e f\n \n a ", "e f g h i\ni h g f\ng f i"]
     rows = [(k, t, "en", "a", 0, "", "") for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, DOC)
-    want = brute.similar_lines([(r[0], r[1]) for r in rows], min_tokens=1)
+    want = brute.similar_lines([(r[0], r[1]) for r in rows])
     assert want == {0: [], 1: [0, 1, 4], 2: [0, 1, 3], 3: [1]}  # four of five words are similar, three of four aren't
-    assert {r.doc_id: list(r.removed) for r in line_dedup.removals(docs, min_tokens=1).collect()} == want
+    assert {r.doc_id: list(r.removed) for r in line_dedup.removals(docs).collect()} == want
     left = {r.doc_id: r.text for r in line_dedup.apply(docs).collect()}
     assert left == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[k]) for k, t in enumerate(texts)}
-    whole = brute.similar_lines(documents(spark, sf_dir), min_tokens=1)
+    whole = brute.similar_lines(documents(spark, sf_dir))
     got = {r.doc_id: r.removed_lines for r in line_dedup.query(spark, sf_dir).collect()}
     assert got == {d: ",".join(map(str, gone)) for d, gone in whole.items()}
 
@@ -162,6 +162,8 @@ def test_line_dedup_short_lines(spark, sf_dir):
 def test_line_dedup_odd_rows(spark):
     out = line_dedup.apply(odd_documents(spark))
     assert out.columns == odd_documents(spark).columns and out.count() == 11
+    clash = odd_documents(spark).toDF("doc_id", "text", "_gone", "removed", "text_hash", "doc", "own_doc")
+    assert line_dedup.apply(clash).columns == clash.columns and line_dedup.apply(clash).where("removed = 'src'").count() == 10
     assert line_dedup.removals(odd_documents(spark).limit(0)).count() == 0
 
 
