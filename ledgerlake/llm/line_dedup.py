@@ -12,8 +12,8 @@ document id, then place) has a Jaccard similarity of 0.8 or more to it, whether
 4. Sets under the same token stand in the order of their sizes. A set meets those up to 1.25 times its size, as long as the
    token is among its own first n - ceil(8 n / 9) + 1, which suffices for the smaller set of a similar pair; the overlap that
    positions still allow and the bitmaps (differing bits need differing tokens) decide who is a candidate.
-5. Each set's earliest candidate under each token is verified with whole token sets; sets without a verified partner that had
-   more candidates then meet all of those.
+5. Up to FEW candidates of each set under each token, those next in size, are verified with whole token sets; sets without a
+   verified partner that had more candidates then meet all of those.
 6. Lines whose set has an earlier equal or similar one go.
 
 Scale: a token with more than `block` postings is dealt in tiles of that size; only sets that are candidates (found by a
@@ -43,6 +43,7 @@ EQUAL_ONLY = 3  #: sets of so many tokens at most have no similar ones but equal
 MIN_USES = 16
 MAX_RANKED = 1 << 17
 BLOCK = 20_000
+FEW = 64
 RANKED = 1 << 62
 HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -67,8 +68,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(pick(docs, "text"), "word long, n long", make).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def known_words(docs: DataFrame, max_ranked: int = MAX_RANKED) -> tuple[np.ndarray, np.ndarray]:
-    """At most max_ranked frequent words, the rarest first; and a filter of all words used twice or more."""
+def known_words(docs: DataFrame, max_ranked: int = MAX_RANKED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most max_ranked frequent words, the rarest first, and their uses; and a filter of all words used twice or more."""
     again = saved(word_counts(docs).where("n > 1"), "words")
     often = again.where(F.col("n") >= MIN_USES)
     sizes = {r.b: r.c for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("c")).collect()}
@@ -79,7 +80,8 @@ def known_words(docs: DataFrame, max_ranked: int = MAX_RANKED) -> tuple[np.ndarr
         least = b
     top = often.where(F.col("n") >= (1 << least)).toArrow()
     word, n = (top.column(c).to_numpy() for c in ("word", "n"))
-    return word[np.lexsort((word, n))].view(np.uint64), bloom(again, "word")
+    order = np.lexsort((word, n))
+    return word[order].view(np.uint64), n[order], bloom(again, "word")
 
 
 class Ranks:
@@ -100,7 +102,11 @@ def sets_of(w: Words, ranks: Ranks) -> dict[str, np.ndarray]:
     count = w.line_counts()
     row = (np.cumsum(count) - count)[w.text] + line  # every line of the chunk has a number
     key = ranks.keys(w.hashes() >> np.uint64(2))
-    order = np.lexsort((key, row))
+    order = np.argsort(key)
+    if len(row) and row[-1] < 1 << 16:
+        order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]  # numpy deals out 16-bit integers without comparing
+    else:
+        order = np.lexsort((key, row))
     key, row = key[order], row[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
@@ -197,18 +203,23 @@ def posted_tokens(batch: pa.RecordBatch, again: np.ndarray) -> tuple[np.ndarray,
     return key[keep], row[keep], place[keep]
 
 
-def popular(lines: DataFrame, again, block: int = BLOCK) -> dict[int, int]:
-    """Postings of each ranked token (by its 32-bit hash) that has more than `block` of them; at most MAX_RANKED rows."""
+def popular(lines: DataFrame, again, often: int, block: int = BLOCK) -> dict[int, int]:
+    """Postings of each ranked token (by its 32-bit hash) that has more than `block` of them; at most MAX_RANKED rows.
+
+    often: the least rank of words that have as many uses. Few sets are posted under such words.
+    """
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             key, _, _ = posted_tokens(batch, again.value)
-            token, n = np.unique(_mixed(key[key >= np.uint64(RANKED)]), return_counts=True)
+            token, n = np.unique(_mixed(key[key >= np.uint64(RANKED + often)]), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"]) if len(n) else None
 
         return f
 
-    sums = map_arrow(lines.select("doc", "line", "set", "n", "rest", "rank"), "token long, n long", make).groupBy("token").agg(F.sum("n").alias("n"))
+    last = F.expr("n + 1 - ceil(4 * n / 5) - size(rest)")  # the last token of the prefix, counted among the ranked ones from 1
+    some = lines.where(last >= 1).where(F.get("rank", (last - 1).cast("int")) >= often)
+    sums = map_arrow(some.select("doc", "line", "set", "n", "rest", "rank"), "token long, n long", make).groupBy("token").agg(F.sum("n").alias("n"))
     return {r.token: r.n for r in sums.where(F.col("n") > block).collect()}
 
 
@@ -246,22 +257,31 @@ def postings(lines: DataFrame, again, uses: dict[int, int], block: int = BLOCK,
     return map_arrow(lines, POSTINGS, make)
 
 
+def _earliest(group: np.ndarray, own: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The rows without those whose set an earlier row of the group has, as several tasks may have posted a set."""
+    with np.errstate(over="ignore"):
+        key = mix64(own.view(np.uint64) + mix64(group.astype(np.uint64)))
+    order = np.argsort(key)
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    at = np.unique(np.concatenate([order[same], order[same + 1]]))
+    at = at[np.lexsort((line[at], doc[at], own[at], group[at]))]
+    again = at[1:][(group[at][1:] == group[at][:-1]) & (own[at][1:] == own[at][:-1])]
+    keep = np.ones(len(own), dtype=bool)
+    keep[again] = False
+    return np.flatnonzero(keep)
+
+
 def _meet(t: pa.Table, group: np.ndarray, every: bool) -> pa.RecordBatch | None:
-    """Candidates of rows that stand by group, then size. Not every: each later set with its earliest candidate, and whether it had more."""
+    """Candidates of rows that stand by group. Not every: each later set with FEW of its candidates, and whether it had more."""
     own, doc, line, shape = (t.column(c).to_numpy() for c in ("set", "doc", "line", "shape"))
-    wanted = t.column("wanted").to_numpy() if every else None
-    bits = np.stack([t.column(b).to_numpy().view(np.uint64) for b in ("b0", "b1")], axis=1)
-    when = np.empty(len(own), dtype=np.int64)  # the order of the documents
-    when[np.lexsort((own, line, doc))] = np.arange(len(own))
-    order = np.lexsort((when, own, group))
-    keep = np.zeros(len(own), dtype=bool)  # a set that several tasks have posted: its earliest row
-    keep[order] = np.r_[True, (group[order][1:] != group[order][:-1]) | (own[order][1:] != own[order][:-1])]
-    keep = np.flatnonzero(keep)
-    own, shape, bits, when, group = own[keep], shape[keep], bits[keep], when[keep], group[keep]
-    wanted = wanted[keep] if every else None
+    keep = _earliest(group, own, doc, line)
+    keep = keep[np.argsort(group[keep] << 32 | shape[keep] >> 32)]
+    own, doc, line, shape, group = own[keep], doc[keep], line[keep], shape[keep], group[keep]
+    bits = np.stack([t.column(b).to_numpy()[keep].view(np.uint64) for b in ("b0", "b1")], axis=1)
+    wanted = t.column("wanted").to_numpy()[keep] if every else None
     size, place = shape >> 32, shape & 0xFFFFFFFF
     n = len(own)
-    best, count, pairs = np.full(n, np.iinfo(np.int64).max), np.zeros(n, dtype=np.int64), []
+    count, pairs = np.zeros(n, dtype=np.int64), []
     left, d = np.flatnonzero(place < _short_prefix(size)), 1
     while True:
         left = left[left + d < n]
@@ -276,27 +296,22 @@ def _meet(t: pa.Table, group: np.ndarray, every: bool) -> pa.RecordBatch | None:
         a, b, most = a[ok], b[ok], (total - 2 * need)[ok]
         ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most
         a, b = a[ok], b[ok]
-        swap = when[a] < when[b]
-        x, y = np.where(swap, b, a), np.where(swap, a, b)
-        if every:
-            ok = wanted[x] > 0
+        later = (doc[a] > doc[b]) | (doc[a] == doc[b]) & ((line[a] > line[b]) | (line[a] == line[b]) & (own[a] > own[b]))
+        x, y = np.where(later, a, b), np.where(later, b, a)
+        ok = wanted[x] > 0 if every else count[x] < FEW
+        np.add.at(count, x, 1)
+        if ok.any():
             pairs.append((x[ok], y[ok]))
-        else:
-            np.minimum.at(best, x, when[y])
-            np.add.at(count, x, 1)
         d += 1
-    if every:
-        x, y = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-        return pairs_batch(own[x], own[y], np.zeros(len(x), dtype=bool))
-    x = np.flatnonzero(count)
-    back = np.zeros(int(when.max()) + 1, dtype=np.int64)
-    back[when] = np.arange(n)
-    return pairs_batch(own[x], own[back[best[x]]], count[x] > 1)
+    if not pairs:
+        return None
+    x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    return pairs_batch(own[x], own[y], np.zeros(len(x), dtype=bool) if every else count[x] > FEW)
 
 
 def partners(posted: DataFrame, every: bool) -> DataFrame:
-    """x, y, more: a set and an earlier one that may be similar. Not every: the earliest one under each token; more tells that there are others."""
-    return in_groups(posted.withColumn("size", F.shiftright("shape", 32)), ["token"], ["size"], lambda t, group: _meet(t, group, every), PAIRS)
+    """x, y, more: a set and an earlier one that may be similar. Not every: FEW of them under each token; more tells that there are others."""
+    return in_groups(posted, ["token"], [], lambda t, group: _meet(t, group, every), PAIRS)
 
 
 def similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -338,10 +353,10 @@ def similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_arrow(both.select("x", "y", "rest_x", "rank_x", "rest_y", "rank_y"), "x long, y long", verify)
 
 
-def late_sets(lines: DataFrame, again_: np.ndarray, *, block: int = BLOCK) -> DataFrame:
-    """set: the token sets that have an earlier similar one."""
+def late_sets(lines: DataFrame, again_: np.ndarray, often: int, *, block: int = BLOCK) -> DataFrame:
+    """set: the token sets that have an earlier similar one. often: the least rank of words with more than `block` uses."""
     again = lines.sparkSession.sparkContext.broadcast(again_)  # of a fixed size
-    uses = popular(lines, again, block)
+    uses = popular(lines, again, often, block)
     posted = postings(lines, again, uses, block)
     pairs = saved(partners(posted, every=False).groupBy("x", "y").agg(F.max("more").alias("more")), "line-pairs")
     late = saved(similar(lines, pairs).select("x").distinct(), "late-lines")
@@ -368,9 +383,9 @@ def late_sets(lines: DataFrame, again_: np.ndarray, *, block: int = BLOCK) -> Da
 
 def removed_lines(docs: DataFrame, *, max_ranked: int = MAX_RANKED, block: int = BLOCK) -> DataFrame:
     """doc, text_hash, removed array<int>: the places of the lines that go, for each different document that loses any."""
-    ranked, again = known_words(docs, max_ranked)
+    ranked, uses, again = known_words(docs, max_ranked)
     rows = saved(lines_of(docs, ranked), "lines")
-    late = saved(late_sets(rows, again, block=block), "late-sets")
+    late = saved(late_sets(rows, again, int(np.searchsorted(uses, block, side="right")), block=block), "late-sets")
     lines = rows.select("doc", "text_hash", "set", F.struct("doc", "line", "text_hash").alias("place"))
     first = lines.groupBy("set").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     first = first.join(late.withColumn("late", F.lit(True)), "set", "left").where("late OR n > 1").select("set", "first", F.coalesce("late", F.lit(False)).alias("late"))
