@@ -43,7 +43,7 @@ EQUAL_ONLY = 3  #: sets of so many tokens at most have no similar ones but equal
 MIN_USES = 16
 MAX_RANKED = 1 << 17
 BLOCK = 20_000
-FEW = 64
+FEW = 8
 RANKED = 1 << 62
 HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -386,10 +386,12 @@ def removed_lines(docs: DataFrame, *, max_ranked: int = MAX_RANKED, block: int =
     ranked, uses, again = known_words(docs, max_ranked)
     rows = saved(lines_of(docs, ranked), "lines")
     late = saved(late_sets(rows, again, int(np.searchsorted(uses, block, side="right")), block=block), "late-sets")
-    lines = rows.select("doc", "text_hash", "set", F.struct("doc", "line", "text_hash").alias("place"))
-    first = lines.groupBy("set").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    first = first.join(late.withColumn("late", F.lit(True)), "set", "left").where("late OR n > 1").select("set", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    gone = lines.join(first, "set").where("late OR place <> first")
+    again_sets = rows.groupBy("set").agg(F.count("*").alias("n")).where("n > 1").select("set", F.lit(False).alias("late"))
+    marked = again_sets.unionByName(late.withColumn("late", F.lit(True))).groupBy("set").agg(F.max("late").alias("late"))
+    lines = saved(rows.select("doc", "text_hash", "line", "set").join(marked, "set"), "marked-lines")
+    lines = lines.select("doc", "text_hash", "set", "late", F.struct("doc", "line", "text_hash").alias("place"))
+    first = lines.where("NOT late").groupBy("set").agg(F.min("place").alias("first"))
+    gone = lines.where("late").select("doc", "text_hash", "place").unionByName(lines.where("NOT late").join(first, "set").where("place <> first").select("doc", "text_hash", "place"))
     return gone.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("place.line")).alias("removed"))
 
 
