@@ -126,7 +126,7 @@ def may_hold(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ok
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each connected component. edges: x, y.
 
     Each round every node takes the smallest label among its neighbours and then its label's label, so a component of n nodes
@@ -135,7 +135,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = edges.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e")).select("e.a", "e.b")
     both = saved(both.where("a <> b").distinct(), "edges")
     labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = step.select("node", "label", "next").join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next")
@@ -143,4 +143,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("changed").isEmpty():
             return labels
-    raise RuntimeError(f"components weren't found in {most_rounds} rounds")

@@ -27,11 +27,12 @@ def shingles(text, n=5):
 
 
 def near_classes(docs, threshold=0.8, margin=0.0):
-    """{doc_id: smallest id of its class} by all pairs that share a shingle: weighted (exact df) or plain Jaccard."""
+    """{doc_id: smallest id of its class} by all pairs that share a shingle: weighted Jaccard, exact df."""
     sets = {d: shingles(t) for d, t in docs}
     df = Counter(s for c in sets.values() for s in c)
     n = len(docs)
-    idf = {s: 1 + math.log((n + 1) / (k + 1)) / (2 * math.log(n + 2)) for s, k in df.items()}
+    floor = max(1, sum(df.values()) / 2**20)
+    idf = {s: 1 + math.log(n / max(k, floor)) / (4 * math.log(n / floor)) if n > floor else 1 for s, k in df.items()}
     w = {d: {s: (1 + math.log(k)) * idf[s] for s, k in c.items()} for d, c in sets.items()}
     by = defaultdict(list)
     for d, c in sets.items():
@@ -56,12 +57,9 @@ def near_classes(docs, threshold=0.8, margin=0.0):
     for a, b in pairs:
         low = sum(min(v, w[b][s]) for s, v in w[a].items() if s in w[b])
         weighted = low / (sum(w[a].values()) + sum(w[b].values()) - low)
-        common = len(sets[a].keys() & sets[b].keys())
-        plain = common / (len(sets[a]) + len(sets[b]) - common)
-        best = max(weighted, plain)
-        if abs(best - threshold) < margin:
+        if abs(weighted - threshold) < margin:
             border.add((a, b))
-        if best >= threshold:
+        if weighted >= threshold:
             join(a, b)
     same = {}
     for d, t in docs:

@@ -218,6 +218,8 @@ def test_near_dedup_groups_and_odd_rows(spark):
     assert kept.columns == odd_documents(spark).columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 5, 6, 7, 9]
     assert near_dedup.keep_one(docs.limit(0)).count() == 0
+    clash = odd_documents(spark).toDF("doc_id", "text", "_hash", "text_hash", "kept", "own_hash", "c0")
+    assert near_dedup.keep_one(clash).columns == clash.columns
 
 
 def test_sampling_estimates_weighted_jaccard():
@@ -226,8 +228,9 @@ def test_sampling_estimates_weighted_jaccard():
     for _ in range(60):
         s = np.unique(draw.integers(1 << 63, size=300, dtype=np.int64).astype(np.uint64))
         a, b = s[: 3 * len(s) // 4], s[len(s) // 4 :]
-        wa, wb = draw.uniform(1, 3, len(a)), draw.uniform(1, 3, len(b))
-        out = sampler.sample(np.concatenate([a, b]), np.concatenate([wa, wb]), np.array([len(a), len(b)]))
+        la, lb = draw.integers(36, size=len(a)), draw.integers(36, size=len(b))
+        wa, wb = np.exp(la / near_dedup.FINE), np.exp(lb / near_dedup.FINE)
+        out = sampler.sample(np.concatenate([a, b]), np.concatenate([la, lb]), np.array([len(a), len(b)]))
         hits.append((out[0] == out[1]).mean())
         _, i, j = np.intersect1d(a, b, return_indices=True)
         low = np.minimum(wa[i], wb[j]).sum()
