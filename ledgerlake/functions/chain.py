@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.fixed import APPROVAL, BOTS, FLOW_PREFIXES, FLOW_TOKENS, MINT, SWAP, TRANSFER, ZERO_ADDRESS
-from ledgerlake.functions.u256 import limbs_from_hex, to_text
+from ledgerlake.functions.u256 import hex_to_text, let, limbs_from_hex
 
 UNKNOWN_SENDER = "0xunknown"
 CREATION = "0xcontract_creation"
@@ -48,6 +48,11 @@ def decode_uint256(data: Column) -> Column:
     return limbs_from_hex(F.coalesce(data, F.lit("")))
 
 
+def uint256_text(data: Column) -> Column:
+    """The same number as a decimal string."""
+    return hex_to_text(F.coalesce(data, F.lit("")))
+
+
 def abi_words(data: Column) -> Column:
     """The whole 32-byte words of a log's data, as hex."""
     n = F.floor((F.length(data) - 2) / 64).cast("int")
@@ -57,7 +62,7 @@ def abi_words(data: Column) -> Column:
 def parse_numeric(text: Column) -> Column:
     """struct<value, error> of decimal, 0x or scientific notation; value is a canonical decimal string below 2^256."""
     t = F.trim(text)
-    hexes = F.when(t.rlike("^0[xX][0-9a-fA-F]+$") & (F.length(F.regexp_replace(F.regexp_replace(t, "^0[xX]", ""), "^0+", "")) <= 64), to_text(limbs_from_hex(t)))
+    hexes = F.when(t.rlike("^0[xX][0-9a-fA-F]+$") & (F.length(F.regexp_replace(F.regexp_replace(t, "^0[xX]", ""), "^0+", "")) <= 64), hex_to_text(t))
     digits = F.regexp_replace(t, r"^\+", "")
     plain = F.when(digits.rlike("^[0-9]+$"), F.regexp_replace(digits, "^0+(?=.)", ""))
     mantissa, power = F.regexp_extract(t, r"^\+?([0-9]+(?:\.[0-9]*)?)[eE]", 1), F.regexp_extract(t, r"[eE]\+?([0-9]{1,3})$", 1)
@@ -67,10 +72,13 @@ def parse_numeric(text: Column) -> Column:
     scientific = F.when(fits, F.regexp_replace(F.concat(whole, fraction, F.repeat(F.lit("0"), F.greatest(exponent - F.length(fraction), F.lit(0)))), "^0+(?=.)", ""))
     value = F.when(t.rlike("^0[xX]"), hexes).when(t.rlike("[eE]"), scientific).otherwise(plain)
     limit = str((1 << 256) - 1)
-    small = (F.length(value) < 78) | ((F.length(value) == 78) & (value <= limit))
-    kept = F.when(small, value)
-    error = F.when(text.isNull() | (t == ""), "empty").when(value.isNull(), "not a whole number").when(~small, "overflow")
-    return F.struct(kept.alias("value"), error.alias("error"))
+
+    def judged(v: Column) -> Column:
+        small = (F.length(v) < 78) | ((F.length(v) == 78) & (v <= limit))
+        error = F.when(text.isNull() | (t == ""), "empty").when(v.isNull(), "not a whole number").when(~small, "overflow")
+        return F.struct(F.when(small, v).alias("value"), error.alias("error"))
+
+    return let(value, judged)
 
 
 def normalize_sender(a: Column) -> Column:

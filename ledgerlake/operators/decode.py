@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import chain
 from ledgerlake.functions.fixed import FAUCETS, SYMBOLS, TRANSFER, WATCHED, ZERO_ADDRESS
-from ledgerlake.functions.u256 import to_text
 
 ACTIVITY = ["block_number", "tx_hash", "log_index", "from_address", "to_address", "amount", "token_address", "activity_type"]
 
@@ -38,7 +37,7 @@ def log_activities(logs: DataFrame) -> DataFrame:
         "log_index",
         chain.log_sender(t, F.col("address")).alias("from_address"),
         chain.log_receiver(t).alias("to_address"),
-        to_text(chain.decode_uint256(F.col("data"))).alias("amount"),
+        chain.uint256_text(F.col("data")).alias("amount"),
         F.lower("address").alias("token_address"),
         chain.classify_log(t).alias("activity_type"),
     )

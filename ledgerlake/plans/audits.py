@@ -65,12 +65,14 @@ def q08(v):
     return Q.recent_chain_audit(v.blocks)
 
 
-_CUT = "SELECT * FROM local WHERE number < 1000000"
+_CUT = "SELECT * FROM local WHERE number <= (SELECT max(number) FROM canonical_blocks)"
 
 
 @query("q09_sample_hash_audit", "blocks canonical_blocks", f"WITH local AS ({_LOCAL}), l AS ({_CUT}), h AS (SELECT (SELECT max(number) FROM l) - 9 * k AS number FROM range(40) r(k)) SELECT h.number, CASE WHEN l.hash IS NULL THEN 'MISSING_LOCAL' WHEN c.hash IS NULL THEN 'MISSING_CANONICAL' WHEN l.hash = c.hash THEN 'MATCH' ELSE 'HASH_MISMATCH' END AS status FROM h LEFT JOIN l USING (number) LEFT JOIN canonical_blocks c USING (number)")
 def q09(v):
-    return Q.sample_hash_audit(local_blocks(v).where("number < 1000000"), v.canonical_blocks, samples=40, step=9)
+    top = v.canonical_blocks.agg(F.max("number").alias("_top"))  # one row
+    local = local_blocks(v).crossJoin(F.broadcast(top)).where("number <= _top").drop("_top")
+    return Q.sample_hash_audit(local, v.canonical_blocks, samples=40, step=9)
 
 
 @query("q10_repair_parent_hash", "blocks canonical_blocks", f"WITH z AS ({_ZEROED}) SELECT z.number, z.hash, CASE WHEN z.parent_hash = '{ZERO_HASH}' AND z.number > 0 THEN coalesce(c.parent_hash, z.parent_hash) ELSE z.parent_hash END AS parent_hash FROM z LEFT JOIN canonical_blocks c USING (number)")
@@ -84,9 +86,9 @@ def q11(v):
     return Q.detect_reorg(v.canonical_blocks, stored)
 
 
-@query("q12_common_ancestor", "blocks canonical_blocks", f"WITH local AS ({_LOCAL}) SELECT max(l.number) AS ancestor FROM local l JOIN canonical_blocks c ON l.number = c.number AND l.hash = c.hash WHERE l.number BETWEEN 21 AND 1021")
+@query("q12_common_ancestor", "blocks canonical_blocks", f"WITH local AS ({_LOCAL}) SELECT max(l.number) AS ancestor FROM local l JOIN canonical_blocks c ON l.number = c.number AND l.hash = c.hash WHERE l.number BETWEEN (SELECT max(number) - 1000 FROM canonical_blocks) AND (SELECT max(number) FROM canonical_blocks)")
 def q12(v):
-    return Q.common_ancestor(local_blocks(v), v.canonical_blocks, 1021)
+    return Q.common_ancestor(local_blocks(v), v.canonical_blocks, v.canonical_blocks.agg(F.max("number")).head()[0])
 
 
 @query("q13_rollback_reorg", "blocks transfers", "SELECT (SELECT count(*) FROM blocks WHERE number <= 1000) AS blocks, (SELECT count(*) FROM transfers WHERE block_number <= 1000) AS transfers, 1000::BIGINT AS checkpoint")

@@ -15,5 +15,8 @@ def _own() -> str:
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; below a local folder only where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/ledgerlake-{tag}-{uuid.uuid4().hex}"
+    """A new path below spark.checkpoint.dir, which driver and executors share; a local session may go without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or _own()).rstrip('/')}/ledgerlake-{tag}-{uuid.uuid4().hex}"

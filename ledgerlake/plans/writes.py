@@ -8,7 +8,7 @@ from ledgerlake.operators.relational import not_null
 from ledgerlake.plans.base import query
 from ledgerlake.sinks import batch as K
 
-_FIRST = "SELECT *, row_number() OVER (PARTITION BY block_number, log_index ORDER BY tx_hash, from_address, to_address, token_address, amount, activity_type, created_at) AS k FROM transfers WHERE block_number % 2 = 1 OR block_number % 4 = 0"
+_FIRST = "SELECT *, row_number() OVER (PARTITION BY block_number, log_index ORDER BY tx_hash, from_address, to_address, token_address, amount, activity_type, created_at) AS k FROM transfers"
 _T = "block_number, log_index, tx_hash, from_address, to_address, token_address, amount, activity_type, created_at"
 
 
@@ -20,7 +20,7 @@ def k01(v):
 
 @query("k02_insert_transfers_if_absent", "transfers", f"SELECT {_T} FROM ({_FIRST}) WHERE k = 1 AND block_number % 4 > 0")
 def k02(v):
-    return K.insert_transfers_if_absent(v.transfers.where("block_number % 4 = 0"), v.transfers.where("block_number % 2 = 1 OR block_number % 4 = 0"))
+    return K.insert_transfers_if_absent(v.transfers.where("block_number % 4 = 0"), v.transfers)
 
 
 _CP = "SELECT chain_id, synced AS last_synced_block, ts AS updated_at, sample_id FROM status_samples"

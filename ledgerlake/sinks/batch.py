@@ -82,7 +82,8 @@ def quarantine(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Da
 class Store:
     """Tables as versioned folders of Parquet: a commit writes new folders and then one small row that names them.
 
-    Readers follow the newest row. A commit of a batch that is already committed changes nothing, so retried batches are safe.
+    Readers follow the newest row. A commit of a batch that its run has already committed changes nothing, so retried batches are
+    safe; a run is one stream with its checkpoint, so a stream that starts anew, counting from 0, loses nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -93,32 +94,34 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def commits(self) -> DataFrame:
-        schema = "batch_id long, name string, folder string"
+        schema = "seq long, run string, batch_id long, name string, folder string"
         if not self._exists(f"{self.path}/_commits"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/_commits")
 
-    def committed(self) -> int:
-        top = self.commits().agg(F.max("batch_id").alias("b")).head().b
+    def committed(self, run: str = "") -> int:
+        """The run's last batch; -1 before its first."""
+        top = self.commits().where(F.col("run") == run).agg(F.max("batch_id").alias("b")).head().b
         return -1 if top is None else top
 
     def read(self, name: str, schema) -> DataFrame:
         """A table: its appended folders and, for replaced tables, the newest one."""
-        rows = [r.folder for r in self.commits().where(F.col("name") == name).orderBy("batch_id").collect()]
+        rows = [r.folder for r in self.commits().where(F.col("name") == name).orderBy("seq").collect()]
         rows = rows[max((i for i, f in enumerate(rows) if "/replaced-" in f), default=0) :]
         return self.spark.read.schema(schema).parquet(*rows) if rows else self.spark.createDataFrame([], schema)
 
-    def commit(self, batch_id: int, appended: dict[str, DataFrame], replaced: dict[str, DataFrame]) -> bool:
-        """Write all tables and name them in one file; False if the batch was committed before."""
-        if batch_id <= self.committed():
+    def commit(self, batch_id: int, appended: dict[str, DataFrame], replaced: dict[str, DataFrame], run: str = "") -> bool:
+        """Write all tables and name them in one file; False if the run has committed the batch before."""
+        if batch_id <= self.committed(run):
             return False
-        names = []
+        last = self.commits().agg(F.max("seq").alias("s")).head().s
+        seq, names = 0 if last is None else last + 1, []
         for kind, tables in (("appended", appended), ("replaced", replaced)):
             for name, df in tables.items():
-                folder = f"{self.path}/{name}/{kind}-{batch_id:012d}"
+                folder = f"{self.path}/{name}/{kind}-{seq:012d}"
                 df.write.mode("overwrite").parquet(folder)
-                names.append((batch_id, name, folder))
-        self.spark.createDataFrame(names, "batch_id long, name string, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/_commits")
+                names.append((seq, run, batch_id, name, folder))
+        self.spark.createDataFrame(names, "seq long, run string, batch_id long, name string, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/_commits")
         return True
 
 
@@ -126,14 +129,14 @@ BLOCKS = "number long, hash string, parent_hash string, timestamp long, gas_limi
 CHECKPOINTS = "chain_id long, last_synced_block long, updated_at timestamp"
 
 
-def commit_batch(store: Store, batch_id: int, chain_id: int, blocks: DataFrame, transfers: DataFrame, now: Column) -> bool:
+def commit_batch(store: Store, batch_id: int, chain_id: int, blocks: DataFrame, transfers: DataFrame, now: Column, run: str = "") -> bool:
     """Blocks, transfers and the checkpoint at the batch's greatest height (never lower than before), together."""
     old_blocks, old_transfers = store.read("blocks", blocks.schema), store.read("transfers", transfers.schema)
     point = blocks.agg(F.max("number").alias("last_synced_block")).where("last_synced_block IS NOT NULL")
     point = point.select(F.lit(chain_id).cast("long").alias("chain_id"), "last_synced_block", now.alias("updated_at"))
     points = store.read("checkpoints", CHECKPOINTS).unionByName(point)
     latest = points.groupBy("chain_id").agg(F.max("last_synced_block").alias("last_synced_block"), F.max("updated_at").alias("updated_at"))
-    return store.commit(batch_id, {"blocks": insert_blocks_if_absent(old_blocks, blocks), "transfers": insert_transfers_if_absent(old_transfers, transfers)}, {"checkpoints": latest})
+    return store.commit(batch_id, {"blocks": insert_blocks_if_absent(old_blocks, blocks), "transfers": insert_transfers_if_absent(old_transfers, transfers)}, {"checkpoints": latest}, run)
 
 
 def tee_sinks(rows: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> DataFrame:

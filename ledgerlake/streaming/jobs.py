@@ -116,7 +116,8 @@ def stream_commit(blocks: DataFrame, store: Store, chain_id: int, now: Column, c
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         rows = transfers(batch) if transfers else batch.sparkSession.createDataFrame([], "block_number long, log_index int")
-        commit_batch(store, batch_id, chain_id, batch, rows, now)
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        commit_batch(store, batch_id, chain_id, batch, rows, now, run)
         batch.unpersist()
 
     return blocks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

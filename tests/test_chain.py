@@ -80,6 +80,7 @@ def test_commit_is_idempotent_and_monotone(spark, tmp_path):
     assert batch.commit_batch(store, 0, 5, b(10, 11), t, now)
     assert not batch.commit_batch(store, 0, 5, b(99), t, now)
     assert batch.commit_batch(store, 1, 5, b(3), t, now)
+    assert batch.commit_batch(store, 0, 5, b(3), t, now, run="again")  # a stream with a new checkpoint counts from 0
     assert sorted(r.number for r in store.read("blocks", b(1).schema).collect()) == [3, 10, 11]
     assert store.read("transfers", t.schema).count() == 1
     assert [r.last_synced_block for r in store.read("checkpoints", batch.CHECKPOINTS).collect()] == [11]
