@@ -24,8 +24,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session may go without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return shared or f"file://{_own_folder()}"
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -39,11 +42,6 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def spread(df: DataFrame, per_core_mb: int = 8) -> DataFrame:
-    """df as it is; a hook for sources whose files can't be split."""
-    return df
-
-
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """df through a function of record batches. make() runs once a task and gives that function."""
 

@@ -183,6 +183,7 @@ def routed(vectors: DataFrame, index: Index, probes: int) -> DataFrame:
 def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, vector ids, cosines) of each query's k nearest rows of v but itself, ties to the smaller id."""
     uq, uv = unit(q), unit(v)
+    q, v = (x / np.exp2(np.frexp(np.abs(x).max(axis=1, keepdims=True))[1] - 1) for x in (q, v))  # powers of two: exact, and no square overflows
     qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
     out: tuple[list, list, list] = ([], [], [])
     for low in range(0, len(q), 256):

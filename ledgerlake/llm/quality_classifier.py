@@ -1,9 +1,9 @@
 """Quality classifier (operator 10): Zstandard dictionaries of good and bad text.
 
 Two dictionaries are trained, one from good and one from bad labelled text. A text is cut into windows, every window is
-compressed with either dictionary, and the sizes are summed over the whole text. The normalised difference of the two sums,
-with the logarithm of the compression ratio beside it (text that repeats itself shrinks alike under both dictionaries),
-goes through a logistic calibration to a score from 0 to 1.
+compressed with either dictionary, and the sizes are summed over the whole text. The normalised difference of the two sums
+goes through a logistic calibration to a score from 0 to 1. The calibration learns from a fold of labelled rows that the
+dictionaries haven't seen.
 
 Bounds: the dictionaries learn from at most `max_windows` windows of each class, the calibration from at most `max_rows`
 labelled rows of each class; both are taken in the order of a hash, so they are the same however the rows are dealt out.
@@ -43,7 +43,7 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
 
 
 def measurer(model: Model):
-    """A function from a text to its two features."""
+    """A function from a text to its feature."""
     by = []
     for raw in (model.good, model.bad):
         d = zstandard.ZstdCompressionDict(raw)
@@ -51,13 +51,12 @@ def measurer(model: Model):
         by.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
     good, bad = by
 
-    def measure(text: str) -> tuple[float, float]:
-        g = b = n = 0
+    def measure(text: str) -> float:
+        g = b = 0
         for w in windows(text):
-            n += len(w)
             g += len(good(w))
             b += len(bad(w))
-        return (b - g) / max(1, b + g), float(np.log((g + b + 1) / (2 * n + 2)))
+        return (b - g) / max(1, b + g)
 
     return measure
 
@@ -82,12 +81,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 3000, max_windows
     for q in (0, 1):
         part = known.where(F.col("quality") == q).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(*order).limit(max_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # at most 2 x max_rows rows
+    sample = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 x max_rows rows
     cut = sample.select("quality", "doc_id", F.explode(F.expr(f"sequence(0, int((length(text) - 1) / {WINDOW}))")).alias("k"), "text").where("length(text) > 0")
     cut = cut.select("quality", "doc_id", "k", F.expr(f"substring(text, k * {WINDOW} + 1, {WINDOW})").alias("w"))
     dictionaries = []
+    unseen = crc_mod(F.col("doc_id"), folds) == 1
     for q in (1, 0):
-        got = cut.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "w").limit(max_windows).select("w").collect()
+        got = cut.where(~unseen).where(F.col("quality") == q).orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "w").limit(max_windows).select("w").collect()
         try:
             dictionaries.append(zstandard.train_dictionary(dictionary_bytes, [r.w.encode("utf-8", "surrogatepass") for r in got]).as_bytes())
         except zstandard.ZstdError:  # too little text for the trainer: the text itself serves as the dictionary
@@ -100,14 +100,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 3000, max_windows
         measure = measurer(raw)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = [measure(t) for t in texts_of(batch)]
-            return pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([a for a, _ in x]), pa.array([b for _, b in x])], ["quality", "d", "r"])
+            return pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("unseen"), pa.array(map(measure, texts_of(batch)), pa.float64())], ["quality", "unseen", "d"])
 
         return f
 
-    rows = map_arrow(sample.select("quality", "text"), "quality int, d double, r double", make).collect()
-    rows = sorted((r.d, r.r, r.quality) for r in rows)
-    mean, scale, weights = calibrate(np.array([(a, b) for a, b, _ in rows]), np.array([q for _, _, q in rows], dtype=float))
+    got = map_arrow(sample.select("quality", unseen.alias("unseen"), "text"), "quality int, unseen boolean, d double", make).collect()  # a row for each of the sample
+    rows = sorted((r.d, r.quality) for r in got if r.unseen)
+    if len({q for _, q in rows}) < 2:  # too few labels for a fold of their own
+        rows = sorted((r.d, r.quality) for r in got)
+    mean, scale, weights = calibrate(np.array([[d] for d, _ in rows]), np.array([q for _, q in rows], dtype=float))
     return Model(raw.good, raw.bad, mean, scale, weights)
 
 
@@ -125,7 +126,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
         measure, (w0, *w) = measurer(m), m.weights
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([measure(t) for t in texts_of(batch, text)])
+            x = np.array([[measure(t)] for t in texts_of(batch, text)])
             z = w0 + ((x - np.array(m.mean)) / np.array(m.scale)) @ np.array(w)
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*batch.schema.names, out])
 

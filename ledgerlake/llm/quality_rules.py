@@ -1,9 +1,9 @@
 """Quality rules (operator 1): lines that many documents of a host share.
 
-Each document's lines are normalised (lower case, runs of white space as one blank, trimmed) and hashed together with
-the document's host. For every hash the distinct documents of the host are counted; exact copies of one text count as one
-document. Lines found in more than `max_docs` documents of their host are removed from all of them but the first (the
-smallest id), so that no passage vanishes from the corpus. A document is rejected if more than `max_removed` of its words
+Each document's lines are normalised (lower case, runs of blanks and the controls 9 to 13 as one blank, trimmed) and hashed
+together with the document's host. For every hash the distinct documents (ids) of the host are counted. Lines found in more
+than `min_docs` documents and more than `max_percent` of all documents of their host are removed from all of them but the first
+(the smallest id), so that no passage vanishes from the corpus and a host is treated alike at every size. A document is rejected if more than `max_removed` of its words
 go that way, or if it fails the base rules (under 50 words, or over half of them in repeated three-word windows).
 
 Scale: the counts are pre-aggregated before they are shuffled, so a line that every document has costs one row a task.
@@ -27,18 +27,21 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import map_arrow, pick, saved, table, texts_of
 
-MAX_DOCS = 200
+MIN_DOCS = 10
+MAX_PERCENT = 5
 MAX_REMOVED = 0.7
 BROADCAST_ROWS = 1_000_000
+HOST = "host of the lines"  #: a column's name that extra columns hardly have
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, removed_words long, base_failed boolean, kept boolean"
-_SPACES = re.compile(r"\s+")
+_SPACES = re.compile(r"[ \t-\r]+")
+_BLANKS = " \t\n\v\f\r"
 _SYMBOLS = re.compile(r"[^#*$%&|<>]+")
 
 
 def line_key(host: str, line: str) -> int:
     """A signed 64-bit hash of a host and a normalised line."""
-    norm = _SPACES.sub(" ", line.lower()).strip()
+    norm = _SPACES.sub(" ", line.lower()).strip(" ")
     return int.from_bytes(xxhash.xxh3_64_digest(f"{host}\0{norm}".encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
@@ -78,27 +81,26 @@ def base_fails(n_words: int, n_repeat: int) -> bool:
     return n_words < 50 or 100 * n_repeat > 50 * n_words
 
 
-def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """key long, first_doc long: a row for each line that more than max_docs distinct documents of a host have."""
+def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: float = MAX_PERCENT) -> DataFrame:
+    """key long, first_doc long: a row for each line that too many distinct documents of a host have."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, hashes = [], []
-            for t, host in zip(texts_of(batch), batch.column("host").to_pylist(), strict=True):
-                keys.append(list({line_key(host, x) for x in t.split("\n") if x.strip()}))
-                hashes.append(int.from_bytes(xxhash.xxh3_64_digest(t.encode("utf-8", "surrogatepass")), "big", signed=True))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hashes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "keys"])
+            keys = [list({line_key(host, x) for x in t.split("\n") if x.strip(_BLANKS)}) for t, host in zip(texts_of(batch), batch.column(HOST).to_pylist(), strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host_key"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "host_key", "keys"])
 
         return f
 
-    lines = map_arrow(_with_host(docs).select("doc_id", "text", "host"), "doc_id long, text_hash long, keys array<long>", make)
-    lines = lines.select("doc_id", "text_hash", F.explode("keys").alias("key"))
-    once = lines.groupBy("key", "text_hash").agg(F.min("doc_id").alias("first_doc"))
-    return once.groupBy("key").agg(F.count("*").alias("n"), F.min("first_doc").alias("first_doc")).where(F.col("n") > max_docs).select("key", "first_doc")
+    rows = _with_host(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", HOST, F.xxhash64(HOST).alias("host_key"))
+    lines = map_arrow(rows, "doc_id long, host_key long, keys array<long>", make)
+    lines = lines.select("doc_id", "host_key", F.explode("keys").alias("key")).distinct()  # a document with several rows counts once
+    found = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min("host_key").alias("host_key")).where(F.col("n") > min_docs)
+    hosts = rows.select("host_key", "doc_id").distinct().groupBy("host_key").agg(F.count("*").alias("docs"))
+    return found.join(hosts, "host_key").where(100 * F.col("n") > max_percent * F.col("docs")).select("key", "first_doc")
 
 
 def _with_host(docs: DataFrame) -> DataFrame:
-    return pick(docs, "doc_id", "text", "source").withColumn("host", F.coalesce(F.col("source").cast("string"), F.lit("\0")))
+    return pick(docs, "doc_id", "text", "source").withColumn(HOST, F.coalesce(F.col("source").cast("string"), F.lit("\0")))
 
 
 def _judged(text: str, host: str, doc_id, common) -> tuple:
@@ -109,7 +111,7 @@ def _judged(text: str, host: str, doc_id, common) -> tuple:
     if common:
         rest = []
         for line in text.split("\n"):
-            key = line_key(host, line) if line.strip() else None
+            key = line_key(host, line) if line.strip(_BLANKS) else None
             if key in common and common[key] != doc_id:
                 removed += len(line.encode("utf-8", "surrogatepass").split())
             else:
@@ -118,12 +120,12 @@ def _judged(text: str, host: str, doc_id, common) -> tuple:
     return n_words, chars, symbols, dups, repeats, removed, failed, not failed and removed <= MAX_REMOVED * n_words, left
 
 
-def judge(docs: DataFrame, *, max_docs: int = MAX_DOCS, broadcast_rows: int = BROADCAST_ROWS, with_text: bool = False) -> DataFrame:
+def judge(docs: DataFrame, *, min_docs: int = MIN_DOCS, max_percent: float = MAX_PERCENT, broadcast_rows: int = BROADCAST_ROWS, with_text: bool = False) -> DataFrame:
     """doc_id, the measures and the verdict of every document; with_text: its other columns and its text without common lines too."""
     spark = docs.sparkSession
     extra = [c for c in docs.columns if c not in ("doc_id", "text", "source")] if with_text else []
-    common = saved(common_lines(docs, max_docs), "common-lines")
-    rows = pick(docs, "doc_id", "text", "source", *extra).withColumn("host", F.coalesce(F.col("source").cast("string"), F.lit("\0")))
+    common = saved(common_lines(docs, min_docs, max_percent), "common-lines")
+    rows = pick(docs, "doc_id", "text", "source", *extra).withColumn(HOST, F.coalesce(F.col("source").cast("string"), F.lit("\0")))
     if few := common.count() <= broadcast_rows:
         held = spark.sparkContext.broadcast({r.key: r.first_doc for r in common.collect()})  # at most broadcast_rows pairs of integers
     else:
@@ -138,7 +140,7 @@ def judge(docs: DataFrame, *, max_docs: int = MAX_DOCS, broadcast_rows: int = BR
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             own = [dict(x or ()) for x in batch.column("own").to_pylist()] if every is None else [every] * batch.num_rows
-            got = [_judged(t, h, d, c) for t, h, d, c in zip(texts_of(batch), batch.column("host").to_pylist(), batch.column("doc_id").to_pylist(), own, strict=True)]
+            got = [_judged(t, h, d, c) for t, h, d, c in zip(texts_of(batch), batch.column(HOST).to_pylist(), batch.column("doc_id").to_pylist(), own, strict=True)]
             *cols, left = zip(*got, strict=True)
             was = batch.column("text").to_pylist() if with_text else []
             text = pa.array([None if a is None else b for a, b in zip(was, left, strict=True)], pa.string()) if with_text else None
@@ -154,13 +156,13 @@ def _with_own_lines(rows: DataFrame, common: DataFrame) -> DataFrame:
     """rows with a column own: the common lines that each document has, from a join instead of a broadcast."""
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = [list({line_key(h, x) for x in t.split("\n") if x.strip()}) for t, h in zip(texts_of(batch), batch.column("host").to_pylist(), strict=True)]
+            keys = [list({line_key(h, x) for x in t.split("\n") if x.strip(_BLANKS)}) for t, h in zip(texts_of(batch), batch.column(HOST).to_pylist(), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "keys"])
 
         return f
 
-    rows = rows.withColumn("text_hash", F.xxhash64("text", "host"))
-    lines = map_arrow(rows.select("doc_id", "text_hash", "text", "host"), "doc_id long, text_hash long, keys array<long>", make)
+    rows = rows.withColumn("text_hash", F.xxhash64("text", HOST))
+    lines = map_arrow(rows.select("doc_id", "text_hash", "text", HOST), "doc_id long, text_hash long, keys array<long>", make)
     found = lines.select("doc_id", "text_hash", F.explode("keys").alias("key")).join(common, "key")
     own = found.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_set(F.struct("key", "first_doc"))).alias("own"))
     own = own.select(F.col("doc_id").alias("own_doc"), F.col("text_hash").alias("own_hash"), "own")
@@ -185,9 +187,10 @@ WITH d AS (
 ), lines AS (
   SELECT rid, doc_id, host, t, unnest(ls) AS line FROM w
 ), norm AS (
-  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines
+  SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines
 ), common AS (
-  SELECT host, norm, min(doc_id) AS first_doc FROM norm WHERE norm <> '' GROUP BY host, norm HAVING count(DISTINCT t) > %d
+  SELECT host, norm, first_doc FROM (SELECT host, norm, min(doc_id) AS first_doc, count(DISTINCT coalesce(doc_id, -9223372036854775808)) AS n FROM norm WHERE norm <> '' GROUP BY host, norm)
+  JOIN (SELECT host, count(DISTINCT coalesce(doc_id, -9223372036854775808)) AS docs FROM d GROUP BY host) USING (host) WHERE n > %d AND 100 * n > %d * docs
 ), gone AS (
   SELECT rid, sum(n) AS removed FROM norm JOIN common USING (host, norm) WHERE doc_id IS DISTINCT FROM first_doc GROUP BY rid
 ), dup AS (
@@ -201,4 +204,4 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
 )
 SELECT *, NOT base_failed AND removed_words <= %s * n_words AS kept FROM judged
-""" % (MAX_DOCS, MAX_REMOVED)
+""" % (MIN_DOCS, MAX_PERCENT, MAX_REMOVED)

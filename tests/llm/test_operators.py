@@ -39,7 +39,7 @@ def test_quality_rules_remove_common_lines(spark):
     rows = [(k, f"{body} {k}\ncommon line here", "en", "a", 1, "", "") for k in range(5)] + [(9, "common line here", "en", "b", 1, "", "")]
     docs = spark.createDataFrame(rows, DOC)
     for few in (10, 0):  # by broadcast, by join
-        got = {r.doc_id: r for r in quality_rules.judge(docs, max_docs=4, broadcast_rows=few, with_text=True).collect()}
+        got = {r.doc_id: r for r in quality_rules.judge(docs, min_docs=4, broadcast_rows=few, with_text=True).collect()}
         assert sorted(d for d, r in got.items() if "common" not in r.text) == [1, 2, 3, 4]  # the first keeps it, and so does another host
         assert got[1].removed_words == 3 + 7 * 9 and got[1].rid == ""
     assert quality_rules.judge(docs.limit(0)).count() == 0
@@ -56,7 +56,7 @@ def test_quality_rules_same_rows_as_sql_where_lines_go(spark, tmp_path):
     got = rows_of(quality_rules.query(spark, str(tmp_path)))
     assert got == rows_of_sql(con, quality_rules.SQL)
     at = got[0].index("removed_words")
-    assert sum(r[at] == "3" for r in got[1]) == 448  # all of host a but the first of each line
+    assert sum(r[at] == "3" for r in got[1]) == 496  # all but the first of each line in its host
 
 
 def test_quality_rules_on_odd_rows(spark):
@@ -343,6 +343,26 @@ def test_words_of_texts():
         assert lines == [(t or "").count("\n") + 1 for t in texts] and len(set(seen.values())) == len(seen)
 
 
+def test_nearest_of_huge_and_tiny_vectors():
+    q = np.array([[1.0, 2.0, 0.5]])
+    v = np.stack([q[0] * 1e200, q[0] * 1e-200, [2.0, 1.0, 0.5]])
+    for scale in (1.0, 1e200, 1e-200):
+        _, ids, score = learned_index.best_of(np.array([9]), q * scale, np.array([1, 2, 3]), v, 3)
+        assert sorted(ids[:2]) == [1, 2] and ids[2] == 3 and np.allclose(score, [1, 1, 4.25 / 5.25], rtol=1e-15)
+
+
+def test_quality_rules_same_rows_as_sql_on_more_documents(spark, sf_dir):
+    import duckdb
+
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{big}/documents.parquet'")
+    got = rows_of(quality_rules.query(spark, big))
+    assert got == rows_of_sql(con, quality_rules.SQL)
+    at = got[0].index("removed_words")
+    assert sum(r[at] != "0" for r in got[1]) > 0
+
+
 def test_quality_classifier(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     labels = {r.doc_id: r.quality for r in table(spark, big, "labels").collect()}
