@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept. All stages but the last return
 the columns of documents; removed lines leave the text, and n_chars follows it. Results are written as Parquet in the shared
 folder and read again between stages.
+
+Null texts count as empty and fail the quality rules; rows with equal id and text are the same document, of which near-dedup
+keeps one row, as of each group of copies; ties go to the smallest id; extra columns pass through, whatever their names; an
+empty table gives empty results in every stage.
 """
 
 from __future__ import annotations
@@ -24,17 +28,25 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with names of their own for columns that operators don't read, so that they clash with nothing; and the names."""
+    names = [c if c in ("doc_id", "text", "source", "n_chars") else f"extra{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is high enough."""
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, model, out="_score")
-    return scored.where(F.col("_score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    own, names = _plain(docs)
+    model = quality_classifier.fit(own, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(own, model, out="score")
+    return scored.where(F.col("score") >= quality_classifier.THRESHOLD).select(*names).toDF(*docs.columns)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that many documents of their host share."""
-    judged = quality_rules.judge(docs, with_text=True)
-    return _counted(judged.where("kept"), docs.columns)
+    own, names = _plain(docs)
+    judged = quality_rules.judge(own, with_text=True)
+    return _counted(judged.where("kept"), names).toDF(*docs.columns)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
