@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import saved
+from ledgerlake.llm.common import giving_back, saved
 
 BLOOM_BITS = 26
 
@@ -87,7 +87,7 @@ def in_groups(rows: DataFrame, keys: list[str], order: list[str], f: Callable[[p
         if held and (out := done(parts)) is not None:
             yield out
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(giving_back(run), schema)
 
 
 PAIRS = "x long, y long, more boolean"

@@ -42,6 +42,29 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which returns what it has freed to the system when its task ends: Python workers live on and would hold it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return wrapped
+
+
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """df through a function of record batches. make() runs once a task and gives that function."""
 
@@ -51,7 +74,7 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
             if batch.num_rows and (out := f(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

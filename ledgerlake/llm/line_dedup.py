@@ -35,9 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.candidates import PAIRS, bloom, in_groups, may_hold, pairs_batch
-from ledgerlake.llm.common import map_arrow, mix64, pick, saved, table
+from ledgerlake.llm.common import giving_back, map_arrow, mix64, pick, saved, table
 from ledgerlake.llm.word_memory import Memory
-from ledgerlake.llm.words import Words, chunks
+from ledgerlake.llm.words import Words, chunks, tally
 
 EQUAL_ONLY = 3  #: sets of so many tokens at most have no similar ones but equal ones
 MIN_USES = 16
@@ -59,8 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            found = [w.hashes() >> np.uint64(2) for w in chunks(batch.column("text"))]
-            word, n = np.unique(np.concatenate(found), return_counts=True)
+            word, n = tally([w.hashes() >> np.uint64(2) for w in chunks(batch.column("text"))])
             return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"]) if len(word) else None
 
         return f
@@ -148,7 +147,7 @@ def lines_of(docs: DataFrame, ranked: np.ndarray) -> DataFrame:
                 cols = [doc[at], text_hash[at], s["line"].astype(np.int32), s["set"].view(np.int64), s["n"].astype(np.int32), s["b0"].view(np.int64), s["b1"].view(np.int64)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), rest, rank], names)
 
-    return rows.mapInArrow(run, LINES)
+    return rows.mapInArrow(giving_back(run), LINES)
 
 
 def doc_key() -> Column:

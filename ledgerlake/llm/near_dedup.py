@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.candidates import bloom, compare, components, in_groups, may_hold
-from ledgerlake.llm.common import map_arrow, mix64, pick, saved, table, texts_of
-from ledgerlake.llm.words import Words, chunks
+from ledgerlake.llm.common import giving_back, map_arrow, mix64, pick, saved, table, texts_of
+from ledgerlake.llm.words import Words, chunks, tally
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -51,7 +51,7 @@ FINE = 32  #: weights are powers of e^(1/FINE)
 LEVELS = 128
 BLOCK = 5_000
 TURNS = 2  #: meetings in one order each, before all candidates of different classes meet
-TABLE_BITS = 15
+TABLE_BITS = 14
 _FACTORS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -124,7 +124,7 @@ def bucket_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(v)]), pa.array([docs[k]], pa.int64())], ["run", "counts", "n"])
 
     schema = "run int, counts binary, n long"
-    sums = pick(docs, "text").mapInArrow(run, schema).repartition("run").mapInArrow(added, schema)
+    sums = pick(docs, "text").mapInArrow(giving_back(run), schema).repartition("run").mapInArrow(giving_back(added), schema)
     out, n = np.zeros(runs * width, dtype=np.int64), 0
     for r in sums.collect():  # as many bytes as the table has, whatever the corpus
         out[r.run * width : (r.run + 1) * width] = np.frombuffer(r.counts, dtype="<u2" if len(r.counts) == 2 * width else "<i8")
@@ -164,7 +164,7 @@ def document_frequencies(docs: DataFrame) -> Idf:
             for w in chunks(batch.column("text")):
                 s = shingled(w)[0]
                 found.append(s[some[_bucket(s)]])
-            s, n = np.unique(np.concatenate(found), return_counts=True)
+            s, n = tally(found)
             return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"]) if len(s) else None
 
         return f

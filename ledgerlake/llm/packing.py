@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.byte_tokens import shared_encoder
-from ledgerlake.llm.common import pick, saved, table
+from ledgerlake.llm.common import giving_back, pick, saved, table
 
 END_ID = 2
 LENGTH = 1024
@@ -59,7 +59,7 @@ def cut(docs: DataFrame, size: int = LENGTH, file: str | None = None) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(giving_back(run), PIECES)
 
 
 def patterns(size: int) -> np.ndarray:

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.byte_tokens import shared_encoder
-from ledgerlake.llm.common import new_folder, pick, saved, store, table
+from ledgerlake.llm.common import giving_back, new_folder, pick, saved, store, table
 
 END_ID = 2
 MAGIC = 0x4C4C5353
@@ -221,7 +221,7 @@ def write_shards(docs: DataFrame, folder: str, *, file: str | None = None, shard
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return saved(rows.mapInArrow(run, MANIFEST), "manifest")
+    return saved(rows.mapInArrow(giving_back(run), MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

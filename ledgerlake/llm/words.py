@@ -5,7 +5,7 @@ A word is a run of bytes other than blank and the controls 9 to 13. A hash reads
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +14,7 @@ import xxhash
 
 from ledgerlake.llm.common import mix64
 
-CHUNK = 4 << 20  #: bytes of text at once; one longer text is a chunk of its own
+CHUNK = 1 << 20  #: bytes of text at once; one longer text is a chunk of its own
 LONG = 256  #: words of more bytes are hashed one by one
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -65,6 +65,16 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def tally(parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(value, count) of 64-bit values in many arrays, ascending."""
+    counted = [np.unique(p, return_counts=True) for p in parts]
+    value, n = (np.concatenate([c[k] for c in counted]) for k in (0, 1))
+    order = np.argsort(value)
+    value, n = value[order], n[order]
+    first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, dtype=np.int64)
+    return value[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def as_strings(column: pa.Array) -> pa.Array:
     """The column as large strings, null as empty."""
     return column.cast(pa.large_string()).fill_null("")
