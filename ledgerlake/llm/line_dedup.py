@@ -12,13 +12,12 @@ document id, then place) has a Jaccard similarity of 0.8 or more to it, whether
 4. Sets under the same token stand in the order of their sizes. A set meets those up to 1.25 times its size, as long as the
    token is among its own first n - ceil(8 n / 9) + 1, which suffices for the smaller set of a similar pair; the overlap that
    positions still allow and the bitmaps (differing bits need differing tokens) decide who is a candidate.
-5. Up to FEW candidates of each set under each token, those next in size, are verified with whole token sets; sets without a
-   verified partner that had more candidates then meet all of those.
+5. Sets that have a candidate under a token are joined with their tokens and meet under it again, where candidates are verified
+   inside the task until a set has found an earlier similar one. Pairs are never written out.
 6. Lines whose set has an earlier equal or similar one go.
 
 Scale: a token with more than `block` postings is dealt in tiles of that size; only sets that are candidates (found by a
-fixed-size Bloom filter) are fetched for verification; removals reach documents by an equi-join. Nothing is capped: step 5's
-second part takes every remaining pair. Texts are read in chunks of some megabytes; no words are remembered between them.
+fixed-size Bloom filter) are fetched for verification; removals reach documents by an equi-join. Nothing is capped. Texts are read in chunks of some megabytes; no words are remembered between them.
 
 Defined results: null and empty texts have one line without words, which stays; rows with equal id and text are the same
 document and get equal results; lines at one place of different texts with equal ids are ordered by a hash; null ids come first;
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.candidates import PAIRS, bloom, in_groups, may_hold, pairs_batch
+from ledgerlake.llm.candidates import bloom, in_groups, may_hold
 from ledgerlake.llm.common import giving_back, map_arrow, mix64, pick, saved, table
 from ledgerlake.llm.word_memory import Memory
 from ledgerlake.llm.words import Words, chunks, tally
@@ -43,7 +42,8 @@ EQUAL_ONLY = 3  #: sets of so many tokens at most have no similar ones but equal
 MIN_USES = 16
 MAX_RANKED = 1 << 17
 BLOCK = 20_000
-FEW = 8
+VERIFIED_ROWS = 20_000  #: rows with their tokens that a task holds at once, or one group
+PAIRS_AT_ONCE = 20_000
 RANKED = 1 << 62
 HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -222,21 +222,18 @@ def popular(lines: DataFrame, again, often: int, block: int = BLOCK) -> dict[int
     return {r.token: r.n for r in sums.where(F.col("n") > block).collect()}
 
 
-def postings(lines: DataFrame, again, uses: dict[int, int], block: int = BLOCK, only: np.ndarray | None = None) -> DataFrame:
-    """Rows of lines' sets under the tokens of their prefixes. only: a filter of token hashes."""
-    held = lines.sparkSession.sparkContext.broadcast((uses, only))  # at most MAX_RANKED tokens and a filter of a fixed size
+def postings(lines: DataFrame, again, uses: dict[int, int], block: int = BLOCK) -> DataFrame:
+    """Rows of lines' sets under the tokens of their prefixes."""
+    held = lines.sparkSession.sparkContext.broadcast(uses)  # at most MAX_RANKED tokens
 
     def make():
-        uses, some = held.value
+        uses = held.value
         hot = np.array(sorted(uses), dtype=np.int64)
         tiles_of_hot = np.array([-(-uses[t] // block) for t in hot.tolist()], dtype=np.int64)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             key, row, place = posted_tokens(batch, again.value)
             token = _mixed(key)
-            if some is not None:
-                keep = may_hold(some, token.view(np.int64))
-                row, place, token = row[keep], place[keep], token[keep]
             token, own = token.view(np.int64), batch.column("set").to_numpy()
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
@@ -270,114 +267,101 @@ def _earliest(group: np.ndarray, own: np.ndarray, doc: np.ndarray, line: np.ndar
     return np.flatnonzero(keep)
 
 
-def _meet(t: pa.Table, group: np.ndarray, every: bool) -> pa.RecordBatch | None:
-    """Candidates of rows that stand by group. Not every: each later set with FEW of its candidates, and whether it had more."""
-    own, doc, line, shape = (t.column(c).to_numpy() for c in ("set", "doc", "line", "shape"))
-    keep = _earliest(group, own, doc, line)
-    keep = keep[np.argsort(group[keep] << 32 | shape[keep] >> 32)]
-    own, doc, line, shape, group = own[keep], doc[keep], line[keep], shape[keep], group[keep]
-    bits = np.stack([t.column(b).to_numpy()[keep].view(np.uint64) for b in ("b0", "b1")], axis=1)
-    wanted = t.column("wanted").to_numpy()[keep] if every else None
-    size, place = shape >> 32, shape & 0xFFFFFFFF
-    n = len(own)
-    count, pairs = np.zeros(n, dtype=np.int64), []
-    left, d = np.flatnonzero(place < _short_prefix(size)), 1
-    while True:
-        left = left[left + d < n]
-        other = left + d
-        left = left[(group[left] == group[other]) & (5 * size[left] >= 4 * size[other])]
-        if not len(left):
-            break
-        a, b = left, left + d
-        total = size[a] + size[b]
-        need = -(-4 * total // 9)  # shared tokens
-        ok = np.minimum(size[a] - place[a], size[b] - place[b]) + np.minimum(place[a], place[b]) >= need
-        a, b, most = a[ok], b[ok], (total - 2 * need)[ok]
-        ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most
-        a, b = a[ok], b[ok]
-        later = (doc[a] > doc[b]) | (doc[a] == doc[b]) & ((line[a] > line[b]) | (line[a] == line[b]) & (own[a] > own[b]))
-        x, y = np.where(later, a, b), np.where(later, b, a)
-        ok = wanted[x] > 0 if every else count[x] < FEW
-        np.add.at(count, x, 1)
-        if ok.any():
-            pairs.append((x[ok], y[ok]))
-        d += 1
-    if not pairs:
-        return None
-    x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
-    return pairs_batch(own[x], own[y], np.zeros(len(x), dtype=bool) if every else count[x] > FEW)
-
-
-def partners(posted: DataFrame, every: bool) -> DataFrame:
-    """x, y, more: a set and an earlier one that may be similar. Not every: FEW of them under each token; more tells that there are others."""
-    return in_groups(posted, ["token"], [], lambda t, group: _meet(t, group, every), PAIRS)
-
-
-def similar(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """x, y of the pairs whose whole token sets are similar."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
-    held = lines.sparkSession.sparkContext.broadcast(bloom(ids, "set"))
-
-    def make():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            sets = batch.column("set").to_numpy()
-            at = np.flatnonzero(may_hold(held.value, sets))
-            at = at[np.unique(sets[at], return_index=True)[1]]
-            return batch.take(pa.array(at)) if len(at) else None
-
-        return f
-
-    schema = "set long, rest array<long>, rank array<int>"
-    found = map_arrow(lines.select("set", "rest", "rank"), schema, make).dropDuplicates(["set"]).join(ids, "set", "left_semi")
-    found = saved(found, "candidate-sets")
-    x = found.select(F.col("set").alias("x"), F.col("rest").alias("rest_x"), F.col("rank").alias("rank_x"))
-    y = found.select(F.col("set").alias("y"), F.col("rest").alias("rest_y"), F.col("rank").alias("rank_y"))
-    both = pairs.select("x", "y").join(x, "x").join(y, "y")
-
-    def verify():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            shared, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
-            for c in ("rest", "rank"):
-                a, b = _flat(batch.column(f"{c}_x")), _flat(batch.column(f"{c}_y"))
-                value, row = (np.concatenate(p) for p in zip(a, b, strict=True))
-                order = np.lexsort((value, row))
-                value, row = value[order], row[order]
-                twice = row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])]
-                shared += np.bincount(twice, minlength=batch.num_rows)
-                total += np.bincount(row, minlength=batch.num_rows)
-            return batch.select(["x", "y"]).filter(pa.array(5 * shared >= 4 * (total - shared)))
-
-        return f
-
-    return map_arrow(both.select("x", "y", "rest_x", "rank_x", "rest_y", "rank_y"), "x long, y long", verify)
+class _Group:
+    """Sets under the same tokens, by group and then size, each set once in a group at its earliest place."""
+
+    def __init__(self, t: pa.Table, group: np.ndarray):
+        own, doc, line, shape = (t.column(c).to_numpy() for c in ("set", "doc", "line", "shape"))
+        keep = _earliest(group, own, doc, line)
+        self.rows = keep = keep[np.argsort(group[keep] << 32 | shape[keep] >> 32)]  #: their rows in t
+        self.own, self.doc, self.line, self.group = own[keep], doc[keep], line[keep], group[keep]
+        self.size, self.place = shape[keep] >> 32, shape[keep] & 0xFFFFFFFF
+        self.bits = np.stack([t.column(b).to_numpy()[keep].view(np.uint64) for b in ("b0", "b1")], axis=1)
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(x, y) of the pairs that may be similar, y the earlier line, a distance in the order at a time."""
+        n, size, place, bits = len(self.own), self.size, self.place, self.bits
+        left, d = np.flatnonzero(place < _short_prefix(size)), 1
+        while True:
+            left = left[left + d < n]
+            other = left + d
+            left = left[(self.group[left] == self.group[other]) & (5 * size[left] >= 4 * size[other])]
+            if not len(left):
+                return
+            a, b = left, left + d
+            total = size[a] + size[b]
+            need = -(-4 * total // 9)  # shared tokens
+            ok = np.minimum(size[a] - place[a], size[b] - place[b]) + np.minimum(place[a], place[b]) >= need
+            a, b, most = a[ok], b[ok], (total - 2 * need)[ok]
+            ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most
+            a, b = a[ok], b[ok]
+            doc, line, own = self.doc, self.line, self.own
+            later = (doc[a] > doc[b]) | (doc[a] == doc[b]) & ((line[a] > line[b]) | (line[a] == line[b]) & (own[a] > own[b]))
+            if len(a):
+                yield np.where(later, a, b), np.where(later, b, a)
+            d += 1
+
+
+def _with_candidates(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
+    """The postings whose set has a candidate under their token."""
+    g = _Group(t, group)
+    hit = np.zeros(len(g.own), dtype=bool)
+    for x, y in g.candidates():
+        hit[x] = hit[y] = True
+    at = pa.array(g.rows[hit])
+    return pa.RecordBatch.from_arrays([c.combine_chunks().take(at) for c in t.columns], t.column_names) if len(at) else None
+
+
+class _Sets:
+    """The token sets of a table of lines, as ascending numbers row * kinds + token."""
+
+    def __init__(self, t: pa.Table, rows: np.ndarray):
+        key, row, _ = tokens_of(t.select(["rest", "rank"]).take(pa.array(rows)).combine_chunks().to_batches()[0])
+        kinds, self.token = np.unique(key, return_inverse=True)
+        self.kinds, self.known = len(kinds), row * len(kinds) + self.token
+        self.first = np.searchsorted(row, np.arange(len(rows) + 1))
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many tokens the sets a and b have in common, for each pair."""
+        n = self.first[a + 1] - self.first[a]
+        pair = np.repeat(np.arange(len(a)), n)
+        wanted = b[pair] * self.kinds + self.token[np.arange(n.sum()) + np.repeat(self.first[a] - np.cumsum(n) + n, n)]
+        at = np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)
+        return np.bincount(pair[self.known[at] == wanted], minlength=len(a))
+
+
+def _late(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
+    """The sets that are similar to an earlier one of their group. A set that has been found isn't compared again."""
+    g = _Group(t, group)
+    sets, found = _Sets(t, g.rows), np.zeros(len(g.own), dtype=bool)
+    for x, y in g.candidates():
+        x, y = x[~found[x]], y[~found[x]]
+        for low in range(0, len(x), PAIRS_AT_ONCE):
+            i, j = x[low : low + PAIRS_AT_ONCE], y[low : low + PAIRS_AT_ONCE]
+            shared = sets.shared(i, j)
+            found[i[9 * shared >= 4 * (g.size[i] + g.size[j])]] = True
+    late = np.unique(g.own[found])
+    return pa.RecordBatch.from_arrays([pa.array(late)], ["set"]) if len(late) else None
 
 
 def late_sets(lines: DataFrame, again_: np.ndarray, often: int, *, block: int = BLOCK) -> DataFrame:
     """set: the token sets that have an earlier similar one. often: the least rank of words with more than `block` uses."""
     again = lines.sparkSession.sparkContext.broadcast(again_)  # of a fixed size
-    uses = popular(lines, again, often, block)
-    posted = postings(lines, again, uses, block)
-    pairs = saved(partners(posted, every=False).groupBy("x", "y").agg(F.max("more").alias("more")), "line-pairs")
-    late = saved(similar(lines, pairs).select("x").distinct(), "late-lines")
-    open_ = saved(pairs.where("more").select("x").distinct().join(late, "x", "left_anti"), "open-lines")
-    if open_.isEmpty():
-        return late.select(F.col("x").alias("set"))
-    wanted = open_.select(F.col("x").alias("set"), F.lit(1).alias("wanted"))
-    held = lines.sparkSession.sparkContext.broadcast(bloom(open_, "x"))
+    posted = postings(lines, again, popular(lines, again, often, block), block)
+    some = saved(in_groups(posted, ["token"], [], _with_candidates, POSTINGS), "candidates")
+    held = lines.sparkSession.sparkContext.broadcast(bloom(some.select("set").distinct(), "set"))
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            return batch.filter(pa.array(may_hold(held.value, batch.column("set").to_numpy())))
+            sets = batch.column("set").to_numpy()
+            at = np.flatnonzero(may_hold(held.value, sets))
+            at = at[np.unique(sets[at], return_index=True)[1]]
+            return batch.take(pa.array(at)) if len(at) else None
 
         return f
 
-    some = map_arrow(lines, LINES, make)
-    tokens = saved(postings(some, again, uses, block).join(wanted, "set", "left_semi").select("token").distinct(), "open-tokens")
-    high = bloom(tokens.select(F.col("token").bitwiseAND(F.lit(-(1 << 32))).alias("h")), "h")
-    flagged = postings(lines, again, uses, block, only=high).join(tokens, "token", "left_semi").join(wanted, "set", "left")
-    flagged = flagged.select(*posted.columns, F.coalesce("wanted", F.lit(0)).alias("wanted"))
-    rest = saved(partners(flagged, every=True).select("x", "y").distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "more-line-pairs")
-    return late.unionByName(similar(lines, rest).select("x").distinct()).select(F.col("x").alias("set"))
+    tokens = map_arrow(lines.select("set", "rest", "rank"), "set long, rest array<long>, rank array<int>", make).dropDuplicates(["set"])
+    return in_groups(some.join(tokens, "set").select(*some.columns, "rest", "rank"), ["token"], [], _late, "set long", batch_rows=VERIFIED_ROWS).distinct()
 
 
 def removed_lines(docs: DataFrame, *, max_ranked: int = MAX_RANKED, block: int = BLOCK) -> DataFrame:
