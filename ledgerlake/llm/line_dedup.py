@@ -5,8 +5,8 @@ document id, then place) has a Jaccard similarity of 0.8 or more to it, whether
 
 1. Word frequencies over all texts; words of 16 or more uses, up to `max_ranked` of them, are ranked by frequency. Tokens of a
    line stand in the order of rarity: unranked words by their hash, then the ranked ones. Any order keeps the join exact.
-2. One pass over the texts writes a row for each line: its place, a hash of its set, a bitmap of 128 bits, and its tokens (ranks
-   as 32-bit integers, other words as hashes). Every later step reads these rows, the texts only when lines are cut out.
+2. One pass over the texts writes a row for each line: its place, a hash of its set, a bitmap of 128 bits, and its packed
+   tokens. Every later step reads these rows, the texts only when lines are cut out.
 3. Prefix filter: a set of n tokens is posted under its first n - ceil(0.8 n) + 1 tokens, equal sets once in a task. Sets of
    one to three tokens are similar to equal ones only (3 of 4 is 0.75, but 4 of 5 is 0.8) and need no postings.
 4. Sets under the same token stand in the order of their sizes. A set meets those up to 1.25 times its size, as long as the
@@ -17,7 +17,8 @@ document id, then place) has a Jaccard similarity of 0.8 or more to it, whether
 6. Lines whose set has an earlier equal or similar one go.
 
 Scale: a token with more than `block` postings is dealt in tiles of that size; only sets that are candidates (found by a
-fixed-size Bloom filter) are fetched for verification; removals reach documents by an equi-join. Nothing is capped. Texts are read in chunks of some megabytes; no words are remembered between them.
+fixed-size Bloom filter) are fetched for verification; removals reach documents by an equi-join. Nothing is capped.
+Texts are read in chunks of some megabytes; no words are remembered between them.
 
 Defined results: null and empty texts have one line without words, which stays; rows with equal id and text are the same
 document and get equal results; lines at one place of different texts with equal ids are ordered by a hash; null ids come first;
@@ -46,9 +47,12 @@ VERIFIED_ROWS = 20_000  #: rows with their tokens that a task holds at once, or
 PAIRS_AT_ONCE = 20_000
 RANKED = 1 << 62
 HIGH = np.uint64(0xFFFFFFFF00000000)
+WIDE = 512  #: bits of the bitmaps that verification compares before it counts shared tokens
 
-#: rank and rest: the line's tokens, ascending. text_hash tells texts with equal ids apart.
-LINES = "doc long, text_hash long, line int, set long, n int, b0 long, b1 long, rest array<long>, rank array<int>"
+#: rest and rank: the line's tokens, ascending, as packed little-endian numbers: hashes of 64 bits, then the lower 16 bits of
+#: ranks, of which the first `low` are below 2^16. top: the rank of the prefix's last token, or -1. text_hash tells texts with
+#: equal ids apart.
+LINES = "doc long, text_hash long, line int, set long, n int, b0 long, b1 long, top int, low int, rest binary, rank binary"
 #: token: a hash of the token and a tile; shape: the size of the set and the token's place in it (32 bits each).
 POSTINGS = "token long, set long, doc long, line int, shape long, b0 long, b1 long"
 _NULL_DOC = -(1 << 63)
@@ -69,6 +73,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def known_words(docs: DataFrame, max_ranked: int = MAX_RANKED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At most max_ranked frequent words, the rarest first, and their uses; and a filter of all words used twice or more."""
+    if max_ranked > MAX_RANKED:
+        raise ValueError(f"max_ranked is {MAX_RANKED} at most")
     again = saved(word_counts(docs).where("n > 1"), "words")
     often = again.where(F.col("n") >= MIN_USES)
     sizes = {r.b: r.c for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("c")).collect()}
@@ -123,8 +129,10 @@ def sets_of(w: Words, ranks: Ranks) -> dict[str, np.ndarray]:
     return out
 
 
-def _lists(flat: np.ndarray, row: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(flat, kind))
+def _packed(flat: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """flat's numbers by row (ascending), as one binary value a row."""
+    at = (np.searchsorted(row, np.arange(n + 1)) * flat.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def lines_of(docs: DataFrame, ranked: np.ndarray) -> DataFrame:
@@ -142,10 +150,13 @@ def lines_of(docs: DataFrame, ranked: np.ndarray) -> DataFrame:
                     continue
                 own, at = np.repeat(np.arange(len(s["n"])), s["n"]), s["text"] + w.first
                 often = s["key"] >= np.uint64(RANKED)
-                rest = _lists(s["key"][~often].view(np.int64), own[~often], len(s["n"]), pa.int64())
-                rank = _lists((s["key"][often] - np.uint64(RANKED)).astype(np.int32), own[often], len(s["n"]), pa.int32())
-                cols = [doc[at], text_hash[at], s["line"].astype(np.int32), s["set"].view(np.int64), s["n"].astype(np.int32), s["b0"].view(np.int64), s["b1"].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), rest, rank], names)
+                rank = s["key"][often] - np.uint64(RANKED)
+                low = np.bincount(own[often][rank < 1 << 16], minlength=len(s["n"]))
+                last = s["key"][np.cumsum(s["n"]) - s["n"] + _prefix(s["n"]) - 1]
+                top = np.where(last >= np.uint64(RANKED), (last - np.uint64(RANKED)).astype(np.int64), -1)
+                packed = [_packed(s["key"][~often], own[~often], len(s["n"])), _packed(rank.astype(np.uint16), own[often], len(s["n"]))]
+                cols = [doc[at], text_hash[at], s["line"].astype(np.int32), s["set"].view(np.int64), s["n"].astype(np.int32), s["b0"].view(np.int64), s["b1"].view(np.int64), top.astype(np.int32), low.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *packed], names)
 
     return rows.mapInArrow(giving_back(run), LINES)
 
@@ -158,20 +169,31 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, row of each value) of a column of lists."""
-    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), size)
-
-
-def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, row, place) of the tokens of lines, in the order of rarity."""
-    rest, a = _flat(batch.column("rest"))
-    rank, b = _flat(batch.column("rank"))
-    key, row = np.concatenate([rest.astype(np.int64), rank.astype(np.int64) + RANKED]), np.concatenate([a, b])
-    order = np.argsort(row, kind="stable")
-    key, row = key[order].view(np.uint64), row[order]
-    return key, row, np.arange(len(row)) - np.searchsorted(row, row)
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, where each row's begin) of a column of packed numbers."""
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].copy().view(kind) if data is not None else np.zeros(0, dtype=kind)
+    return flat, (at - at[0]) // np.dtype(kind).itemsize
+
+
+def tokens_of(batch: pa.RecordBatch, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row, place) of the tokens of lines, in the order of rarity. most: how many of each line."""
+    rest, rest_at = _unpacked(batch.column("rest"), np.uint64)
+    rank, rank_at = _unpacked(batch.column("rank"), np.uint16)
+    low, a, b = batch.column("low").to_numpy(), np.diff(rest_at), np.diff(rank_at)
+    if most is not None:
+        a = np.minimum(a, most)
+        b = np.minimum(b, most - a)
+    n = a + b
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    key, ranked = np.empty(len(row), dtype=np.uint64), place >= a[row]
+    key[~ranked] = rest[rest_at[row[~ranked]] + place[~ranked]]
+    own = row[ranked]
+    k = place[ranked] - a[own]
+    key[ranked] = rank[rank_at[own] + k].astype(np.uint64) + ((k >= low[own]).astype(np.uint64) << np.uint64(16)) + np.uint64(RANKED)
+    return key, row, place
 
 
 def _prefix(n: np.ndarray) -> np.ndarray:
@@ -194,9 +216,7 @@ def posted_tokens(batch: pa.RecordBatch, again: np.ndarray) -> tuple[np.ndarray,
     order = np.lexsort((line, doc, own))
     once = np.zeros(len(n), dtype=bool)
     once[order] = np.r_[True, own[order][1:] != own[order][:-1]]
-    key, row, place = tokens_of(batch)
-    keep = (place < _prefix(n)[row]) & (once & (n > EQUAL_ONLY))[row]
-    key, row, place = key[keep], row[keep], place[keep]
+    key, row, place = tokens_of(batch, np.where(once & (n > EQUAL_ONLY), _prefix(n), 0))
     keep = key >= np.uint64(RANKED)
     keep[~keep] = may_hold(again, key[~keep].view(np.int64))
     return key[keep], row[keep], place[keep]
@@ -216,9 +236,8 @@ def popular(lines: DataFrame, again, often: int, block: int = BLOCK) -> dict[int
 
         return f
 
-    last = F.expr("n + 1 - ceil(4 * n / 5) - size(rest)")  # the last token of the prefix, counted among the ranked ones from 1
-    some = lines.where(last >= 1).where(F.get("rank", (last - 1).cast("int")) >= often)
-    sums = map_arrow(some.select("doc", "line", "set", "n", "rest", "rank"), "token long, n long", make).groupBy("token").agg(F.sum("n").alias("n"))
+    some = lines.where(F.col("top") >= often).select("doc", "line", "set", "n", "low", "rest", "rank")
+    sums = map_arrow(some, "token long, n long", make).groupBy("token").agg(F.sum("n").alias("n"))
     return {r.token: r.n for r in sums.where(F.col("n") > block).collect()}
 
 
@@ -313,13 +332,20 @@ def _with_candidates(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
 
 
 class _Sets:
-    """The token sets of a table of lines, as ascending numbers row * kinds + token."""
+    """The token sets of some rows of a table, as ascending numbers row * kinds + token."""
 
     def __init__(self, t: pa.Table, rows: np.ndarray):
-        key, row, _ = tokens_of(t.select(["rest", "rank"]).take(pa.array(rows)).combine_chunks().to_batches()[0])
+        key, row, _ = tokens_of(t.select(["low", "rest", "rank"]).take(pa.array(rows)).combine_chunks().to_batches()[0])
         kinds, self.token = np.unique(key, return_inverse=True)
         self.kinds, self.known = len(kinds), row * len(kinds) + self.token
         self.first = np.searchsorted(row, np.arange(len(rows) + 1))
+        bits = np.zeros((len(rows), WIDE), dtype=bool)
+        bits[row, self.token % WIDE] = True
+        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A lower bound of the number of tokens that only one of the sets a and b has, for each pair."""
+        return np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1)
 
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many tokens the sets a and b have in common, for each pair."""
@@ -338,8 +364,11 @@ def _late(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
         x, y = x[~found[x]], y[~found[x]]
         for low in range(0, len(x), PAIRS_AT_ONCE):
             i, j = x[low : low + PAIRS_AT_ONCE], y[low : low + PAIRS_AT_ONCE]
-            shared = sets.shared(i, j)
-            found[i[9 * shared >= 4 * (g.size[i] + g.size[j])]] = True
+            total = g.size[i] + g.size[j]
+            need = -(-4 * total // 9)
+            ok = sets.differing(i, j) <= total - 2 * need
+            i, j, need = i[ok], j[ok], need[ok]
+            found[i[sets.shared(i, j) >= need]] = True
     late = np.unique(g.own[found])
     return pa.RecordBatch.from_arrays([pa.array(late)], ["set"]) if len(late) else None
 
@@ -360,8 +389,8 @@ def late_sets(lines: DataFrame, again_: np.ndarray, often: int, *, block: int =
 
         return f
 
-    tokens = map_arrow(lines.select("set", "rest", "rank"), "set long, rest array<long>, rank array<int>", make).dropDuplicates(["set"])
-    return in_groups(some.join(tokens, "set").select(*some.columns, "rest", "rank"), ["token"], [], _late, "set long", batch_rows=VERIFIED_ROWS).distinct()
+    tokens = map_arrow(lines.select("set", "low", "rest", "rank"), "set long, low int, rest binary, rank binary", make).dropDuplicates(["set"])
+    return in_groups(some.join(tokens, "set").select(*some.columns, "low", "rest", "rank"), ["token"], [], _late, "set long", batch_rows=VERIFIED_ROWS).distinct()
 
 
 def removed_lines(docs: DataFrame, *, max_ranked: int = MAX_RANKED, block: int = BLOCK) -> DataFrame:
