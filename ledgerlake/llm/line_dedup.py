@@ -332,15 +332,18 @@ def _with_candidates(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
 
 
 class _Sets:
-    """The token sets of some rows of a table, as ascending numbers row * kinds + token."""
+    """The token sets of some rows of a table, findable by ascending numbers of a row and the upper bits of a token."""
 
     def __init__(self, t: pa.Table, rows: np.ndarray):
-        key, row, _ = tokens_of(t.select(["low", "rest", "rank"]).take(pa.array(rows)).combine_chunks().to_batches()[0])
-        kinds, self.token = np.unique(key, return_inverse=True)
-        self.kinds, self.known = len(kinds), row * len(kinds) + self.token
+        self.token, row, _ = tokens_of(t.select(["low", "rest", "rank"]).take(pa.array(rows)).combine_chunks().to_batches()[0])
+        self.shift = 62 - len(rows).bit_length()  # a token's number lies below 2^(shift + 1)
+        ranked = self.token >= np.uint64(RANKED)
+        upper = self.token >> np.uint64(62 - self.shift)
+        self.upper = np.where(ranked, self.token - np.uint64(RANKED) + np.uint64(1 << self.shift), upper).astype(np.int64)
+        self.known = (row << self.shift + 1) + self.upper
         self.first = np.searchsorted(row, np.arange(len(rows) + 1))
         bits = np.zeros((len(rows), WIDE), dtype=bool)
-        bits[row, self.token % WIDE] = True
+        bits[row, (self.token % np.uint64(WIDE)).astype(np.int64)] = True
         self.bits = np.packbits(bits, axis=1).view(np.uint64)
 
     def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -351,9 +354,19 @@ class _Sets:
         """How many tokens the sets a and b have in common, for each pair."""
         n = self.first[a + 1] - self.first[a]
         pair = np.repeat(np.arange(len(a)), n)
-        wanted = b[pair] * self.kinds + self.token[np.arange(n.sum()) + np.repeat(self.first[a] - np.cumsum(n) + n, n)]
-        at = np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)
-        return np.bincount(pair[self.known[at] == wanted], minlength=len(a))
+        wanted = np.arange(len(pair)) + np.repeat(self.first[a] - np.cumsum(n) + n, n)
+        number, token = (b[pair] << self.shift + 1) + self.upper[wanted], self.token[wanted]
+        at = np.searchsorted(self.known, number)
+        same = np.zeros(len(pair), dtype=bool)
+        left = np.arange(len(pair))
+        while len(left):  # tokens of a set whose upper bits are equal stand together
+            left = left[at[left] < len(self.known)]
+            left = left[self.known[at[left]] == number[left]]
+            equal = self.token[at[left]] == token[left]
+            same[left[equal]] = True
+            left = left[~equal]
+            at[left] += 1
+        return np.bincount(pair[same], minlength=len(a))
 
 
 def _late(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
