@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.operators import decode as D
 from ledgerlake.plans.base import query
-from ledgerlake.plans.ledger import _ACT, _LOGA
+from ledgerlake.plans.ledger import _ACT, _LOGA, _TXA
 from ledgerlake.plans.scratch import new_folder
 from ledgerlake.plans.views import Views
 from ledgerlake.sinks import batch as K
@@ -127,10 +126,12 @@ def k08(v):
     return v.spark.read.schema("ts long, type string, data struct<number:long,hash:string>").json(out).select("data.number", "data.hash", "type")
 
 
-@query("t01_stream_decode", "logs entity_labels token_metadata", f"SELECT {', '.join(_ACT)} FROM ({_LOGA})")
+@query("t01_stream_decode", "transactions logs entity_labels token_metadata", f"SELECT {', '.join(_ACT)} FROM ({_LOGA}) UNION ALL SELECT {', '.join(_ACT)} FROM ({_TXA})")
 def t01(v):
-    stream = _as_stream(v, v.logs, "logs")
-    return _through(v, D.resolve_symbol(D.label_entity(D.log_activities(stream), v.entity_labels), v.token_metadata), "decoded").select(*_ACT)
+    out = new_folder(v.spark, "decoded")
+    units = _as_stream(v, jobs.units_of(v.logs, v.transactions), "units")
+    jobs.stream_decode(units, v.entity_labels, v.token_metadata, out, new_folder(v.spark, "decoded-state")).awaitTermination()
+    return v.spark.read.parquet(out).select(*_ACT)
 
 
 @query("t02_stream_dedup", "transfers", "SELECT DISTINCT block_number, log_index FROM transfers")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ledgerlake.operators.decode import block_activities
 from ledgerlake.operators.windows import gap_list
 from ledgerlake.sinks.batch import Store, commit_batch
 
@@ -56,6 +57,26 @@ def tail_follow(stream: DataFrame, head, sink, *, buffer: int, window: int = 10,
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def units_of(logs: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Units of ingest: block_number, logs, transactions; one row a block, which holds what one block can."""
+    packed = lambda df, name: df.groupBy("block_number").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "block_number"])).alias(name))
+    return packed(logs, "logs").join(packed(transactions, "transactions"), "block_number", "full")
+
+
+def stream_decode(units: DataFrame, labels: DataFrame, metadata: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """All activities (C13) of a stream of units. A unit is a whole block, so nothing is kept between batches; a batch writes a folder of its own, so one that is tried again changes nothing."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            rows = lambda name: batch.select("block_number", F.explode(name).alias("_row")).select("block_number", "_row.*")
+            block_activities(rows("logs"), rows("transactions"), labels, metadata).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return units.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_dedup(stream: DataFrame, time: str, delay: str) -> DataFrame:
     """One row of each key within the delay; the insert-if-absent commit is what lasts."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["block_number", "log_index"])
