@@ -2,9 +2,53 @@
 
 import hashlib
 import math
+import re
 from collections import Counter, defaultdict
 
 
+def quality(model, text, window=1000):
+    """The score of a text by a fitted model: every window compressed with either dictionary."""
+    import zstandard
+
+    sizes = []
+    for raw in (model.good, model.bad):
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append(sum(len(packer.compress(text[i : i + window].encode())) for i in range(0, len(text), window)))
+    good, bad = sizes
+    x = (bad - good) / max(1, bad + good)
+    return 1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * (x - model.mean[0]) / model.scale[0])))
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def passed_rules(docs, min_docs=10, percent=5, most=0.7):
+    """{doc_id: text without common lines} of the [(doc_id, text, host)] that pass."""
+    def norm(line):
+        return re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+
+    has, of_host, out = defaultdict(set), defaultdict(set), {}
+    for doc, text, host in docs:
+        of_host[host].add(doc)
+        for line in text.split("\n"):
+            if words_of(line):
+                has[host, norm(line)].add(doc)
+    for doc, text, host in docs:
+        words, rest, gone = words_of(text), [], 0
+        threes = Counter(zip(words, words[1:], words[2:]))
+        again = {i + k for i, t in enumerate(zip(words, words[1:], words[2:])) if threes[t] > 1 for k in range(3)}
+        for line in text.split("\n"):
+            own = has.get((host, norm(line)), set()) if words_of(line) else set()
+            if len(own) > min_docs and 100 * len(own) > percent * len(of_host[host]) and min(own) != doc:
+                gone += len(words_of(line))
+            else:
+                rest.append(line)
+        if len(words) >= 50 and 2 * len(again) <= len(words) and gone <= most * len(words):
+            out[doc] = "\n".join(rest)
+    return out
+
+
 def similar_lines(docs):
     """{doc_id: places of removed lines} of [(doc_id, text)] with different ids: a line goes if an earlier one has Jaccard 0.8."""
     seen, out = [], {}

@@ -372,6 +372,14 @@ def test_quality_classifier(spark, sf_dir):
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
 
 
+def test_quality_scores_by_plain_compression(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    rows = quality_classifier.query(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(rows) == docs.count() and all(abs(r.score - brute.quality(model, texts[r.doc_id])) < 1e-9 for r in rows)
+
+
 def test_quality_classifier_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (99, 0)], "doc_id long, quality int")
     model = quality_classifier.fit(odd_documents(spark), labels)
