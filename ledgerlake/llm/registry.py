@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import chat_format, learned_index, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sentence_pieces, sorted_tables, url_filter
+from ledgerlake.llm import chat_format, fill_middle, learned_index, line_dedup, near_dedup, packing, personal_data, quality_classifier, quality_rules, sentence_pieces, sorted_tables, spelling_variants, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_chat_format": chat_format.query,
     "op9_token_output": sorted_tables.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op11_fill_middle": fill_middle.query,
+    "op12_spelling_variants": spelling_variants.query,
+    "op13_personal_data": personal_data.query,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
     "op3_url_filter": url_filter.SQL,
+    "op11_fill_middle": fill_middle.SQL,
+    "op12_spelling_variants": spelling_variants.SQL,
 }
