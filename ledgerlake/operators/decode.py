@@ -43,6 +43,14 @@ def log_activities(logs: DataFrame) -> DataFrame:
     )
 
 
+SMALL = 100_000  #: rows of a dimension that is sent to all tasks (some 100 bytes each)
+
+
+def dimension(rows: DataFrame) -> DataFrame:
+    """rows, sent to all tasks of the join they enter if there are at most SMALL of them; Spark chooses beyond that."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
 def label_frame(spark) -> DataFrame:
     """The fixed labels of senders: at most a handful of rows."""
     return spark.createDataFrame([(a.lower(), x) for a, x in FAUCETS.items()], "address string, label string")
@@ -51,7 +59,7 @@ def label_frame(spark) -> DataFrame:
 def label_entity(activities: DataFrame, labels: DataFrame) -> DataFrame:
     """Activities of labelled senders become claims that carry the label as symbol; others get a null symbol."""
     known = labels.select(F.lower("address").alias("_labelled"), "label")
-    out = activities.join(known, F.lower("from_address") == F.col("_labelled"), "left")
+    out = activities.join(dimension(known), F.lower("from_address") == F.col("_labelled"), "left")
     kept = [c for c in activities.columns if c not in ("activity_type", "symbol")]
     return out.select(*kept, F.when(F.col("label").isNotNull(), "FAUCET_CLAIM").otherwise(F.col("activity_type")).alias("activity_type"), F.col("label").alias("symbol"))
 
@@ -64,7 +72,7 @@ def static_symbol(token: Column) -> Column:
 def resolve_symbol(activities: DataFrame, metadata: DataFrame) -> DataFrame:
     """The label, else the fixed table, else the metadata, else ETH for the zero address, else the address shortened."""
     dim = metadata.select(F.lower("address").alias("_token"), F.col("symbol").alias("_symbol"))
-    out = activities.join(dim, F.lower("token_address") == F.col("_token"), "left")
+    out = activities.join(dimension(dim), F.lower("token_address") == F.col("_token"), "left")
     filled = lambda c: F.nullif(c, F.lit(""))
     native = F.when(F.lower("token_address") == ZERO_ADDRESS, "ETH")
     symbol = F.coalesce(filled(F.col("symbol")), static_symbol(F.col("token_address")), filled(F.col("_symbol")), native, chain.short_symbol(F.col("token_address")))
@@ -74,7 +82,7 @@ def resolve_symbol(activities: DataFrame, metadata: DataFrame) -> DataFrame:
 def resolve_decimals(activities: DataFrame, metadata: DataFrame) -> DataFrame:
     """18 where the metadata has none."""
     dim = metadata.select(F.lower("address").alias("_token"), F.col("decimals").alias("_decimals"))
-    out = activities.join(dim, F.lower("token_address") == F.col("_token"), "left")
+    out = activities.join(dimension(dim), F.lower("token_address") == F.col("_token"), "left")
     decimals = F.when(F.lower("token_address") == ZERO_ADDRESS, 18).otherwise(F.coalesce("_decimals", F.lit(18)))
     return out.select(*activities.columns, decimals.cast("int").alias("decimals"))
 
@@ -83,7 +91,7 @@ def tx_activities(transactions: DataFrame, logs: DataFrame, labels: DataFrame) -
     """Claims, deployments and plain transfers of transactions, numbered from 20000 in each block."""
     with_logs = logs.where(F.size("topics") >= 1).select(F.col("block_number").alias("_block"), F.col("tx_hash").alias("_tx"), F.lit(True).alias("_logged")).distinct()
     known = labels.select(F.lower("address").alias("_labelled"), "label")
-    rows = transactions.join(known, F.lower("from_address") == F.col("_labelled"), "left")
+    rows = transactions.join(dimension(known), F.lower("from_address") == F.col("_labelled"), "left")
     rows = rows.join(with_logs, (F.col("block_number") == F.col("_block")) & (F.col("tx_hash") == F.col("_tx")), "left")
     plain = (F.col("value") > 0) & F.col("_logged").isNull() & F.col("to_address").isNotNull()
     kind = F.when(F.col("label").isNotNull(), "FAUCET_CLAIM").when(F.col("to_address").isNull(), "DEPLOY").when(plain, "ETH_TRANSFER")
