@@ -42,3 +42,25 @@ def carried_forward(df: DataFrame, key: str, value: Column, out: str, *, by: lis
     before = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     edge = edge.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).drop("_last")
     return rows.join(edge, parts, "left").withColumn(out, F.coalesce("_own", "_before")).drop("_value", "_own", "_before", "_range")
+
+
+def with_halo(df: DataFrame, key: str, reach: int, *, width: int = WIDTH) -> DataFrame:
+    """df with `_part`, a range of the key, and `_own`: each range also gets the rows up to `reach` before it, as copies with _own false.
+
+    A trailing window of at most `reach` within (_part, ...) is then whole for each row that a range owns.
+    """
+    width = max(width, reach)  # so that only the next range looks back at a row
+    part = F.floor(F.col(key) / width)
+    rows = df.withColumn("_home", part)
+    near = F.col(key) - F.col("_home") * width >= width - reach
+    parts = F.when(near, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))
+    return rows.withColumn("_part", F.explode(parts)).withColumn("_own", F.col("_part") == F.col("_home")).drop("_home")
+
+
+def with_position(df: DataFrame, key: str, out: str, *, by: list[str] = [], ties: list[str] = [], width: int = WIDTH) -> DataFrame:  # noqa: B006
+    """df with `out`: each row's place, from 0, in the order of key and ties, per `by`. Ranges of the key are counted by themselves; only their counts are summed up in order."""
+    rows, parts = _ranged(df, key, width, by)
+    rows = rows.withColumn("_at", F.row_number().over(W.partitionBy(*parts).orderBy(key, *ties)))
+    before = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    counts = rows.groupBy(*parts).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(counts, parts).withColumn(out, F.col("_before") + F.col("_at") - 1).drop("_at", "_before", "_range")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.neighbors import with_halo
+
 
 def latest_height() -> Column:
     return F.when(F.col("latest") > 0, F.col("latest")).when(F.col("fetched") > 0, F.col("fetched")).otherwise(F.col("synced"))
@@ -65,11 +67,12 @@ def catch_up(rows: DataFrame) -> DataFrame:
 
 def sustained(samples: DataFrame, condition: Column, seconds: int, out: str) -> DataFrame:
     """Whether a condition has held for all of the trailing time, which the samples must reach back over."""
-    w = W.partitionBy("chain_id").orderBy("_ms").rangeBetween(-seconds * 1000, 0)
-    whole = W.partitionBy("chain_id").orderBy("_ms")
     rows = samples.withColumn("_ms", F.unix_millis("ts")).withColumn("_ok", F.coalesce(condition, F.lit(False)).cast("int"))
-    held = (F.min("_ok").over(w) == 1) & (F.col("_ms") - F.min("_ms").over(whole) >= seconds * 1000)
-    return rows.withColumn(out, held).drop("_ms", "_ok")
+    began = rows.groupBy("chain_id").agg(F.min("_ms").alias("_began"))
+    w = W.partitionBy("chain_id", "_part").orderBy("_ms").rangeBetween(-seconds * 1000, 0)
+    rows = with_halo(rows, "_ms", seconds * 1000, width=3_600_000).withColumn("_held", F.min("_ok").over(w) == 1).where("_own").join(began, "chain_id", "left")
+    held = F.col("_held") & (F.col("_ms") - F.col("_began") >= seconds * 1000)
+    return rows.withColumn(out, held).drop("_ms", "_ok", "_part", "_own", "_held", "_began")
 
 
 def ingestion_rate(records: Column, seconds: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.neighbors import WIDTH, carried_forward, with_neighbor
+from ledgerlake.operators.neighbors import WIDTH, carried_forward, with_halo, with_neighbor, with_position
 from ledgerlake.operators.relational import previous_blocks
 
 
@@ -43,11 +43,19 @@ def chain_tps(blocks: DataFrame, width: int = WIDTH) -> DataFrame:
     return carried_forward(rows, "number", own, "tps", width=width).select("number", "tps")
 
 
-def heat(samples: DataFrame, by: list[str], order: list[str], value: str = "tps", size: int = 60) -> DataFrame:
-    """Mean of the last samples, heat from 0 to 100, wake-up and pace in milliseconds."""
-    w = W.partitionBy(*by).orderBy(*order)
-    rows = samples.withColumn("mean", F.avg(value).over(w.rowsBetween(-(size - 1), 0)))
-    rows = rows.withColumn("before", F.coalesce(F.avg(value).over(w.rowsBetween(-size, -1)), F.lit(0.0)))
+DAY_US = 86_400_000_000  #: width of ranges of time in microseconds
+
+
+def heat(samples: DataFrame, by: list[str], order: list[str], value: str = "tps", size: int = 60, block: int = 4096) -> DataFrame:
+    """Mean of the last samples, heat from 0 to 100, wake-up and pace in milliseconds. order: a timestamp and what parts equal ones.
+
+    A series is cut into blocks of its positions, each with the last `size` samples before it.
+    """
+    rows = with_position(samples.withColumn("_us", F.unix_micros(order[0])), "_us", "_place", by=by, ties=order[1:], width=DAY_US)
+    rows = with_halo(rows, "_place", size, width=block)
+    w = W.partitionBy(*by, "_part").orderBy("_place")
+    rows = rows.withColumn("mean", F.avg(value).over(w.rowsBetween(-(size - 1), 0)))
+    rows = rows.withColumn("before", F.coalesce(F.avg(value).over(w.rowsBetween(-size, -1)), F.lit(0.0))).where("_own")
     now = F.when(F.col(value) > 2 * F.col("mean"), F.col(value)).otherwise(F.col("mean"))
     pace = F.when(now >= 5.0, 200).when(now >= 2.0, 1000).when(now >= 0.5, 5000).otherwise(30000)
     return rows.select(*by, *order, value, "mean", F.least(F.col("mean") / 5.0 * 100, F.lit(100.0)).alias("heat"), ((F.col(value) > 2 * F.col("before")) | (F.col(value) > 2.0)).alias("wake"), pace.alias("pace_ms"))
@@ -64,9 +72,9 @@ def recommended_rate(fraction: Column, most: float) -> Column:
 
 def quota_sliding(requests: DataFrame, limit: int, seconds: int = 60, most: float = 15.0) -> DataFrame:
     """Each request's share of its node's quota in the trailing window, the mode and the rate that follow. requests: node, ts, request_id."""
-    w = W.partitionBy("node").orderBy("_ms").rangeBetween(-seconds * 1000 + 1, 0)
-    used = F.count("*").over(w)
-    rows = requests.withColumn("_ms", F.unix_millis("ts")).withColumn("used", used)
+    rows = with_halo(requests.withColumn("_ms", F.unix_millis("ts")), "_ms", seconds * 1000, width=3_600_000)
+    w = W.partitionBy("node", "_part").orderBy("_ms").rangeBetween(-seconds * 1000 + 1, 0)
+    rows = rows.withColumn("used", F.count("*").over(w)).where("_own")
     fraction = F.col("used") / limit
     return rows.select("request_id", "node", "used", fraction.alias("fraction"), throttle_mode(fraction).alias("mode"), recommended_rate(fraction, most).alias("rate"))
 
@@ -95,9 +103,9 @@ def quota_guard(requests: DataFrame, limit: int) -> DataFrame:
 
 def counter_deltas(samples: DataFrame, by: list[str], value: str = "value", order: list[str] = ["ts", "sample_id"]) -> DataFrame:  # noqa: B006
     """samples with the growth of their counter since the one before; a counter that fell has begun anew."""
-    w = W.partitionBy(*by).orderBy(*order)
-    prev = F.lag(value).over(w)
-    return samples.withColumn("delta", F.when(prev.isNull(), F.lit(0.0)).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev))
+    rows = with_neighbor(samples.withColumn("_us", F.unix_micros(order[0])), "_us", [value], "prev", by=by, ties=order[1:], width=DAY_US)
+    prev = F.col(f"prev.{value}")
+    return rows.withColumn("delta", F.when(prev.isNull(), F.lit(0.0)).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)).drop("_us", "prev")
 
 
 def counter_increase(samples: DataFrame, by: list[str], window: str, seconds: int) -> DataFrame:
@@ -114,14 +122,13 @@ def over_time(samples: DataFrame, by: list[str], window: str) -> DataFrame:
 
 def two_second_rate(samples: DataFrame, by: list[str]) -> DataFrame:
     """Half the growth since the sample before, whole numbers."""
-    w = W.partitionBy(*by).orderBy("tick")
-    prev = F.lag("value").over(w)
-    return samples.withColumn("rate", F.when(prev.isNull(), F.lit(0)).otherwise(F.floor((F.col("value") - prev) / 2)).cast("long"))
+    rows = with_neighbor(samples, "tick", ["value"], "prev", by=by)
+    prev = F.col("prev.value")
+    return rows.withColumn("rate", F.when(prev.isNull(), F.lit(0)).otherwise(F.floor((F.col("value") - prev) / 2)).cast("long")).drop("prev")
 
 
 def sync_speed(samples: DataFrame, by: list[str]) -> DataFrame:
     """Blocks per second between samples; null for the first and for samples of one instant."""
-    w = W.partitionBy(*by).orderBy("ts", "sample_id")
-    blocks = F.col("synced") - F.lag("synced").over(w)
-    seconds = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1e6
-    return samples.select(*by, "sample_id", F.try_divide(blocks, seconds).alias("speed"))
+    rows = with_neighbor(samples.withColumn("_us", F.unix_micros("ts")), "_us", ["synced", "_us"], "prev", by=by, ties=["sample_id"], width=DAY_US)
+    seconds = (F.col("_us") - F.col("prev._us")) / 1e6
+    return rows.select(*by, "sample_id", F.try_divide(F.col("synced") - F.col("prev.synced"), seconds).alias("speed"))

@@ -12,9 +12,6 @@ from ledgerlake.plans.views import Views
 from ledgerlake.sinks import batch as K
 from ledgerlake.streaming import frontier, jobs
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def _as_stream(v: Views, rows: DataFrame, tag: str, files: int = 8) -> DataFrame:
     """rows, written to files and streamed from them, three at a time."""
     folder = new_folder(v.spark, tag)
@@ -22,21 +19,26 @@ def _as_stream(v: Views, rows: DataFrame, tag: str, files: int = 8) -> DataFrame
     return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(folder)
 
 
-def _arrival(rows: DataFrame, files: int = 8, apart: int = 40, most: int = 100_000):
+def _arrival(rows: DataFrame, files: int = 4, apart: int = 40, most: int = 100_000):
     """The file in which each block comes: files follow the numbers, and a block comes up to `apart` numbers late."""
     top = rows.agg(F.max("number")).first()[0] or 0
     width = min(max(top // files + 1, 2 * apart), most)
     return F.floor((F.col("number") + F.pmod(F.xxhash64("number"), F.lit(apart))) / width)
 
 
+def _aged(v: Views, folder: str) -> None:
+    """Give files the order of their parts: a file stream takes the oldest file first."""
+    paths = v.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part=*/*.parquet")
+    store = paths.getFileSystem(v.spark._jsc.hadoopConfiguration())
+    for f in store.globStatus(paths):
+        store.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * int(f.getPath().getParent().getName().split("=")[1]), -1)
+
+
 def _in_order(v: Views, rows: DataFrame, tag: str) -> DataFrame:
     """rows, written to files in the order of their numbers and streamed from them, one at a time; fewer than 40 blocks are early at once."""
     folder = new_folder(v.spark, tag)
     rows.withColumn("part", _arrival(rows)).repartition("part").write.partitionBy("part").parquet(folder)
-    paths = v.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part=*/*.parquet")
-    store = paths.getFileSystem(v.spark._jsc.hadoopConfiguration())
-    for f in store.globStatus(paths):  # a file stream takes the oldest file first
-        store.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * int(f.getPath().getParent().getName().split("=")[1]), -1)
+    _aged(v, folder)
     return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
 
 
@@ -107,6 +109,35 @@ def k06(v):
     return blocks.agg(F.count("*").alias("blocks")).crossJoin(transfers.agg(F.count("*").alias("transfers"))).crossJoin(point).withColumn("again", F.lit(again))
 
 
+@query("k06_commit_cadence", "blocks", """WITH t AS (SELECT number, (number * 2 + number % 7) // 500 AS beat, number * 2 + number % 7 AS ms FROM blocks), p AS (SELECT *, (row_number() OVER (PARTITION BY beat ORDER BY ms, number) - 1) // 200 AS part, count(*) OVER (PARTITION BY beat) AS n FROM t)
+ SELECT beat, part, CASE WHEN (part + 1) * 200 <= any_value(n) THEN 'count' ELSE 'age' END AS reason, count(*) AS tasks, max(number) AS checkpoint FROM p GROUP BY beat, part""")
+def k06c(v):
+    n = F.col("number")
+    return K.flushes(v.blocks.select(n.alias("task_id"), n.alias("height"), (n * 2 + n % 7).alias("arrival_ms")))
+
+
+_HALF = "SELECT max(number) * 2 // 3 AS k FROM blocks"
+
+
+@query("q13_reorg_job", "blocks transfers", f"""WITH f AS ({_HALF}), a AS (SELECT max(number) AS ancestor FROM blocks, f WHERE number < k)
+ SELECT ancestor AS checkpoint, (SELECT count(*) FROM blocks WHERE number <= ancestor) AS blocks, (SELECT count(DISTINCT (block_number, log_index)) FROM transfers WHERE block_number <= ancestor) AS transfers, 1 AS commits, true AS aligned FROM a""")
+def q13_job(v):
+    store, now = K.Store(v.spark, new_folder(v.spark, "reorg-job")), F.timestamp_seconds(F.lit(1700000000))
+    top = v.blocks.agg(F.max("number")).head()[0]
+    fork = top * 2 // 3
+    stored = v.blocks.withColumn("hash", F.when(F.col("number") >= fork, F.concat(F.lit("0xfork"), "number")).otherwise(F.col("hash")))
+    for k in range(3):  # thirds of the numbers
+        third = lambda df, c, k=k: df.where(F.col(c).between(top * k // 3 + (k > 0), top * (k + 1) // 3))
+        K.commit_batch(store, k, 1, third(stored, "number"), third(v.transfers, "block_number"), now)
+    before = store.manifest().seq
+    right = v.canonical_blocks.where(F.col("number") >= fork - 500)
+    K.reorganise(store, 0, 1, right, v.blocks.schema, v.transfers.schema, now)
+    again = K.reorganise(store, 1, 1, right, v.blocks.schema, v.transfers.schema, now)
+    counts = store.read("blocks", v.blocks.schema).agg(F.count("*").alias("blocks")).crossJoin(store.read("transfers", v.transfers.schema).agg(F.count("*").alias("transfers")))
+    point = store.read("checkpoints", K.CHECKPOINTS).select(F.col("last_synced_block").alias("checkpoint"))
+    return point.crossJoin(counts).withColumn("commits", F.lit(store.manifest().seq - before)).withColumn("aligned", F.lit(again is None))
+
+
 @query("k07_tee_sinks", "blocks", "SELECT 'bad' AS sink, true AS failed, 0 AS rows UNION ALL SELECT 'one', false, count(*) FROM blocks UNION ALL SELECT 'two', false, count(*) FROM blocks")
 def k07(v):
     one, two = new_folder(v.spark, "tee"), new_folder(v.spark, "tee")
@@ -140,32 +171,99 @@ def t02(v):
     return _through(v, jobs.stream_dedup(stream, "created_at", "36500 days"), "deduplicated").select("block_number", "log_index")
 
 
-def _frontier(v: Views, rows: DataFrame, tag: str, source=_as_stream, **options) -> DataFrame:
-    before = v.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        stream = source(v, rows.withColumn("chain_id", F.lit(1).cast("long")).withColumn("range_end", F.lit(None).cast("long")), tag)
-        return _through(v, frontier.ordered_frontier(stream, stall_ms=None, **options), f"{tag}-out")
-    finally:
-        v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+def _parts(v: Views, parts: list[DataFrame], tag: str) -> DataFrame:
+    """Parts of a stream, streamed in their order, one a trigger."""
+    folder = new_folder(v.spark, tag)
+    for k, rows in enumerate(parts):
+        rows.coalesce(1).write.parquet(f"{folder}/part={k:04d}")
+    _aged(v, folder)
+    return v.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+
+
+def _frontier(v: Views, stream: DataFrame, tag: str, **options) -> K.Store:
+    store = K.Store(v.spark, new_folder(v.spark, f"{tag}-store"))
+    frontier.ordered_frontier(stream, store, new_folder(v.spark, f"{tag}-state"), **options).awaitTermination()
+    return store
+
 
+def _rows(blocks: DataFrame, chain=None, mark=None, at_ms: int | None = None) -> DataFrame:
+    """Blocks (or chains only, where blocks has no number) as rows of a frontier's stream."""
+    value = lambda c: c.cast("long") if c is not None else F.lit(None).cast("long")
+    text = lambda c: F.col(c) if c in blocks.columns else F.lit(None).cast("string")
+    number = F.col("number") if "number" in blocks.columns else F.lit(None)
+    return blocks.select(value(F.lit(1) if chain is None else chain).alias("chain_id"), value(number).alias("number"), text("hash").alias("hash"), text("parent_hash").alias("parent_hash"), value(mark).alias("range_end"), F.lit(at_ms).cast("long").alias("at_ms"))
 
-@query("t03_ordered_frontier", "canonical_blocks", "SELECT number, hash, 'block' AS kind FROM canonical_blocks WHERE number < 3000")
+
+@query("t03_ordered_frontier", "canonical_blocks", "SELECT number, hash, 'block' AS kind FROM canonical_blocks")
 def t03(v):
-    rows = v.canonical_blocks.where("number < 3000").select("number", "hash", "parent_hash")
-    return _frontier(v, rows, "frontier", most=50_000).select("number", "hash", "kind")
+    stream = _as_stream(v, _rows(v.canonical_blocks), "frontier", 6)
+    return _frontier(v, stream, "frontier", most=None).read("ordered", frontier.ORDERED).select("number", "hash", F.lit("block").alias("kind"))
+
+
+SHORT = 97  #: blocks of one of many short chains; each has one gap, at 13
+
+
+def _short(v: Views, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks as chains of SHORT numbers from 0, unlinked, and the chains."""
+    chain = F.floor(F.col("number") / SHORT)
+    rows = blocks.select(chain.alias("chain_id"), (F.col("number") % SHORT).alias("number"), "hash", F.lit(None).cast("string").alias("parent_hash"))
+    return _rows(rows, F.col("chain_id")), rows.select("chain_id").distinct()
+
+
+_SHORT = f"WITH s AS (SELECT number // {SHORT} AS chain_id, number % {SHORT} AS number, hash FROM blocks), c AS (SELECT chain_id, max(number) AS top, max(number) > 13 AS gap FROM s GROUP BY 1)"
+
+
+@query("t05_gap_bypass", "blocks", f"""{_SHORT}
+ SELECT chain_id, 'refetch' AS kind, 13::BIGINT AS range_from, 13::BIGINT AS range_to, 3::BIGINT AS n FROM c WHERE gap
+ UNION ALL SELECT chain_id, 'bypass', 13, 13, 1 FROM c WHERE gap
+ UNION ALL SELECT chain_id, 'bypass', top + k, top + k, 1 FROM c, (VALUES (1), (2)) v(k) WHERE k = 1 OR NOT gap
+ UNION ALL SELECT chain_id, 'block', min(number), max(number), count(*) FROM s GROUP BY chain_id""")
+def t05(v):
+    rows, chains = _short(v, v.blocks)
+    tick = lambda s: _rows(chains, F.col("chain_id"), at_ms=s * 1000)
+    # a clock of six times: the start, 55 seconds without progress (three requests, then the bypass), and as long again
+    stream = _parts(v, [rows.unionByName(tick(0)), tick(55), tick(56), tick(57), tick(58), tick(113)], "bypass")
+    store = _frontier(v, stream, "bypass", most=None, stall_ms=frontier.STALL_MS)
+    events = store.read("events", frontier.EVENTS).groupBy("chain_id", "kind", "range_from", "range_to").agg(F.count("*").alias("n"))
+    blocks = store.read("ordered", frontier.ORDERED).groupBy("chain_id").agg(F.min("number").alias("range_from"), F.max("number").alias("range_to"), F.count("*").alias("n"))
+    return events.unionByName(blocks.withColumn("kind", F.lit("block")))
+
+
+@query("t07_range_teleport", "blocks", f"{_SHORT} SELECT s.chain_id, s.number, s.hash FROM s JOIN c USING (chain_id) WHERE s.number < 13 OR s.number > CASE WHEN chain_id % 3 = 0 THEN 40 ELSE 13 END")
+def t07(v):
+    rows, chains = _short(v, v.blocks)
+    passed = _rows(chains, F.col("chain_id"), F.lit(5))  # behind what is expected, so it moves nothing
+    marks = _rows(chains, F.col("chain_id"), F.when(F.col("chain_id") % 3 == 0, 40).otherwise(13))  # the gap, and for some chains blocks that wait behind it
+    store = _frontier(v, _parts(v, [rows, passed, marks], "teleport"), "teleport", most=None)
+    return store.read("ordered", frontier.ORDERED)
+
 
+_OVER = 50
 
-@query("t06_buffer_overflow_skip", "blocks")
+
+@query("t06_buffer_overflow_skip", "blocks", f"""WITH b AS (SELECT number FROM blocks WHERE number % 211 <> 5 AND number % 101 <> 7),
+ g AS (SELECT number, lag(number) OVER (ORDER BY number) AS prev, count(*) OVER (ORDER BY number DESC) AS behind FROM b),
+ stop AS (SELECT coalesce(min(number), (SELECT max(number) + 1 FROM b)) AS at FROM g WHERE number > coalesce(prev, -1) + 1 AND behind <= {_OVER})
+ SELECT 'overflow' AS kind, coalesce(prev, -1) + 1 AS range_from, number - 1 AS range_to, 1::BIGINT AS n FROM g, stop WHERE number > coalesce(prev, -1) + 1 AND number < stop.at
+ UNION ALL SELECT 'block', min(number), max(number), count(*) FROM b, stop WHERE number < stop.at""")
 def t06(v):
-    rows = v.blocks.where("number % 211 <> 5 AND number % 101 <> 7").select("number", "hash", "parent_hash")
-    return _frontier(v, rows, "overflow", _in_order, most=50).groupBy("kind").agg(F.count("*").alias("n"))
+    rows = v.blocks.where("number % 211 <> 5 AND number % 101 <> 7")
+    store = _frontier(v, _in_order(v, _rows(rows), "overflow"), "overflow", most=_OVER)
+    events = store.read("events", frontier.EVENTS).select("kind", "range_from", "range_to", F.lit(1).cast("long").alias("n"))
+    blocks = store.read("ordered", frontier.ORDERED).agg(F.min("number").alias("range_from"), F.max("number").alias("range_to"), F.count("*").alias("n"))
+    return events.unionByName(blocks.withColumn("kind", F.lit("block")))
 
 
-@query("t08_stream_reorg", "blocks")
+@query("t08_stream_reorg", "blocks canonical_blocks", f"""WITH b AS (SELECT number // {SHORT} AS chain_id, min(number) AS at FROM blocks WHERE number % {SHORT} > 0 AND (number % 211 = 5 OR number % 101 = 7) GROUP BY 1),
+ c AS (SELECT number // {SHORT} AS chain_id, count(*) AS blocks, count(DISTINCT number) AS numbers FROM canonical_blocks GROUP BY 1) SELECT c.chain_id, blocks, numbers, b.at % {SHORT} AS reorg_at FROM c LEFT JOIN b USING (chain_id)""")
 def t08(v):
-    rows = v.blocks.select("number", "hash", "parent_hash")
-    return _frontier(v, rows, "reorg", _in_order, most=50).groupBy("kind").agg(F.count("*").alias("n"))
+    # forked blocks with gaps, and the canonical ones twice: a fork behind a gap shows only when the gap is filled
+    short = lambda df: _rows(df.select((F.col("number") % SHORT).alias("number"), "hash", "parent_hash", F.floor(F.col("number") / SHORT).alias("chain")), F.col("chain"))
+    right = short(v.canonical_blocks)
+    store = _frontier(v, _parts(v, [short(v.blocks), right, right], "reorg"), "reorg", most=None)
+    reorgs = store.read("events", frontier.EVENTS).where("kind = 'reorg'").groupBy("chain_id").agg(F.min("number").alias("reorg_at"), F.count("*").alias("n"))
+    blocks = store.read("ordered", frontier.ORDERED).groupBy("chain_id").agg(F.count("*").alias("blocks"), F.count_distinct("number").alias("numbers"))
+    return blocks.join(reorgs.where("n = 1"), "chain_id", "left").select("chain_id", "blocks", "numbers", "reorg_at")
 
 
 @query("t04_frontier_batch", "blocks", "SELECT min(number) - 1 AS frontier FROM (SELECT unnest(range(14, 20000)) AS number EXCEPT SELECT number FROM blocks)")
@@ -192,6 +290,20 @@ def t10(v):
     return jobs.sliding_rate_batch(v.events, "ts")
 
 
+_SILENCE = "WITH e AS (SELECT epoch(date_trunc('second', ts))::BIGINT AS s FROM events), x AS (SELECT s + k AS second, k < 5 AS inside FROM e, range(6) r(k)) SELECT second, (count(*) FILTER (inside) / 5.0)::DOUBLE AS rate FROM x GROUP BY second"
+
+
+@query("t10_sliding_silence", "", _SILENCE)
+def t10_silence(v):
+    return jobs.rate_with_silence(v.events, "ts")
+
+
+@query("t10_sliding_silence_stream", "", _SILENCE)
+def t10_silence_stream(v):
+    stream = _as_stream(v, v.events.select("ts"), "rates")
+    return jobs.run_complete(jobs.rate_with_silence(stream, "ts"), new_folder(v.spark, "rate-counts"), new_folder(v.spark, "rate-state"))
+
+
 @query("t11_latest_per_type", "", "SELECT event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type NOT IN ('signup', 'error') GROUP BY event_type, epoch_us(ts) // 200000 UNION ALL SELECT event_type, event_id, value FROM events WHERE event_type IN ('signup', 'error')")
 def t11(v):
     return jobs.latest_per_type(v.events.select("event_type", "event_id", "value", "ts"))
@@ -203,11 +315,26 @@ def t12(v):
     return frontier.request_merge_batch(rows, 3_600_000)
 
 
-@query("t13_height_merge", "status_samples", "WITH s AS (SELECT chain_id, (epoch_us(ts) // 1000) // 100 AS slot, max(latest) AS head FROM status_samples GROUP BY 1, 2) SELECT chain_id, slot, max(head) OVER (PARTITION BY chain_id ORDER BY slot) AS head FROM s")
+_MERGED = "WITH s AS (SELECT chain_id, (epoch_us(ts) // 1000) // 100 AS slot, max(latest) AS head FROM status_samples GROUP BY 1, 2) SELECT chain_id, slot, max(head) OVER (PARTITION BY chain_id ORDER BY slot) AS head FROM s"
+
+
+@query("t13_height_merge", "status_samples", _MERGED)
 def t13(v):
     return jobs.height_merge(v.status_samples)
 
 
+@query("t13_height_merge_stream", "status_samples", _MERGED)
+def t13s(v):
+    rows = v.status_samples.select("chain_id", "ts", "latest")
+    ends = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.max("chain_id").alias("c")).head()
+    quarter = F.floor(F.lit(4) * (F.unix_micros("ts") - F.unix_micros(F.lit(ends.low))) / (F.unix_micros(F.lit(ends.high)) - F.unix_micros(F.lit(ends.low)) + 1))
+    closing = rows.sparkSession.range(1).select(F.lit(ends.c).alias("chain_id"), (F.lit(ends.high) + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit(0).cast("long").alias("latest"))  # its own window stays open
+    parts = [rows.where(quarter == k) for k in range(4)]
+    store = K.Store(v.spark, new_folder(v.spark, "heads-store"))
+    jobs.height_merge_stream(_parts(v, [*parts, closing], "heads"), store, new_folder(v.spark, "heads-state")).awaitTermination()
+    return store.read("merged", "chain_id long, slot long, head long")
+
+
 @query("t14_stream_commit", "blocks", "SELECT count(*) AS blocks, max(number) AS checkpoint FROM blocks")
 def t14(v):
     store = K.Store(v.spark, new_folder(v.spark, "stream-store"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import audit
+from ledgerlake.sinks.store import Store
+
 TRANSFER_ORDER = ["tx_hash", "from_address", "to_address", "token_address", "amount", "activity_type", "created_at"]
 
 
@@ -79,64 +83,65 @@ def quarantine(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Da
     return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0).withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
-class Store:
-    """Tables as versioned folders of Parquet: a commit writes new folders and then one small row that names them.
-
-    Readers follow the newest row. A commit of a batch that its run has already committed changes nothing, so retried batches are
-    safe; a run is one stream with its checkpoint, so a stream that starts anew, counting from 0, loses nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def commits(self) -> DataFrame:
-        schema = "seq long, run string, batch_id long, name string, folder string"
-        if not self._exists(f"{self.path}/_commits"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/_commits")
-
-    def committed(self, run: str = "") -> int:
-        """The run's last batch; -1 before its first."""
-        top = self.commits().where(F.col("run") == run).agg(F.max("batch_id").alias("b")).head().b
-        return -1 if top is None else top
-
-    def read(self, name: str, schema) -> DataFrame:
-        """A table: its appended folders and, for replaced tables, the newest one."""
-        rows = [r.folder for r in self.commits().where(F.col("name") == name).orderBy("seq").collect()]
-        rows = rows[max((i for i, f in enumerate(rows) if "/replaced-" in f), default=0) :]
-        return self.spark.read.schema(schema).parquet(*rows) if rows else self.spark.createDataFrame([], schema)
-
-    def commit(self, batch_id: int, appended: dict[str, DataFrame], replaced: dict[str, DataFrame], run: str = "") -> bool:
-        """Write all tables and name them in one file; False if the run has committed the batch before."""
-        if batch_id <= self.committed(run):
-            return False
-        last = self.commits().agg(F.max("seq").alias("s")).head().s
-        seq, names = 0 if last is None else last + 1, []
-        for kind, tables in (("appended", appended), ("replaced", replaced)):
-            for name, df in tables.items():
-                folder = f"{self.path}/{name}/{kind}-{seq:012d}"
-                df.write.mode("overwrite").parquet(folder)
-                names.append((seq, run, batch_id, name, folder))
-        self.spark.createDataFrame(names, "seq long, run string, batch_id long, name string, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/_commits")
-        return True
-
-
 BLOCKS = "number long, hash string, parent_hash string, timestamp long, gas_limit long, gas_used long, transaction_count int, processed_at_ms long"
 CHECKPOINTS = "chain_id long, last_synced_block long, updated_at timestamp"
 
 
 def commit_batch(store: Store, batch_id: int, chain_id: int, blocks: DataFrame, transfers: DataFrame, now: Column, run: str = "") -> bool:
-    """Blocks, transfers and the checkpoint at the batch's greatest height (never lower than before), together."""
-    old_blocks, old_transfers = store.read("blocks", blocks.schema), store.read("transfers", transfers.schema)
-    point = blocks.agg(F.max("number").alias("last_synced_block")).where("last_synced_block IS NOT NULL")
-    point = point.select(F.lit(chain_id).cast("long").alias("chain_id"), "last_synced_block", now.alias("updated_at"))
+    """Blocks, transfers and the checkpoint at the batch's greatest height (never lower than before), together.
+
+    Of what is stored, only folders whose bounds meet the batch's numbers are compared with it.
+    """
+    if batch_id <= store.committed(run):
+        return False
+    ends = [F.min("k").alias("low"), F.max("k").alias("high")]
+    own = blocks.select(F.col("number").alias("k")).agg(*ends).head()
+    other = transfers.select(F.col("block_number").cast("long").alias("k")).agg(*ends).head()
+    stored = lambda name, rows, b: store.read(name, rows.schema, b.low, b.high) if b.low is not None else rows.limit(0)
+    new_blocks = insert_blocks_if_absent(stored("blocks", blocks, own), blocks)
+    new_transfers = insert_transfers_if_absent(stored("transfers", transfers, other), transfers)
+    point = store.spark.createDataFrame([(chain_id, own.high)], "chain_id long, last_synced_block long").where("last_synced_block IS NOT NULL").withColumn("updated_at", now)
     points = store.read("checkpoints", CHECKPOINTS).unionByName(point)
     latest = points.groupBy("chain_id").agg(F.max("last_synced_block").alias("last_synced_block"), F.max("updated_at").alias("updated_at"))
-    return store.commit(batch_id, {"blocks": insert_blocks_if_absent(old_blocks, blocks), "transfers": insert_transfers_if_absent(old_transfers, transfers)}, {"checkpoints": latest}, run)
+    return store.commit(batch_id, {"blocks": new_blocks, "transfers": new_transfers}, {"checkpoints": latest}, run)
+
+
+def flush_batches(tasks: DataFrame, most: int = 200, every_ms: int = 500) -> DataFrame:
+    """K06's cadence: tasks (task_id, height, arrival_ms) with the flush that commits each: a clock flushes every `every_ms` what has
+    gathered since its last beat, and `most` tasks are flushed at once. Adds beat, part, and reason (count or age). Beats are independent of each other.
+    """
+    w = W.partitionBy("beat").orderBy("arrival_ms", "task_id")
+    rows = tasks.withColumn("beat", F.floor(F.col("arrival_ms") / every_ms))
+    rows = rows.withColumn("part", F.floor((F.row_number().over(w) - 1) / most)).withColumn("_n", F.count("*").over(W.partitionBy("beat")))
+    return rows.withColumn("reason", F.when((F.col("part") + 1) * most <= F.col("_n"), "count").otherwise("age")).drop("_n")
+
+
+def flushes(tasks: DataFrame, most: int = 200, every_ms: int = 500) -> DataFrame:
+    """The commits of a cadence: beat, part, reason, tasks, and the checkpoint that each sets."""
+    return flush_batches(tasks, most, every_ms).groupBy("beat", "part", "reason").agg(F.count("*").alias("tasks"), F.max("height").alias("checkpoint"))
+
+
+def reorganise(store: Store, batch_id: int, chain_id: int, incoming: DataFrame, blocks_schema, transfers_schema, now: Column, *, back: int = 1000, run: str = "reorg") -> int | None:
+    """Q11 to Q13 as one commit: if incoming (canonical) blocks contradict stored ones, find the last common block before the first
+    contradiction, delete what is stored above it, with its transfers, and set the checkpoint there. The ancestor; None where
+    nothing contradicts. Raises ValueError if no ancestor lies within `back` blocks; nothing is changed then.
+
+    Only folders near the incoming numbers are read; folders above the ancestor are dropped unread.
+    """
+    ends = incoming.agg(F.min("number").alias("low"), F.max("number").alias("high")).head()
+    if ends.low is None:
+        return None
+    stored = store.read("blocks", blocks_schema, ends.low - 1 - back, ends.high)
+    at = audit.detect_reorg(incoming, stored, chain_id).agg(F.min("number").alias("at")).head().at
+    if at is None:
+        return None
+    ancestor = audit.common_ancestor(stored, incoming, at - 1, back).head().ancestor
+    if ancestor is None:
+        raise ValueError(f"no common block within {back} before block {at}")
+    point = store.spark.createDataFrame([(chain_id, ancestor)], "chain_id long, last_synced_block long").withColumn("updated_at", now)
+    points = store.read("checkpoints", CHECKPOINTS).where(F.col("chain_id") != chain_id).unionByName(point)
+    store.commit(batch_id, {}, {"checkpoints": points}, run, above={"blocks": ancestor, "transfers": ancestor})
+    return ancestor
 
 
 def tee_sinks(rows: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> DataFrame:

@@ -1,153 +1,190 @@
-"""Blocks in order from a stream that brings them early, late or not at all.
+"""Blocks in order from a stream that brings them early, late or not at all (T03, T05 to T08), and merged requests.
 
-A chain's state is the next expected number, the last released hash and the early blocks' numbers and hashes; everything else
-of a block stays upstream or is joined later. Chains are independent keys.
+What has come but can't be released yet is held as runs: intervals of numbers without a gap whose blocks are linked by their
+hashes. A micro-batch finds the runs of its own blocks in ranges of the numbers, merges them and the waiting runs by their edges,
+and decides by edges alone how far a chain goes. Only edges of a chain's runs are looked at together;
+its blocks never are. Blocks that wait lie in folders with bounds, and a release reads the folders that it needs. Blocks, events,
+runs and heads of a batch become visible in one commit, and a batch that is tried again changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ledgerlake.operators.neighbors import WIDTH
+from ledgerlake.sinks.batch import first_of
+from ledgerlake.sinks.store import Store
 
-OUTPUT = "chain_id long, kind string, number long, hash string, range_from long, range_to long"
 STALL_MS = 55_000
 REFETCHES = 3
 MOST_BUFFERED = 1000
+RUNS = "chain_id long, start long, end long, parent string, hash string"
+HEADS = "chain_id long, expected long, last_hash string, refetched int, moved_ms long, since long"
+WAITING = "chain_id long, number long, hash string, parent_hash string, batch_id long"
+ORDERED = "chain_id long, number long, hash string"
+EVENTS = "chain_id long, kind string, number long, range_from long, range_to long"
 
 
-@dataclass
-class Frontier:
-    """The state of one chain, and what each event does to it. Events give (kind, number, hash, from, to) rows."""
-
-    expected: int
-    last_hash: str | None = None
-    buffer: dict[int, tuple[str | None, str | None]] = field(default_factory=dict)
-    most: int = MOST_BUFFERED
-    refetched: int = 0
-
-    def _release(self) -> Iterator[tuple]:
-        while self.expected in self.buffer:
-            own, parent = self.buffer.pop(self.expected)
-            if self.last_hash is not None and parent is not None and parent.lower() != self.last_hash.lower():
-                n = self.expected
-                for k in [k for k in self.buffer if k >= n]:
-                    del self.buffer[k]
-                self.last_hash = None  # the rollback decides what comes before
-                yield "reorg", n, own, None, None
-                return
-            yield "block", self.expected, own, None, None
-            self.last_hash, self.expected, self.refetched = own, self.expected + 1, 0
-
-    def _jump(self, target: int, reason: str) -> Iterator[tuple]:
-        yield reason, None, None, self.expected, target - 1
-        self.expected, self.last_hash, self.refetched = target, None, 0
-        for k in [k for k in self.buffer if k < target]:
-            del self.buffer[k]
-
-    def block(self, number: int, own: str | None, parent: str | None) -> Iterator[tuple]:
-        """A block arrives; late ones are dropped, early ones wait."""
-        if number < self.expected:
-            return
-        self.buffer.setdefault(number, (own, parent))
-        yield from self._release()
-        if len(self.buffer) > self.most:
-            yield from self._jump(min(self.buffer), "overflow")
-            yield from self._release()
-
-    def progress(self, range_end: int) -> Iterator[tuple]:
-        """A marker that everything up to range_end holds nothing more."""
-        if range_end + 1 > self.expected:
-            self.expected, self.last_hash, self.refetched = range_end + 1, None, 0
-            for k in [k for k in self.buffer if k < self.expected]:
-                del self.buffer[k]
-            yield from self._release()
-
-    def stalled(self) -> Iterator[tuple]:
-        """Nothing has come for too long: ask for the gap, then skip it."""
-        target = min(self.buffer) if self.buffer else self.expected + 1
-        if self.refetched < REFETCHES:
-            self.refetched += 1
-            yield "refetch", None, None, self.expected, target - 1
-            return
-        yield from self._jump(target, "bypass")
-        yield from self._release()
+def _differ(a: Column, b: Column) -> Column:
+    """Whether two hashes are known and differ."""
+    return F.coalesce(F.lower(a) != F.lower(b), F.lit(False))
 
 
-class OrderedFrontier(StatefulProcessor):
-    """T03 with T05 to T08. Rows: chain_id, number, hash, parent_hash, range_end; a row without number is a progress marker."""
+def _islands(rows: DataFrame, parts: list[str]) -> DataFrame:
+    """Intervals (start, end, parent of the first block, hash of the last) joined, within each part, where one follows another and is linked to it."""
+    w = W.partitionBy(*parts).orderBy("start")
+    follows = F.coalesce(F.lag("end").over(w) + 1 == F.col("start"), F.lit(False)) & ~_differ(F.lag("hash").over(w), F.col("parent"))
+    rows = rows.withColumn("_first", (~follows).cast("int"))
+    rows = rows.withColumn("_island", F.sum("_first").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    found = rows.groupBy(*parts, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("parent", "start").alias("parent"), F.max_by("hash", "start").alias("hash"))
+    return found.select("chain_id", "start", "end", "parent", "hash")
 
-    def __init__(self, start: int = 0, most: int = MOST_BUFFERED, stall_ms: int | None = STALL_MS):
-        self.start, self.most, self.stall_ms = start, most, stall_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.head = handle.getValueState("head", "expected long, last_hash string, refetched int, moved_ms long")
-        self.early = handle.getMapState("early", "number long", "hash string, parent_hash string")
-
-    def _load(self) -> tuple[Frontier, int]:
-        expected, last, refetched, moved = self.head.get() if self.head.exists() else (self.start, None, 0, 0)
-        buffer = {k[0]: (v[0], v[1]) for k, v in self.early.iterator()} if self.early.exists() else {}
-        return Frontier(expected, last, buffer, self.most, refetched), moved
-
-    def _save(self, f: Frontier, before: dict, moved: int) -> None:
-        for k in before.keys() - f.buffer.keys():
-            self.early.removeKey((k,))
-        for k in f.buffer.keys() - before.keys():
-            self.early.updateValue((k,), f.buffer[k])
-        self.head.update((f.expected, f.last_hash, f.refetched, moved))
-
-    def _rows(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        if out:
-            frame = pd.DataFrame(out, columns=["kind", "number", "hash", "range_from", "range_to"])
-            frame.insert(0, "chain_id", key[0])
-            yield frame.astype({"number": "Int64", "range_from": "Int64", "range_to": "Int64"})
-
-    def _timer(self, now: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(now + self.stall_ms)
+def runs_of(blocks: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Runs of blocks (chain_id, number, hash, parent_hash) within ranges of `width` numbers."""
+    rows = blocks.select("chain_id", F.floor(F.col("number") / width).alias("_range"), F.col("number").alias("start"), F.col("number").alias("end"), F.col("parent_hash").alias("parent"), "hash")
+    return _islands(rows, ["chain_id", "_range"])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        f, moved = self._load()
-        before, expected = dict(f.buffer), f.expected
-        now, out = timerValues.getCurrentProcessingTimeInMs() if self.stall_ms else 0, []
-        events = pd.concat(list(rows), ignore_index=True).sort_values("number", na_position="first", kind="stable")
-        for r in events.itertuples(index=False):
-            if pd.notna(r.number):
-                out += f.block(int(r.number), r.hash, r.parent_hash if isinstance(r.parent_hash, str) else None)
-            elif pd.notna(r.range_end):
-                out += f.progress(int(r.range_end))
-        if self.stall_ms and (f.expected != expected or not moved):
-            moved = now
-            self._timer(now)
-        self._save(f, before, moved)
-        yield from self._rows(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        f, _ = self._load()
-        before = dict(f.buffer)
-        out = list(f.stalled()) if f.buffer else []
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if f.buffer or out:
-            self.handle.registerTimer(now + self.stall_ms)
-        self._save(f, before, now)
-        yield from self._rows(key, out)
 
-    def close(self) -> None:
-        pass
+def merged(runs: DataFrame) -> DataFrame:
+    """Runs joined by their edges; a row is a run, not a block."""
+    return _islands(runs, ["chain_id"])
 
 
-def ordered_frontier(stream: DataFrame, start: int = 0, most: int = MOST_BUFFERED, stall_ms: int | None = STALL_MS) -> DataFrame:
-    """Blocks in order, and rows about reorganisations, refetches and skipped ranges. Needs the RocksDB state store.
+def outside(blocks: DataFrame, runs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Blocks whose numbers lie in none of the runs. A run goes to each range of numbers that it touches."""
+    at = lambda c: F.floor(F.col(c) / width)
+    rows = blocks.select("chain_id", at("number").alias("_range"), F.col("number").alias("start"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"), "hash", "parent_hash")
+    pieces = runs.select("chain_id", F.explode(F.sequence(at("start"), at("end"))).alias("_range"), "start", F.lit(0).alias("kind"), "end")
+    w = W.partitionBy("chain_id", "_range").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.unionByName(pieces, allowMissingColumns=True).withColumn("cover", F.last("end", ignorenulls=True).over(w))
+    rows = rows.where((F.col("kind") == 1) & F.coalesce(F.col("start") > F.col("cover"), F.lit(True)))
+    return rows.select("chain_id", F.col("start").alias("number"), "hash", "parent_hash")
 
-    stall_ms None: no timers, for runs that end when their input does (with timers a run goes on, waiting for them).
+
+class IntervalFrontier:
+    """A sink of micro-batches: chain_id, number, hash, parent_hash, range_end, at_ms.
+
+    Rows with a number are blocks. Rows with a range_end only are markers: everything up to it holds nothing more (T07). at_ms is a
+    clock (the rows of a rate source, say): once a chain hasn't moved for `stall_ms`, each batch that brings a later time asks for
+    the gap again, up to `refetches` times, and then skips it (T05); a chain with nothing waiting moves on by one. More than `most`
+    waiting blocks skip the gaps before them (T06); None: no limit. A block that contradicts the hash before it is a
+    reorganisation: it and all that waits behind it go, and the chain expects its number again (T08).
+
+    The store gets tables ordered (blocks in order), events (reorg, overflow, refetch, bypass), waiting, runs and heads.
     """
-    rows = stream.select("chain_id", "number", "hash", "parent_hash", "range_end")
-    return rows.groupBy("chain_id").transformWithStateInPandas(OrderedFrontier(start, most, stall_ms), OUTPUT, "Append", "ProcessingTime" if stall_ms else "None")
+
+    def __init__(self, store: Store, *, start: int = 0, most: int | None = MOST_BUFFERED, stall_ms: int | None = None, refetches: int = REFETCHES, width: int = WIDTH):
+        self.store, self.start, self.most, self.stall_ms, self.refetches, self.width = store, start, most, stall_ms, refetches, width
+
+    def __call__(self, batch: DataFrame, batch_id: int, run: str = "") -> None:
+        if batch_id <= self.store.committed(run):
+            return
+        held = [batch.select("chain_id", "number", "hash", "parent_hash", "range_end", "at_ms").persist()]
+        try:
+            self._advance(held, batch_id, run)
+        finally:
+            for df in held:
+                df.unpersist()
+
+    def _keep(self, held: list[DataFrame], df: DataFrame) -> DataFrame:
+        """df, held and computed now: what is planned after it knows its size, so that small sides of joins need no shuffle."""
+        held.append(df.persist())
+        df.count()
+        return held[-1]
+
+    def _heads(self, rows: DataFrame) -> DataFrame:
+        """Each chain's head with this batch's marker and clock; a marker moves it."""
+        marks = rows.groupBy("chain_id").agg(F.max("range_end").alias("mark"), F.max("at_ms").alias("now"))
+        heads = self.store.read("heads", HEADS).join(marks, "chain_id", "full")
+        old = F.coalesce("expected", F.lit(self.start).cast("long"))
+        jumps = F.coalesce(F.col("mark") + 1 > old, F.lit(False))
+        return heads.select(
+            "chain_id", F.when(jumps, F.col("mark") + 1).otherwise(old).alias("expected"), F.when(~jumps, F.col("last_hash")).alias("last_hash"),
+            F.coalesce("refetched", F.lit(0)).alias("refetched"), "moved_ms", F.coalesce("since", F.lit(-1)).alias("since"), "now", jumps.alias("jumped"),
+        )
+
+    def _unstalled(self, heads: DataFrame, runs: DataFrame) -> DataFrame:
+        """heads with what a chain that has stood still for too long does: refetch, or bypass (to `expected`)."""
+        first = runs.groupBy("chain_id").agg(F.min("start").alias("first"), F.sum(F.col("end") - F.col("start") + 1).alias("waiting"))
+        h = heads.join(first, "chain_id", "left")
+        moves = F.col("jumped") | F.coalesce(F.col("first") == F.col("expected"), F.lit(False))
+        if self.most is not None:
+            moves = moves | (F.coalesce("waiting", F.lit(0)) > self.most)
+        still = F.lit(False) if self.stall_ms is None else ~moves & F.coalesce(F.col("now") - F.col("moved_ms") >= self.stall_ms, F.lit(False))
+        asks = still & F.col("first").isNotNull() & (F.col("refetched") < self.refetches)
+        h = h.withColumn("stood", F.col("expected")).withColumn("asks", asks).withColumn("skips", still & ~asks).withColumn("target", F.coalesce("first", F.col("expected") + 1))
+        return h.withColumn("last_hash", F.when(~F.col("skips"), F.col("last_hash"))).withColumn("expected", F.when(F.col("skips"), F.col("target")).otherwise(F.col("expected")))
+
+    def _reached(self, runs: DataFrame, heads: DataFrame) -> DataFrame:
+        """Waiting runs with how far their chain gets: done, gap_from (where a gap before a run that is done begins), and breaks on the run at which a reorganisation shows."""
+        w = W.partitionBy("chain_id").orderBy("start")  # the edges of a chain's waiting runs
+        r = runs.join(heads.select("chain_id", "expected", "last_hash"), "chain_id")
+        r = r.withColumn("prev", F.lag("end").over(w)).withColumn("gap_from", F.coalesce(F.col("prev") + 1, F.col("expected")))
+        behind = F.sum(F.col("end") - F.col("start") + 1).over(w.rowsBetween(0, W.unboundedFollowing))
+        follows = F.col("start") == F.col("gap_from")
+        may_skip = F.lit(False) if self.most is None else behind > self.most
+        breaks = follows & F.when(F.col("prev").isNotNull(), F.lit(True)).otherwise(_differ(F.col("last_hash"), F.col("parent")))  # linked neighbours are one run
+        r = r.withColumn("follows", follows).withColumn("breaks", breaks).withColumn("stops", (breaks | ~(follows | may_skip)).cast("int"))
+        stopped = F.sum("stops").over(w.rowsBetween(W.unboundedPreceding, 0))
+        return r.withColumn("done", stopped == 0).withColumn("breaks", F.col("breaks") & (stopped == 1) & (F.col("stops") == 1))
+
+    def _advance(self, held: list[DataFrame], batch_id: int, run: str) -> None:
+        keep, rows = (lambda df: self._keep(held, df)), held[0]
+        heads = keep(self._heads(rows))
+        edge = heads.select("chain_id", F.col("expected").alias("_from"))
+        waiting = self.store.read("runs", RUNS).join(edge, "chain_id").where("end >= _from")
+        cut = F.col("start") < F.col("_from")
+        waiting = waiting.select("chain_id", F.greatest("start", "_from").alias("start"), "end", F.when(~cut, F.col("parent")).alias("parent"), "hash")
+        blocks = first_of(rows.where("number IS NOT NULL").join(edge, "chain_id").where("number >= _from").select("chain_id", "number", "hash", "parent_hash"), ["chain_id", "number"], ["hash", "parent_hash"])
+        fresh = keep(outside(blocks, waiting, self.width))
+        runs = keep(merged(runs_of(fresh, self.width).unionByName(waiting)))
+        heads = self._unstalled(heads, runs)
+        reached = keep(self._reached(runs, heads))
+        moved = reached.groupBy("chain_id").agg(
+            F.max(F.when(F.col("done"), F.col("end"))).alias("to"), F.max_by("hash", F.when(F.col("done"), F.col("start"))).alias("to_hash"), F.max(F.when(F.col("breaks"), F.col("start"))).alias("reorg"),
+        )
+        h = keep(heads.join(moved, "chain_id", "left"))
+        went = F.col("to").isNotNull()
+        progress = went | F.col("skips") | F.col("jumped")
+        after = h.select(
+            "chain_id", F.when(went, F.col("to") + 1).otherwise(F.col("expected")).alias("expected"),
+            F.when(F.col("reorg").isNull(), F.when(went, F.col("to_hash")).otherwise(F.col("last_hash"))).alias("last_hash"),
+            F.when(progress, 0).otherwise(F.col("refetched") + F.col("asks").cast("int")).cast("int").alias("refetched"),
+            F.when(progress, F.coalesce("now", "moved_ms")).otherwise(F.coalesce("moved_ms", "now")).alias("moved_ms"),
+            F.when(F.col("reorg").isNotNull(), F.lit(batch_id)).otherwise(F.col("since")).cast("long").alias("since"),
+        )
+        reach = h.select("chain_id", F.col("expected").alias("_from"), F.col("to").alias("_to"), "reorg", F.col("since").alias("_since"))
+        got = fresh.join(reach, "chain_id")
+        released = got.where("number <= _to").select("chain_id", "number", "hash")
+        went_from = F.when(went, F.col("expected"))
+        span = h.agg(F.min(went_from).alias("low"), F.max("to").alias("high"), F.min(F.when(went, F.col("to") + 1).otherwise(F.col("expected"))).alias("least")).head()
+        if span.low is not None:
+            early = self.store.read("waiting", WAITING, span.low, span.high).join(reach, "chain_id").where("batch_id > _since AND number BETWEEN _from AND _to")
+            released = released.unionByName(early.select("chain_id", "number", "hash"))
+        waits = got.where("reorg IS NULL AND number > coalesce(_to, -1)").select("chain_id", "number", "hash", "parent_hash", F.lit(batch_id).cast("long").alias("batch_id"))
+        none = F.lit(None).cast("long")
+        events = reached.where("done AND NOT follows").select("chain_id", F.lit("overflow").alias("kind"), none.alias("number"), F.col("gap_from").alias("range_from"), (F.col("start") - 1).alias("range_to"))
+        events = events.unionByName(h.where("reorg IS NOT NULL").select("chain_id", F.lit("reorg").alias("kind"), F.col("reorg").alias("number"), none.alias("range_from"), none.alias("range_to")))
+        stalls = h.where("asks OR skips").select("chain_id", F.when(F.col("asks"), "refetch").otherwise("bypass").alias("kind"), none.alias("number"), F.col("stood").alias("range_from"), (F.col("target") - 1).alias("range_to"))
+        left = reached.join(h.where("reorg IS NOT NULL").select("chain_id"), "chain_id", "left_anti").where("NOT done").select("chain_id", "start", "end", "parent", "hash")
+        self.store.commit(batch_id, {"ordered": released, "waiting": waits, "events": events.unionByName(stalls)}, {"heads": after, "runs": left}, run, below={} if span.least is None else {"waiting": span.least})
+
+
+def ordered_frontier(stream: DataFrame, store: Store, checkpoint: str, **options) -> StreamingQuery:
+    """All that is there now of a stream of blocks, markers and clock rows through an IntervalFrontier into a store."""
+    sink = IntervalFrontier(store, **options)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 MERGED = "start long, end long, ts timestamp"

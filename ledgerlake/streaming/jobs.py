@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerlake.operators.decode import block_activities
 from ledgerlake.operators.windows import gap_list
-from ledgerlake.sinks.batch import Store, commit_batch
+from ledgerlake.sinks.batch import commit_batch
+from ledgerlake.sinks.store import Store
 
 CAPTURE = "ts long, type string, data string"
 LOG = "struct<address:string,topics:array<string>,data:string,logIndex:string,transactionHash:string>"
@@ -113,6 +114,14 @@ def sliding_rate_batch(events: DataFrame, time: str) -> DataFrame:
     return rows.where(F.col("_day") == F.col("_part")).select("second", "rate")
 
 
+def rate_with_silence(events: DataFrame, time: str, delay: str = "1 minute") -> DataFrame:
+    """T10 with silence: second, rate of every second from an event to five seconds after it, when the rate is 0 unless others came. Streams and tables alike; no state but the windows'."""
+    rows = events.withWatermark(time, delay) if events.isStreaming else events
+    rows = rows.select(F.window(time, "6 seconds", "1 second").alias("w"), F.unix_seconds(time).alias("second"))
+    inside = F.count_if(F.col("second") >= F.unix_seconds("w.end") - 5)
+    return rows.groupBy("w").agg((inside / 5).alias("rate")).select((F.unix_seconds("w.end") - 1).alias("second"), "rate")
+
+
 CRITICAL = ["signup", "error"]
 
 
@@ -131,6 +140,26 @@ def height_merge(updates: DataFrame, window_ms: int = 100) -> DataFrame:
     return slots.withColumn("head", F.max("head").over(w))
 
 
+def height_merge_stream(updates: DataFrame, store: Store, checkpoint: str, window_ms: int = 100, delay: str = "1 minute") -> StreamingQuery:
+    """T13 as a stream: the greatest head of each window that the watermark has closed, never less than before, into the store's table `merged`. What a chain has reached is carried in its table `tops`."""
+    closed = updates.withWatermark("ts", delay).groupBy("chain_id", F.window("ts", f"{window_ms} milliseconds").alias("w")).agg(F.max("latest").alias("head"))
+    closed = closed.select("chain_id", F.floor(F.unix_millis("w.start") / window_ms).alias("slot"), "head")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            w = W.partitionBy("chain_id").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)  # the windows that one trigger closes
+            tops = store.read("tops", "chain_id long, top long")
+            rows = batch.join(tops, "chain_id", "left").withColumn("head", F.greatest(F.max("head").over(w), "top")).drop("top")
+            last = tops.unionByName(batch.select("chain_id", F.col("head").alias("top"))).groupBy("chain_id").agg(F.max("top").alias("top"))
+            run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+            store.commit(batch_id, {"merged": rows}, {"tops": last}, run)
+        finally:
+            batch.unpersist()
+
+    return closed.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_commit(blocks: DataFrame, store: Store, chain_id: int, now: Column, checkpoint: str, transfers=None) -> StreamingQuery:
     """Every micro-batch of blocks is one commit; the cursor only rises. transfers(batch): the rows to commit with it."""
 

@@ -1,13 +1,15 @@
 """The ordered frontier's rules, and streams against their rules over tables."""
 
 import json
-from collections import Counter
+import random
+
+import plain_frontier as plain
+import pytest
 
 from pyspark.sql import functions as F
 
-from ledgerlake.plans import streams
-from ledgerlake.plans.registry import QUERIES
-from ledgerlake.plans.views import Views
+from ledgerlake.sinks import batch as sinks
+from ledgerlake.sinks.store import Store
 from ledgerlake.streaming import frontier, jobs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,18 +20,18 @@ def blocks(f, *numbers):
 
 
 def test_reorders():
-    f = frontier.Frontier(100)
+    f = plain.Frontier(100)
     assert [x[1] for x in blocks(f, 100, 102, 101)] == [100, 101, 102]
     assert f.expected == 103 and not f.buffer
 
 
 def test_late_blocks_are_dropped():
-    f = frontier.Frontier(100)
+    f = plain.Frontier(100)
     assert blocks(f, 99) == [] and f.expected == 100
 
 
 def test_gap_is_refetched_and_then_bypassed():
-    f = frontier.Frontier(100)
+    f = plain.Frontier(100)
     blocks(f, 100, 102)
     kinds = [list(f.stalled()) for _ in range(4)]
     assert [k[0][0] for k in kinds] == ["refetch"] * 3 + ["bypass"]
@@ -38,19 +40,19 @@ def test_gap_is_refetched_and_then_bypassed():
 
 
 def test_overflow_jumps():
-    f = frontier.Frontier(0, most=3)
+    f = plain.Frontier(0, most=3)
     out = blocks(f, 10, 11, 12, 13)
     assert out[0][0] == "overflow" and [x[1] for x in out[1:]] == [10, 11, 12, 13]
 
 
 def test_progress_marker_teleports():
-    f = frontier.Frontier(100)
+    f = plain.Frontier(100)
     blocks(f, 151)
     assert [x[1] for x in f.progress(150)] == [151] and f.expected == 152
 
 
 def test_reorg_drops_what_follows():
-    f = frontier.Frontier(100)
+    f = plain.Frontier(100)
     blocks(f, 100)
     f.buffer[103] = ("h103", "h102")
     out = list(f.block(101, "h101", "other"))
@@ -58,16 +60,102 @@ def test_reorg_drops_what_follows():
     assert [x[0] for x in f.block(101, "g101", "h100")] == ["block"]
 
 
+FEED = "chain_id long, number long, hash string, parent_hash string, range_end long, at_ms long"
+
+
+def feed(spark, store, batches, **options):
+    sink = frontier.IntervalFrontier(store, **options)
+    for k, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, FEED), k)
+        sink(spark.createDataFrame(rows, FEED), k)  # tried again: changes nothing
+    events = [tuple(r) for r in store.read("events", frontier.EVENTS).collect()]
+    return sorted((r.chain_id, r.number, r.hash) for r in store.read("ordered", frontier.ORDERED).collect()), sorted(events, key=str)
+
+
+def row(number=None, chain=1, parent=None, mark=None, at=None):
+    return chain, number, None if number is None else f"h{number}", parent or (None if number is None else f"h{number - 1}"), mark, at
+
+
 def test_stream_keeps_order_over_batches(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = "chain_id long, number long, hash string, parent_hash string, range_end long"
     folder = tmp_path / "in"
     folder.mkdir()
     for k, batch in enumerate([[100], [102], [101], [99, 104, 103]]):
         (folder / f"{k}.json").write_text("\n".join(json.dumps({"chain_id": 1, "number": n, "hash": f"h{n}", "parent_hash": f"h{n - 1}"}) for n in batch))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
-    got = jobs.run_to_table(frontier.ordered_frontier(stream, start=100, stall_ms=None), str(tmp_path / "out"), str(tmp_path / "state"))
-    assert sorted(r.number for r in got.where("kind = 'block'").collect()) == [100, 101, 102, 103, 104]
+    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).json(str(folder))
+    store = Store(spark, str(tmp_path / "out"))
+    frontier.ordered_frontier(stream, store, str(tmp_path / "state"), start=100).awaitTermination()
+    assert sorted(r.number for r in store.read("ordered", frontier.ORDERED).collect()) == [100, 101, 102, 103, 104]
+    assert not store.folders("waiting") and not store.folders("runs")
+
+
+def test_intervals_equal_the_rules_block_by_block(spark, tmp_path):
+    rng, chains, batches, want = random.Random(4), (1, 2), [[] for _ in range(4)], []
+    rules = {c: plain.Frontier(0, most=10**9) for c in chains}
+    for c in chains:
+        numbers = [n for n in range(60) if n not in ((7, 30) if c == 1 else (0, 41))]
+        for n in numbers:
+            batches[rng.randrange(3)].append(row(n, c))
+            if n % 9 == 0:
+                batches[rng.randrange(4)].append(row(n, c))  # comes again
+    batches[1].append(row(chain=1, mark=9))
+    batches[3] += [row(chain=2, mark=2), row(41, 2)]
+    for rows in batches:
+        for c, n, own, parent, mark, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+            out = rules[c].progress(mark) if n is None else rules[c].block(n, own, parent)
+            want += [(c, x[1], x[2]) for x in out if x[0] == "block"]
+    got, events = feed(spark, Store(spark, str(tmp_path / "s")), batches, most=None, width=16)
+    assert got == sorted(want) and events == [] and len(got) > 60
+
+
+def test_overflow_stall_and_reorganisation(spark, tmp_path):
+    batches = [
+        [row(n) for n in (0, 1, 3, 4, 6)] + [row(n, 2) for n in (0, 1, 2)] + [row(at=0), row(chain=2, at=0), row(chain=3, at=0)],
+        [row(n) for n in (7, 8, 10)],  # five wait behind 2, four behind 5: 2 is skipped
+        [row(3, 2, "fork"), row(4, 2)],
+        [row(3, 2, "other"), *[row(chain=c, at=54_999) for c in (1, 2, 3)]],
+        [row(chain=c, at=55_000) for c in (1, 2, 3)],
+    ]
+    got, events = feed(spark, Store(spark, str(tmp_path / "s")), batches, most=4, stall_ms=55_000)
+    assert [n for c, n, _ in got if c == 1] == [0, 1, 3, 4] and [n for c, n, _ in got if c == 2] == [0, 1, 2, 3]
+    want = [(1, "overflow", None, 2, 2), (1, "refetch", None, 5, 5), (2, "reorg", 3, None, None), (3, "bypass", None, 0, 0)]
+    assert events == sorted(want, key=str)
+
+
+BLOCK, TRANSFER = "number long, hash string, parent_hash string", "block_number long, log_index int"
+
+
+def test_reorganisation_is_one_commit(spark, tmp_path):
+    now = F.timestamp_seconds(F.lit(0))
+    store = Store(spark, str(tmp_path / "s"))
+    old = [(n, f"h{n}" if n < 250 else f"x{n}", f"h{n - 1}" if n < 251 else f"x{n - 1}") for n in range(1, 400)]
+    for k in range(4):
+        part = [b for b in old if b[0] // 100 == k]
+        sinks.commit_batch(store, k, 5, spark.createDataFrame(part, BLOCK), spark.createDataFrame([(b[0], 0) for b in part], TRANSFER), now)
+    before = store.manifest()
+    assert [(f.low, f.high) for f in before.folders if f.name == "blocks"] == [(1, 99), (100, 199), (200, 299), (300, 399)]
+    right = spark.createDataFrame([(n, f"h{n}", f"h{n - 1}") for n in range(240, 450)], BLOCK)
+    assert sinks.reorganise(store, 0, 5, right, BLOCK, TRANSFER, now) == 249
+    after = store.manifest()
+    assert after.seq == before.seq + 1
+    assert {f.path for f in after.folders if f.high and f.high < 200} == {f.path for f in before.folders if f.high and f.high < 200}  # not written anew
+    assert store.read("blocks", BLOCK).agg(F.max("number")).head()[0] == store.read("transfers", TRANSFER).agg(F.max("block_number")).head()[0] == 249
+    assert [tuple(r)[:2] for r in store.read("checkpoints", sinks.CHECKPOINTS).collect()] == [(5, 249)]
+    assert sinks.reorganise(store, 1, 5, right.where("number > 249"), BLOCK, TRANSFER, now) is None
+    with pytest.raises(ValueError):
+        sinks.reorganise(store, 1, 5, spark.createDataFrame([(200, "y200", "y199"), (201, "y201", "y200")], BLOCK), BLOCK, TRANSFER, now, back=10)
+    assert store.manifest() == after
+
+
+def test_commits_read_only_folders_that_a_batch_meets(spark, tmp_path):
+    now, store = F.timestamp_seconds(F.lit(0)), Store(spark, str(tmp_path / "s"))
+    rows = lambda a, b: (spark.range(a, b).select(F.col("id").alias("number"), F.lit("h").alias("hash"), F.lit("p").alias("parent_hash")), spark.range(a, b).select(F.col("id").alias("block_number"), F.lit(0).alias("log_index")))
+    for k in range(6):
+        sinks.commit_batch(store, k, 1, *rows(10 * k, 10 * k + 12), now)  # two rows of each batch come again
+        assert len(store.folders("blocks", 10 * k + 10, 10 * k + 22)) <= 1 and len(store.folders("blocks")) == k + 1
+    assert store.read("blocks", BLOCK).count() == store.read("blocks", BLOCK).distinct().count() == 62
+    assert len(store.read("blocks", BLOCK, 25, 27).inputFiles()) < len(store.read("blocks", BLOCK).inputFiles())
+    assert store.compact("blocks", rows=25, most=3) > 0 and len(store.folders("blocks")) == 3
+    assert store.read("blocks", BLOCK).count() == 62 and not sinks.commit_batch(store, 5, 1, *rows(0, 5), now)
 
 
 def test_request_merge_stream_equals_batch(spark, tmp_path):
@@ -96,22 +184,3 @@ def test_capture_skips_unusable_lines(spark):
     ]
     got = sorted((r.number, len(r.logs)) for r in jobs.parse_capture(spark.createDataFrame([(x,) for x in lines], "value string")).collect())
     assert got == [(7, 1), (8, 1)]
-
-
-def test_frontier_queries_take_all_blocks(spark):
-    blocks = Views(spark, "/root/testdata/sf0.01").blocks.select("number", "hash", "parent_hash")
-
-    def kinds(rows):
-        f, n = frontier.Frontier(0, most=50), Counter()
-        for number, own, parent in rows:
-            n.update(kind for kind, *_ in f.block(number, own, parent))
-        return dict(n)
-
-    whole = blocks.where("number % 211 <> 5 AND number % 101 <> 7")
-    want = kinds(sorted(tuple(r) for r in whole.collect()))  # late blocks are never skipped, so the same as in order
-    assert want["block"] > whole.count() - 51
-    assert {r.kind: r.n for r in QUERIES["t06_buffer_overflow_skip"](spark, "/root/testdata/sf0.01").collect()} == want
-    rows = blocks.select(streams._arrival(blocks).alias("part"), "*").collect()
-    want = kinds(tuple(r)[1:] for r in sorted(rows))
-    assert want["reorg"] > 100
-    assert {r.kind: r.n for r in QUERIES["t08_stream_reorg"](spark, "/root/testdata/sf0.01").collect()} == want
