@@ -3,9 +3,11 @@
 On a bounded sample, the graph of each vector's nearest neighbours is cut into balanced parts: halves along principal directions
 first, then vertices move to the part of most of their neighbours as long as the parts stay balanced. A small network learns,
 for a vector, the parts of its neighbours. Every vector is indexed under its most probable part; a query is routed to the
-most probable parts, as many as the sample needs to find `aim` of its true neighbours, and reranks their vectors by exact cosine.
+most probable parts, as many as vectors that the network hasn't seen need to find `aim` of their true neighbours, and reranks
+their vectors by exact cosine.
 
-Bounds: the fit uses at most `sample` vectors, taken in the order of a hash; there are at most `max_parts` parts. Everything
+Bounds: the fit uses at most `sample` vectors, taken in the order of a hash, a fifth of them not for learning; there are at most
+`max_parts` parts, and PART_SAMPLE vectors of the sample for each at least. Everything
 else covers all vectors. A part's vectors and queries meet in blocks of at most `block` rows each, so a part of any size
 (equal vectors all fall into one) is searched by many tasks in bounded memory.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import map_arrow, pick, saved, table
 
 SAMPLE = 8192
-PART_ROWS = 2000
+PART_SAMPLE = 60
 MAX_PARTS = 256
 BLOCK = 1024
 AIM = 0.95
@@ -137,27 +139,34 @@ def train(x: np.ndarray, goal: np.ndarray, hidden: int = 128, epochs: int = 25,
     return (params[0], params[1]), (params[2], params[3])
 
 
-def fit(vectors: DataFrame, *, sample: int = SAMPLE, max_parts: int = MAX_PARTS, aim: float = AIM) -> Index:
-    n = vectors.count()
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
+def parts_of(n: int, sample: int = SAMPLE, max_parts: int = MAX_PARTS) -> int:
+    """How many parts n vectors get: a power of two, with PART_SAMPLE vectors of the sample for each at least."""
     parts = 1
-    while parts < max_parts and parts * 2 * PART_ROWS <= n or (parts < 8 and n >= 400):
+    while parts * 2 <= max_parts and parts * 2 * PART_SAMPLE <= min(n, sample):
         parts *= 2
-    if parts == 1 or rows.num_rows < 4 * parts:
+    return parts
+
+
+def fit(vectors: DataFrame, *, sample: int = SAMPLE, max_parts: int = MAX_PARTS, aim: float = AIM) -> Index:
+    """The network learns from four fifths of the sample; the other fifth, which it hasn't seen, says how many parts a query must probe for `aim` of its neighbours."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
+    parts = parts_of(rows.num_rows, sample, max_parts)
+    if parts == 1:
         return Index((), 1)
     x = unit(matrix(rows.column("v")))
-    near = nearest(x, min(NEIGHBOURS, len(x) - 1))
-    part = balanced_parts(x, near, parts)
-    goal = np.zeros((len(x), parts))
-    np.add.at(goal, (np.repeat(np.arange(len(x)), near.shape[1]), part[near].reshape(-1)), 1 / near.shape[1])
-    layers = train(x, goal)
+    unseen = np.arange(len(x)) % 5 == 0
+    seen = x[~unseen]
+    near = nearest(seen, NEIGHBOURS)
+    part = balanced_parts(seen, near, parts)
+    goal = np.zeros((len(seen), parts))
+    np.add.at(goal, (np.repeat(np.arange(len(seen)), NEIGHBOURS), part[near].reshape(-1)), 1 / NEIGHBOURS)
+    layers = train(seen, goal)
     scores = Index(layers, 1).scores(x)
     own, order = scores.argmax(1), np.argsort(-scores, axis=1)
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(x), 0), axis=1)
-    found = np.take_along_axis(rank, own[near[:, : min(5, near.shape[1])]], axis=1)
-    probes = next(m for m in range(1, parts + 1) if (found < m).mean() >= aim)
-    return Index(layers, min(parts, probes + 1))  # one more: the sample has taught the network
+    found = np.take_along_axis(rank, own[nearest(x, 5)], axis=1)[unseen]
+    return Index(layers, next(m for m in range(1, parts + 1) if (found < m).mean() >= aim))
 
 
 def routed(vectors: DataFrame, index: Index, probes: int) -> DataFrame:

@@ -8,12 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from compare import rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import fill_middle, personal_data, registry, spelling_variants
+from ledgerlake.llm import fill_middle, learned_index, personal_data, registry, spelling_variants
 from ledgerlake.llm.common import saved
 
 ODD = [(1, None), (2, ""), (None, "x\n"), (3, "same Words 12"), (3, "same Words 12"), (4, "é<P>ü"), (5, "ab" * 200_000), (6, "1" * 100_000 + "@@@@" + "." * 1000), (7, "\0\x80ÿ𝒳a"), (8, "Á" * 50_001), (9, "1 " * 50_000 + "x")]
@@ -263,5 +264,25 @@ def test_personal_data_query_and_empty_table(spark, tmp_path):
     assert personal_data.personal_data(saved(docs.limit(0), "none")).count() == 0
 
 
+def test_learned_index_probes_some_parts_only(spark):
+    """Clustered vectors, an index fitted on a tenth of them: recall against brute force over all, from a few of many parts."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(40, 16))
+    x = centre[rng.integers(40, size=5000)] + 0.25 * rng.normal(size=(5000, 16))
+    vectors = saved(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, v array<double>"), "clustered")
+    index = learned_index.fit(vectors, sample=500)
+    parts = index.layers[-1][1].size
+    assert parts == learned_index.parts_of(5000, 500) == 8 and index.probes < parts / 2
+    got = {}
+    for r in learned_index.search(vectors.where("vec_id % 50 = 0"), vectors, index).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[::50] @ u.T
+    s[np.arange(100), np.arange(0, 5000, 50)] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    found = sum(len(got[50 * q] & set(best[q].tolist())) for q in range(100))
+    assert found >= 0.9 * 500, found
+
+
 def test_text_methods_stay_in_their_module():
     assert os.path.basename(fill_middle.__file__) == "fill_middle.py" and {"op11_fill_middle", "op12_spelling_variants", "op13_personal_data"} <= set(registry.QUERIES)
