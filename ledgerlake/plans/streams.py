@@ -10,6 +10,7 @@ from ledgerlake.plans.ledger import _ACT, _LOGA, _TXA
 from ledgerlake.plans.scratch import new_folder
 from ledgerlake.plans.views import Views
 from ledgerlake.sinks import batch as K
+from ledgerlake.sources import tail
 from ledgerlake.streaming import frontier, jobs
 
 def _as_stream(v: Views, rows: DataFrame, tag: str, files: int = 8) -> DataFrame:
@@ -86,6 +87,22 @@ def s07(v):
     return v.spark.read.parquet(out)
 
 
+_TAIL = "WITH h AS (SELECT max(number) AS top FROM blocks)"
+
+
+@query("s07_tail_source", "blocks", f"{_TAIL} SELECT number, hash, CASE WHEN number <= top // 2 - 40 THEN 1 ELSE 2 END AS run FROM blocks, h WHERE number <= top - 40")
+def s07_source(v):
+    head, state, out = (new_folder(v.spark, f"tail-{x}") for x in ("head", "state", "out"))
+    top = v.blocks.agg(F.max("number")).head()[0]
+    blocks = v.blocks.select("number", "hash")
+    for run, height in enumerate((top // 2, top // 3, top), 1):  # the second head falls, and brings nothing
+        tail.publish_head(v.spark, head, height)
+        ranges = tail.tail_ranges(v.spark, head, buffer=50)
+        sink = lambda rows, k, run=run: rows.withColumn("run", F.lit(1 if run == 1 else 2)).write.mode("overwrite").parquet(f"{out}/batch={k}")
+        tail.follow(ranges, blocks, sink, state).awaitTermination()
+    return v.spark.read.parquet(out).select("number", "hash", "run")
+
+
 @query("k03_append_bulk", "blocks", "SELECT number, hash FROM blocks")
 def k03(v):
     out = new_folder(v.spark, "bulk")
@@ -309,7 +326,10 @@ def t11(v):
     return jobs.latest_per_type(v.events.select("event_type", "event_id", "value", "ts"))
 
 
-@query("t12_request_merge", "")
+@query("t12_request_merge", "", """WITH RECURSIVE r AS (SELECT user_id % 10 AS s, epoch_us(ts) // 1000 AS ms, min(ts) AS ts FROM events GROUP BY ALL),
+ later AS MATERIALIZED (SELECT r.s, r.ms, n.ms AS later FROM r ASOF JOIN r n ON r.s = n.s AND r.ms + 3600000 <= n.ms),
+ a AS (SELECT s, min(ms) AS ms FROM r GROUP BY s UNION ALL SELECT a.s, later FROM a JOIN later USING (s, ms))
+ SELECT s AS start, s + 50 AS "end", r.ts FROM a JOIN r USING (s, ms)""")
 def t12(v):
     rows = v.events.select((F.col("user_id") % 10).alias("start"), (F.col("user_id") % 10 + 50).alias("end"), "ts")
     return frontier.request_merge_batch(rows, 3_600_000)
@@ -346,7 +366,7 @@ def t14(v):
 
 @query("t15_stream_metrics", "blocks", "SELECT count(*)::DOUBLE AS rows, max(number)::DOUBLE AS height FROM blocks")
 def t15(v):
-    listener = jobs.MetricListener()
+    listener = jobs.MetricListener(new_folder(v.spark, "metric-samples"))
     v.spark.streams.addListener(listener)
     try:
         _through(v, jobs.observed(_as_stream(v, v.blocks.select("number"), "metrics")), "metric-rows")

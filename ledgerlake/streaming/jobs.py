@@ -178,11 +178,14 @@ def observed(stream: DataFrame, name: str = "ingest") -> DataFrame:
     return stream.observe(name, F.count("*").alias("rows"), F.max("number").alias("height"))
 
 
+SAMPLES = "ts string, metric string, labels map<string,string>, value double"
+
+
 class MetricListener(StreamingQueryListener):
-    """Metric samples (ts, metric, labels, value) of every batch."""
+    """Metric samples (ts, metric, labels, value) of every batch. At most `keep` are held; beyond that they go to a folder of Parquet."""
 
-    def __init__(self):
-        self.samples: list[tuple] = []
+    def __init__(self, folder: str, keep: int = 10_000):
+        self.folder, self.keep, self.samples, self.written = folder, keep, [], False
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
@@ -193,6 +196,8 @@ class MetricListener(StreamingQueryListener):
         for name, row in (p.observedMetrics or {}).items():
             values |= {f"{name}_{k}": v for k, v in row.asDict().items() if v is not None}
         self.samples += [(p.timestamp, k, {"query": p.name or str(p.id), "batch": str(p.batchId)}, float(v)) for k, v in values.items()]
+        if len(self.samples) >= self.keep:
+            self._flush(SparkSession.active())
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass
@@ -200,8 +205,13 @@ class MetricListener(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:  # noqa: N802
         pass
 
+    def _flush(self, spark: SparkSession) -> None:
+        rows, self.samples, self.written = self.samples, [], True
+        spark.createDataFrame(rows, SAMPLES).coalesce(1).write.mode("append").parquet(self.folder)
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.samples, "ts string, metric string, labels map<string,string>, value double")
+        held = spark.createDataFrame(self.samples, SAMPLES)
+        return held.unionByName(spark.read.schema(SAMPLES).parquet(self.folder)) if self.written else held
 
 
 def run_to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:

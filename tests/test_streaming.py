@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.sinks import batch as sinks
 from ledgerlake.sinks.store import Store
+from ledgerlake.sources import tail
 from ledgerlake.streaming import frontier, jobs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -184,3 +185,40 @@ def test_capture_skips_unusable_lines(spark):
     ]
     got = sorted((r.number, len(r.logs)) for r in jobs.parse_capture(spark.createDataFrame([(x,) for x in lines], "value string")).collect())
     assert got == [(7, 1), (8, 1)]
+
+
+def test_tail_brings_each_block_once(spark, tmp_path):
+    head, state, got = str(tmp_path / "head"), str(tmp_path / "state"), []
+    blocks = spark.range(1000).select(F.col("id").alias("number"))
+    for height in (300, 250, 420, 420, 1000):  # it rises, falls, and stays
+        tail.publish_head(spark, head, height)
+        tail.follow(tail.tail_ranges(spark, head, start=5, buffer=30, window=tail.window_of(1)), blocks, lambda rows, k: got.append([r.number for r in rows.collect()]), state).awaitTermination()
+    assert [(min(x), max(x)) for x in got] == [(5, 280), (281, 400), (401, 980)]
+    assert sorted(n for x in got for n in x) == list(range(5, 981)) and tail.window_of(31337) == 100
+
+
+def test_metric_samples_are_held_up_to_a_bound(spark, tmp_path):
+    listener = jobs.MetricListener(str(tmp_path / "samples"), keep=4)
+    spark.streams.addListener(listener)
+    try:
+        spark.range(7).select(F.col("id").alias("number")).write.parquet(str(tmp_path / "in"))
+        for k in range(3):
+            stream = spark.readStream.schema("number long").parquet(str(tmp_path / "in"))
+            jobs.run_to_table(jobs.observed(stream), str(tmp_path / f"out{k}"), str(tmp_path / f"state{k}"))
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert len(listener.samples) < 4 and listener.written
+    assert listener.frame(spark).where("metric = 'ingest_rows'").agg(F.sum("value")).head()[0] == 21
+
+
+def test_halo_and_positions(spark):
+    from ledgerlake.operators.neighbors import with_halo, with_position
+
+    rows = spark.createDataFrame([(s, k * k % 97, k) for s in (1, 2) for k in range(50)], "s long, key long, k long")
+    got = with_position(rows, "key", "place", by=["s"], ties=["k"], width=10).collect()
+    for s in (1, 2):
+        assert [r.k for r in sorted((r for r in got if r.s == s), key=lambda r: r.place)] == sorted(range(50), key=lambda k: (k * k % 97, k))
+    halo = with_halo(rows, "key", 4, width=10)
+    assert halo.where("_own").count() == 100
+    assert all(r._part == r.key // 10 + 1 and r.key % 10 >= 6 for r in halo.where("NOT _own").collect())
