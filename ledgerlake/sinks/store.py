@@ -77,6 +77,11 @@ class Store:
         if fs.exists(whole) or not fs.rename(part, whole):
             raise RuntimeError(f"another writer has made commit {m.seq} of {self.path}")
 
+    def drop(self, path: str) -> None:
+        """Remove a folder below the store that no manifest names."""
+        fs, p = self._file(path)
+        fs.delete(p, True)
+
     def committed(self, run: str = "") -> int:
         """The run's last batch; -1 before its first."""
         return self.manifest().runs.get(run, -1)

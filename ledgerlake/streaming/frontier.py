@@ -10,6 +10,7 @@ runs and heads of a batch become visible in one commit, and a batch that is trie
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,18 +87,16 @@ class IntervalFrontier:
     def __call__(self, batch: DataFrame, batch_id: int, run: str = "") -> None:
         if batch_id <= self.store.committed(run):
             return
-        held = [batch.select("chain_id", "number", "hash", "parent_hash", "range_end", "at_ms").persist()]
+        work = f"{self.store.path}/_work/{uuid4().hex}"
         try:
-            self._advance(held, batch_id, run)
+            self._advance(batch.select("chain_id", "number", "hash", "parent_hash", "range_end", "at_ms"), batch_id, run, work)
         finally:
-            for df in held:
-                df.unpersist()
+            self.store.drop(work)
 
-    def _keep(self, held: list[DataFrame], df: DataFrame) -> DataFrame:
-        """df, held and computed now: what is planned after it knows its size, so that small sides of joins need no shuffle."""
-        held.append(df.persist())
-        df.count()
-        return held[-1]
+    def _keep(self, df: DataFrame, work: str, name: str) -> DataFrame:
+        """df, written to the batch's own folder and read again: plans stay flat, small sides of joins are known, and lost executors take nothing along."""
+        df.write.parquet(f"{work}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
 
     def _heads(self, rows: DataFrame) -> DataFrame:
         """Each chain's head with this batch's marker and clock; a marker moves it."""
@@ -135,22 +134,23 @@ class IntervalFrontier:
         stopped = F.sum("stops").over(w.rowsBetween(W.unboundedPreceding, 0))
         return r.withColumn("done", stopped == 0).withColumn("breaks", F.col("breaks") & (stopped == 1) & (F.col("stops") == 1))
 
-    def _advance(self, held: list[DataFrame], batch_id: int, run: str) -> None:
-        keep, rows = (lambda df: self._keep(held, df)), held[0]
-        heads = keep(self._heads(rows))
+    def _advance(self, rows: DataFrame, batch_id: int, run: str, work: str) -> None:
+        keep = lambda df, name: self._keep(df, work, name)
+        rows = keep(rows, "rows")
+        heads = keep(self._heads(rows), "heads")
         edge = heads.select("chain_id", F.col("expected").alias("_from"))
         waiting = self.store.read("runs", RUNS).join(edge, "chain_id").where("end >= _from")
         cut = F.col("start") < F.col("_from")
         waiting = waiting.select("chain_id", F.greatest("start", "_from").alias("start"), "end", F.when(~cut, F.col("parent")).alias("parent"), "hash")
         blocks = first_of(rows.where("number IS NOT NULL").join(edge, "chain_id").where("number >= _from").select("chain_id", "number", "hash", "parent_hash"), ["chain_id", "number"], ["hash", "parent_hash"])
-        fresh = keep(outside(blocks, waiting, self.width))
-        runs = keep(merged(runs_of(fresh, self.width).unionByName(waiting)))
+        fresh = keep(outside(blocks, waiting, self.width), "fresh")
+        runs = keep(merged(runs_of(fresh, self.width).unionByName(waiting)), "runs")
         heads = self._unstalled(heads, runs)
-        reached = keep(self._reached(runs, heads))
+        reached = keep(self._reached(runs, heads), "reached")
         moved = reached.groupBy("chain_id").agg(
             F.max(F.when(F.col("done"), F.col("end"))).alias("to"), F.max_by("hash", F.when(F.col("done"), F.col("start"))).alias("to_hash"), F.max(F.when(F.col("breaks"), F.col("start"))).alias("reorg"),
         )
-        h = keep(heads.join(moved, "chain_id", "left"))
+        h = keep(heads.join(moved, "chain_id", "left"), "ends")
         went = F.col("to").isNotNull()
         progress = went | F.col("skips") | F.col("jumped")
         after = h.select(
