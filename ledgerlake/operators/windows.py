@@ -46,12 +46,18 @@ def chain_tps(blocks: DataFrame, width: int = WIDTH) -> DataFrame:
 DAY_US = 86_400_000_000  #: width of ranges of time in microseconds
 
 
+def _key_of(rows: DataFrame, column: str) -> tuple[Column, int]:
+    """A whole number in the order of a time or whole number, and the width of its ranges."""
+    return (F.unix_micros(column), DAY_US) if rows.schema[column].dataType.typeName() == "timestamp" else (F.col(column).cast("long"), WIDTH)
+
+
 def heat(samples: DataFrame, by: list[str], order: list[str], value: str = "tps", size: int = 60, block: int = 4096) -> DataFrame:
-    """Mean of the last samples, heat from 0 to 100, wake-up and pace in milliseconds. order: a timestamp and what parts equal ones.
+    """Mean of the last samples, heat from 0 to 100, wake-up and pace in milliseconds. order: a timestamp or whole number, and what parts equal ones.
 
     A series is cut into blocks of its positions, each with the last `size` samples before it.
     """
-    rows = with_position(samples.withColumn("_us", F.unix_micros(order[0])), "_us", "_place", by=by, ties=order[1:], width=DAY_US)
+    key, width = _key_of(samples, order[0])
+    rows = with_position(samples.withColumn("_key", key), "_key", "_place", by=by, ties=order[1:], width=width)
     rows = with_halo(rows, "_place", size, width=block)
     w = W.partitionBy(*by, "_part").orderBy("_place")
     rows = rows.withColumn("mean", F.avg(value).over(w.rowsBetween(-(size - 1), 0)))
@@ -103,9 +109,10 @@ def quota_guard(requests: DataFrame, limit: int) -> DataFrame:
 
 def counter_deltas(samples: DataFrame, by: list[str], value: str = "value", order: list[str] = ["ts", "sample_id"]) -> DataFrame:  # noqa: B006
     """samples with the growth of their counter since the one before; a counter that fell has begun anew."""
-    rows = with_neighbor(samples.withColumn("_us", F.unix_micros(order[0])), "_us", [value], "prev", by=by, ties=order[1:], width=DAY_US)
+    key, width = _key_of(samples, order[0])
+    rows = with_neighbor(samples.withColumn("_key", key), "_key", [value], "prev", by=by, ties=order[1:], width=width)
     prev = F.col(f"prev.{value}")
-    return rows.withColumn("delta", F.when(prev.isNull(), F.lit(0.0)).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)).drop("_us", "prev")
+    return rows.withColumn("delta", F.when(prev.isNull(), F.lit(0.0)).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)).drop("_key", "prev")
 
 
 def counter_increase(samples: DataFrame, by: list[str], window: str, seconds: int) -> DataFrame:
