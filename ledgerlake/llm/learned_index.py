@@ -11,9 +11,13 @@ Bounds: the fit uses at most `sample` vectors, taken in the order of a hash, a f
 else covers all vectors. A part's vectors and queries meet in blocks of at most `block` rows each, so a part of any size
 (equal vectors all fall into one) is searched by many tasks in bounded memory.
 
-Defined results: vectors that are null or zero, hold null or non-finite components, or have another length than most take no
-part; rows without id take no part; of rows with equal ids the one with the smaller array counts; fewer candidates than k give
-fewer rows; an empty table gives an empty result; other columns are ignored.
+A cosine needs vectors of one length. The index is fitted for the usual length (the most frequent one, ties to the smaller);
+vectors of every other length form a part of their own for each length, searched whole.
+
+Defined results: vectors that are null or zero, or hold null or non-finite components take no part; neither do rows without
+id. Rows with equal ids are rows of their own: each is a candidate for the others, and each of them that is a query gets its
+own ranks. Fewer candidates of a query's length than k give fewer rows; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +45,7 @@ NEIGHBOURS = 10
 class Index:
     layers: tuple[tuple[np.ndarray, np.ndarray], ...]
     probes: int
+    length: int = 0  #: of the vectors that the network takes
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Log probabilities of the parts, up to a constant, for rows of unit vectors."""
@@ -51,13 +57,11 @@ class Index:
 
 
 def valid_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id long, v array<double>: one usable vector for each id."""
+    """row long (any number of its own), vec_id long, v array<double>: every usable vector. Written, so that a row keeps its number."""
     v = F.col(f"`{vector}`").cast("array<double>")
     rows = pick(rows, key, vector).select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    usual = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1)
-    return rows.join(F.broadcast(usual.select("n")), F.size("v") == F.col("n"), "left_semi")  # a single row
+    return saved(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -149,10 +153,12 @@ def parts_of(n: int, sample: int = SAMPLE, max_parts: int = MAX_PARTS) -> int:
 
 def fit(vectors: DataFrame, *, sample: int = SAMPLE, max_parts: int = MAX_PARTS, aim: float = AIM) -> Index:
     """The network learns from four fifths of the sample; the other fifth, which it hasn't seen, says how many parts a query must probe for `aim` of its neighbours."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
+    usual = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    length = usual.n if usual else 0
+    rows = vectors.where(F.size("v") == length).orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(sample).select("v").toArrow()
     parts = parts_of(rows.num_rows, sample, max_parts)
     if parts == 1:
-        return Index((), 1)
+        return Index((), 1, length)
     x = unit(matrix(rows.column("v")))
     unseen = np.arange(len(x)) % 5 == 0
     seen = x[~unseen]
@@ -166,38 +172,46 @@ def fit(vectors: DataFrame, *, sample: int = SAMPLE, max_parts: int = MAX_PARTS,
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(x), 0), axis=1)
     found = np.take_along_axis(rank, own[nearest(x, 5)], axis=1)[unseen]
-    return Index(layers, next(m for m in range(1, parts + 1) if (found < m).mean() >= aim))
+    return Index(layers, next(m for m in range(1, parts + 1) if (found < m).mean() >= aim), length)
 
 
 def routed(vectors: DataFrame, index: Index, probes: int) -> DataFrame:
-    """vectors with a row for each of their `probes` most probable parts."""
+    """vectors with a row for each of their `probes` most probable parts. The part of another length than the index's is that length, negated."""
     held = vectors.sparkSession.sparkContext.broadcast(index)  # of a fixed size
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = batch.num_rows
-            if held.value.layers:
-                s = held.value.scores(unit(matrix(batch.column("v"))))
-                top = np.argsort(-s, axis=1, kind="stable")[:, :probes]
-            else:
-                top = np.zeros((n, 1), dtype=np.int64)
-            at = np.repeat(np.arange(n), top.shape[1])
-            return pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(top.reshape(-1).astype(np.int32))], [*batch.schema.names, "part"])
+            v, index = batch.column("v"), held.value
+            lengths = pc.list_value_length(v).to_numpy(zero_copy_only=False).astype(np.int32)
+            usual = np.flatnonzero((lengths == index.length) & bool(index.layers))
+            times = np.ones(len(lengths), dtype=np.int64)
+            part = np.where(lengths == index.length, 0, -lengths)
+            top = np.zeros((0, 1), dtype=np.int32)
+            if len(usual):
+                s = index.scores(unit(matrix(v.take(pa.array(usual)))))
+                top = np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                times[usual] = top.shape[1]
+            at = np.repeat(np.arange(len(lengths)), times)
+            part = part[at]
+            part[np.isin(at, usual)] = top.reshape(-1)
+            return pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(part.astype(np.int32))], [*batch.schema.names, "part"])
 
         return f
 
-    return map_arrow(vectors.select("vec_id", "v"), "vec_id long, v array<double>, part int", make)
+    row = F.col("row" if "row" in vectors.columns else "vec_id").alias("row")
+    return map_arrow(vectors.select(row, "vec_id", "v"), "row long, vec_id long, v array<double>, part int", make)
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, vector ids, cosines) of each query's k nearest rows of v but itself, ties to the smaller id."""
+def best_of(q_rows: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, vector ids, cosines) of each query's k nearest rows of v but itself, ties to the smaller id. rows: those of v, their ids if not given."""
+    rows = ids if rows is None else rows
     uq, uv = unit(q), unit(v)
     q, v = (x / np.exp2(np.frexp(np.abs(x).max(axis=1, keepdims=True))[1] - 1) for x in (q, v))  # powers of two: exact, and no square overflows
     qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
     out: tuple[list, list, list] = ([], [], [])
     for low in range(0, len(q), 256):
         s = uq[low : low + 256] @ uv.T
-        s[q_ids[low : low + 256, None] == ids[None, :]] = -np.inf
+        s[q_rows[low : low + 256, None] == rows[None, :]] = -np.inf
         take = min(k, s.shape[1])
         least = np.partition(s, -take, axis=1)[:, -take]
         for i in range(len(s)):
@@ -205,14 +219,14 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
             a = low + i
             exact = (v[at] * q[a]).sum(axis=1) / (vn[at] * qn[a])
             top = np.lexsort((ids[at], -exact))[:k]
-            out[0].append(np.full(len(top), q_ids[a]))
+            out[0].append(np.full(len(top), q_rows[a]))
             out[1].append(ids[at][top])
             out[2].append(exact[top])
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
 
 
 def search(queries: DataFrame, vectors: DataFrame, index: Index, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score. queries and vectors: vec_id, v."""
+    """query_id, rank, vec_id, score. queries and vectors: row, vec_id, v; a query's row is the one among the vectors that is left out. Without row, ids must differ and stand for it."""
     stored = saved(routed(vectors, index, 1), "parts")
     asked = saved(routed(queries, index, index.probes), "routes")
 
@@ -220,22 +234,29 @@ def search(queries: DataFrame, vectors: DataFrame, index: Index, k: int = 5, blo
         n = rows.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
         return n
 
+    def own(count: str) -> Column:  # by row: rows with equal ids go to different blocks
+        return F.pmod(F.xxhash64("row"), count).cast("int")
+
     grid = blocks(stored, "vs").join(blocks(asked, "qs"), "part")
-    left = asked.join(grid, "part").select(F.col("vec_id"), "v", "part", F.pmod(F.xxhash64("vec_id"), "qs").cast("int").alias("qb"), F.explode(F.expr("sequence(0, vs - 1)")).alias("vb"))
-    right = stored.join(grid, "part").select(F.col("vec_id"), "v", "part", F.explode(F.expr("sequence(0, qs - 1)")).alias("qb"), F.pmod(F.xxhash64("vec_id"), "vs").cast("int").alias("vb"))
+    left = asked.join(grid, "part").select("row", "vec_id", "v", "part", own("qs").alias("qb"), F.explode(F.expr("sequence(0, vs - 1)")).alias("vb"))
+    right = stored.join(grid, "part").select("row", "vec_id", "v", "part", F.explode(F.expr("sequence(0, qs - 1)")).alias("qb"), own("vs").alias("vb"))
+    found = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        got = best_of(a.column("vec_id").to_numpy(), matrix(a.column("v")), b.column("vec_id").to_numpy(), matrix(b.column("v")), k)
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
+            return found.empty_table()
+        q_rows, q_ids = (a.column(c).to_numpy() for c in ("row", "vec_id"))
+        rows, ids, scores = best_of(q_rows, matrix(a.column("v")), b.column("vec_id").to_numpy(), matrix(b.column("v")), k, b.column("row").to_numpy())
+        order = np.argsort(q_rows)
+        asked_ids = q_ids[order[np.searchsorted(q_rows, rows, sorter=order)]] if len(rows) else np.zeros(0)
+        return pa.table([pa.array(c, t) for c, t in zip((rows, asked_ids, ids, scores), found.types, strict=True)], schema=found)
 
     keys = ["part", "qb", "vb"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = saved(valid_vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    vectors = valid_vectors(table(spark, sf_dir, "embeddings"))
     return search(vectors.where("vec_id % 50 = 0"), vectors, fit(vectors))

@@ -30,6 +30,7 @@ from ledgerlake.llm.common import giving_back, pick, saved, table
 
 END_ID = 2
 LENGTH = 1024
+LEAST_REMAINDERS = (0.0, 0.03, 0.08, 0.15, 0.25, 0.5)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
@@ -104,25 +105,36 @@ def fit(histogram: np.ndarray, ways: np.ndarray, steps: int = 1500, tolerance: f
     return x * total
 
 
-def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, repeats) for all pieces shorter than a sequence. histogram[n]: the pieces of length n."""
-    size = len(histogram) - 1
-    left = histogram.astype(np.int64).copy()
-    left[0] = left[size] = 0
+def rounded(x: np.ndarray, ways: np.ndarray, histogram: np.ndarray, least: float) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Whole repeats of the fitted patterns, and the pieces left: whole parts first, then one more by the largest remainders, from `least` on, until the fit's total is reached. Never beyond the pieces there are."""
+    left = histogram.copy()
+    whole = np.floor(x + 1e-9).astype(np.int64)
+    rest = x - whole
+    owed = int(round(float(x.sum()))) - int(whole.sum())
+    used: dict[int, int] = {}
+
+    def take(k: int, most: int) -> int:
+        own = [int(v) for v in ways[k] if v]
+        n = min(most, *(int(left[v]) // own.count(v) for v in own))
+        for v in own:
+            left[v] -= n
+        used[k] = used.get(k, 0) + n
+        return n
+
+    for k in np.argsort(-whole, kind="stable")[: np.count_nonzero(whole)].tolist():
+        take(k, int(whole[k]))
+    for k in np.argsort(-rest, kind="stable").tolist():
+        if owed <= 0 or rest[k] < least:
+            break
+        owed -= take(k, 1)
+    return [(tuple(int(v) for v in ways[k][::-1] if v), n) for k, n in used.items() if n], left
+
+
+def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences for the pieces left: always the longest piece that still fits."""
+    size = len(left) - 1
+    left = left.copy()
     out = []
-    if left.sum() > 0:
-        ways = patterns(size)
-        x = fit(left.astype(float), ways)
-        for k in np.argsort(-x, kind="stable"):
-            n = int(round(x[k]))
-            if n < 1:
-                break
-            own = [int(v) for v in ways[k] if v]
-            n = min(n, *(int(left[v]) // own.count(v) for v in own))
-            if n > 0:
-                for v in own:
-                    left[v] -= n
-                out.append((tuple(reversed(own)), n))
     while left.any():
         own, free = [], size
         while free > 0:
@@ -138,6 +150,27 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
+def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, repeats) for all pieces shorter than a sequence. histogram[n]: the pieces of length n.
+
+    Small remainders use up pieces that best fit needs, so several least remainders are tried: the fewest sequences win, then
+    the most of them from patterns.
+    """
+    size = len(histogram) - 1
+    left = histogram.astype(np.int64).copy()
+    left[0] = left[size] = 0
+    if not left.any():
+        return []
+    ways = patterns(size)
+    x = fit(left.astype(float), ways)
+    tried = []
+    for least in LEAST_REMAINDERS:
+        own, rest = rounded(x, ways, left, least)
+        tried.append((own, best_fit(rest)))
+    own, others = min(tried, key=lambda t: (sum(n for part in t for _, n in part), -sum(n for _, n in t[0])))
+    return own + others
+
+
 def slots(sequences: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: first piece of each run of places, its sequence minus that piece's number, its offset in the sequence."""
     runs: dict[int, list[tuple[int, int, int]]] = {}

@@ -11,6 +11,7 @@ Scoring reads whole texts.
 
 Defined results: null and empty texts get the score of an empty text; repeated rows get one row each; a table without
 usable labels of both classes gives every text the score 0.5; labels that are null or name unknown documents don't count.
+Of a labelled id's several texts the least in binary order is learned from, of its several labels the greatest.
 """
 
 from __future__ import annotations
@@ -81,7 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 3000, max_windows
     for q in (0, 1):
         part = known.where(F.col("quality") == q).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(*order).limit(max_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 x max_rows rows
+    sample = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # at most 2 x max_rows ids
+    sample = sample.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
     cut = sample.select("quality", "doc_id", F.explode(F.expr(f"sequence(0, int((length(text) - 1) / {WINDOW}))")).alias("k"), "text").where("length(text) > 0")
     cut = cut.select("quality", "doc_id", "k", F.expr(f"substring(text, k * {WINDOW} + 1, {WINDOW})").alias("w"))
     dictionaries = []

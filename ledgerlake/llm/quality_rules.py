@@ -6,12 +6,15 @@ than `min_docs` documents and more than `max_percent` of all documents of their
 (the smallest id), so that no passage vanishes from the corpus and a host is treated alike at every size. A document is rejected if more than `max_removed` of its words
 go that way, or if it fails the base rules (under 50 words, or over half of them in repeated three-word windows).
 
-Scale: the counts are pre-aggregated before they are shuffled, so a line that every document has costs one row a task.
+Scale: the counts are pre-aggregated before they are shuffled, so a line that every document has costs one row a task; only
+the lines of ids that stand in several rows are first made distinct by id. Such ids are broadcast while their number, which is
+checked, stays within `broadcast_rows`; beyond that all lines are made distinct by id.
 Lines above the limit are broadcast while their number, which is checked, stays within `broadcast_rows`; beyond that the
 affected documents meet their lines in a join.
 
 Defined results: null text has no words and fails the base rules; a null host is a host of its own; repeated rows count
-as one document and each get their own row; an empty table gives an empty result; other columns are passed through.
+as one document and each get their own row; an empty table gives an empty result; other columns are passed through, but for
+those named like a measure, which the measure replaces.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ledgerlake.llm.common import map_arrow, pick, saved, table, texts_of
+from ledgerlake.llm.common import map_arrow, saved, table, texts_of
 
 MIN_DOCS = 10
 MAX_PERCENT = 5
 MAX_REMOVED = 0.7
 BROADCAST_ROWS = 1_000_000
-HOST = "host of the lines"  #: a column's name that extra columns hardly have
+HOST = "host"  #: added by _with_host, which keeps no column of that name
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, removed_words long, base_failed boolean, kept boolean"
 _SPACES = re.compile(r"[ \t-\r]+")
@@ -81,7 +85,7 @@ def base_fails(n_words: int, n_repeat: int) -> bool:
     return n_words < 50 or 100 * n_repeat > 50 * n_words
 
 
-def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: float = MAX_PERCENT) -> DataFrame:
+def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: float = MAX_PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """key long, first_doc long: a row for each line that too many distinct documents of a host have."""
 
     def make():
@@ -93,14 +97,23 @@ def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: float =
 
     rows = _with_host(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", HOST, F.xxhash64(HOST).alias("host_key"))
     lines = map_arrow(rows, "doc_id long, host_key long, keys array<long>", make)
-    lines = lines.select("doc_id", "host_key", F.explode("keys").alias("key")).distinct()  # a document with several rows counts once
-    found = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min("host_key").alias("host_key")).where(F.col("n") > min_docs)
+    ids = saved(rows.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again", F.lit(True).alias("several")), "repeated-ids")
+    if ids.count() <= broadcast_rows:
+        lines = lines.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("again")), "left").select("doc_id", "host_key", "keys", F.coalesce("several", F.lit(False)).alias("several"))
+    else:
+        lines = lines.withColumn("several", F.lit(True))
+    lines = lines.select("doc_id", "host_key", "several", F.when(F.col("several"), F.col("doc_id")).alias("own"), F.explode("keys").alias("key"))
+    parts = lines.groupBy("key", "several", "own").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min("host_key").alias("host_key"))
+    docs_of = F.sum(F.when(F.col("several"), 1).otherwise(F.col("n")))  # a document with several rows counts once
+    found = parts.groupBy("key").agg(docs_of.alias("n"), F.min("first_doc").alias("first_doc"), F.min("host_key").alias("host_key")).where(F.col("n") > min_docs)
     hosts = rows.select("host_key", "doc_id").distinct().groupBy("host_key").agg(F.count("*").alias("docs"))
     return found.join(hosts, "host_key").where(100 * F.col("n") > max_percent * F.col("docs")).select("key", "first_doc")
 
 
-def _with_host(docs: DataFrame) -> DataFrame:
-    return pick(docs, "doc_id", "text", "source").withColumn(HOST, F.coalesce(F.col("source").cast("string"), F.lit("\0")))
+def _with_host(docs: DataFrame, extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """doc_id, text, source and the host; the extra columns together in a struct, where their names can't clash."""
+    others = [F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra")] if extra else []
+    return docs.select("doc_id", "text", "source", *others).withColumn(HOST, F.coalesce(F.col("source").cast("string"), F.lit("\0")))
 
 
 def _judged(text: str, host: str, doc_id, common) -> tuple:
@@ -123,17 +136,18 @@ def _judged(text: str, host: str, doc_id, common) -> tuple:
 def judge(docs: DataFrame, *, min_docs: int = MIN_DOCS, max_percent: float = MAX_PERCENT, broadcast_rows: int = BROADCAST_ROWS, with_text: bool = False) -> DataFrame:
     """doc_id, the measures and the verdict of every document; with_text: its other columns and its text without common lines too."""
     spark = docs.sparkSession
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "source")] if with_text else []
-    common = saved(common_lines(docs, min_docs, max_percent), "common-lines")
-    rows = pick(docs, "doc_id", "text", "source", *extra).withColumn(HOST, F.coalesce(F.col("source").cast("string"), F.lit("\0")))
+    measures = StructType.fromDDL(MEASURES)
+    taken = {"doc_id", "text", "source", *measures.names}
+    extra = [c for c in docs.columns if c.lower() not in taken] if with_text else []
+    common = saved(common_lines(docs, min_docs, max_percent, broadcast_rows), "common-lines")
+    rows = _with_host(docs, extra)
     if few := common.count() <= broadcast_rows:
         held = spark.sparkContext.broadcast({r.key: r.first_doc for r in common.collect()})  # at most broadcast_rows pairs of integers
     else:
         rows = _with_own_lines(rows, common)
-    passed = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *(["text", "source", *extra] if with_text else [])]]
-    names = [c.split("`")[1] for c in passed]
-    schema = ", ".join([*passed, MEASURES])
-    out_names = [*names, *(x.split()[0] for x in MEASURES.split(", "))]
+    names = ["doc_id", *(["text", "source"] if with_text else []), *(["extra"] if extra else [])]
+    schema = StructType([*(rows.schema[c] for c in names), *measures])
+    out_names = schema.names
 
     def make():
         every = held.value if few else None
@@ -149,7 +163,8 @@ def judge(docs: DataFrame, *, min_docs: int = MIN_DOCS, max_percent: float = MAX
 
         return f
 
-    return map_arrow(rows, schema, make)
+    out = map_arrow(rows, schema, make)
+    return out.select("doc_id", "text", "source", "extra.*", *measures.names) if extra else out
 
 
 def _with_own_lines(rows: DataFrame, common: DataFrame) -> DataFrame:

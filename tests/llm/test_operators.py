@@ -45,6 +45,35 @@ def test_quality_rules_remove_common_lines(spark):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_rules_reject_depleted_documents(spark, tmp_path):
+    import duckdb
+
+    shared = "\n".join(" ".join(f"s{j}w{k}" for k in range(20)) for j in range(5))
+    rows = [(k, shared + "\n" + " ".join(f"d{k}w{j}" for j in range(20)), "en", "a", 1, "", "") for k in range(30)]  # 100 of 120 words are shared
+    rows += [(k, " ".join(f"d{k}w{j}" for j in range(120)), "en", "a", 1, "", "") for k in range(30, 60)]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in quality_rules.query(spark, str(tmp_path)).collect()}
+    assert [d for d, r in sorted(got.items()) if not r.kept] == list(range(1, 30))  # the first keeps the lines, so it stays
+    assert not any(r.base_failed for r in got.values()) and {got[d].removed_words for d in range(1, 30)} == {100}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(quality_rules.query(spark, str(tmp_path))) == rows_of_sql(con, quality_rules.SQL)
+
+
+def test_quality_rules_clashing_names_and_repeated_rows(spark):
+    rows = [(k % 6 if k < 18 else None, f"common line\nown {k % 6}", "a", "x", k, True, k, "o", 1, [k]) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `host` string, `n_words` int, `KEPT` boolean, `own` int, `text_hash` string, `odd name` int, `extra` array<int>")
+    seen = []
+    for few in (1000, 5, 0):  # repeated ids by broadcast, all ids made distinct, lines by join
+        got = quality_rules.judge(docs, min_docs=4, max_percent=0, broadcast_rows=few, with_text=True)
+        assert got.columns == ["doc_id", "text", "source", "host", "own", "text_hash", "odd name", "extra", *[x.split()[0] for x in quality_rules.MEASURES.split(", ")]]
+        seen.append(sorted((r.own, r.text, r.n_words, r.removed_words, r["odd name"], tuple(r.extra)) for r in got.collect()))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 20
+    assert all((removed == 0) == (own < 18 and own % 6 == 0) for own, _, _, removed, _, _ in seen[0])  # six ids and null: the least one keeps the line
+    assert {r[2] for r in seen[0]} == {4}
+    assert quality_rules.common_lines(docs, 6, 0).count() == 1 and quality_rules.common_lines(docs, 7, 0).count() == 0  # seven documents, not twenty
+
+
 def test_quality_rules_same_rows_as_sql_where_lines_go(spark, tmp_path):
     import duckdb
 
@@ -98,6 +127,22 @@ def test_packing_odd_rows(spark):
     assert packing.packed(odd_documents(spark).limit(0)).count() == 0
 
 
+def test_most_sequences_come_from_fitted_patterns(spark, sf_dir):
+    h = np.zeros(packing.LENGTH + 1, dtype=np.int64)
+    for r in packing.cut(table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")).groupBy("length").count().collect():
+        h[r.length] = r["count"]
+    plan = packing.plan(h)
+    h[packing.LENGTH] = 0
+    used = np.zeros_like(h)
+    for own, n in plan:
+        for v in own:
+            used[v] += n
+    assert (used == h).all()
+    full = sum(n for own, n in plan if sum(own) == packing.LENGTH and len(own) <= 3)
+    least = -(-int((h * np.arange(len(h))).sum()) // packing.LENGTH)
+    assert sum(n for _, n in plan) <= least + 3 and full >= 0.65 * least
+
+
 def test_patterns_fill_a_sequence():
     ways = packing.patterns(24)
     assert (ways.sum(axis=1) == 24).all() and len({tuple(w) for w in ways}) == len(ways)
@@ -255,12 +300,34 @@ def test_learned_index_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(learned_index, "BLOCK", 7)
     rows = [(k, [1.0, 2.0, 0.5]) for k in range(40)] + [(100, [0.0, 0.0, 0.0]), (150, None), (200, [1.0, None, 2.0]), (250, [float("nan"), 1.0, 1.0]), (300, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (0, [1.0, 2.0, 0.5]), (350, [1e200, 2e200, 1e199])]
     vectors = learned_index.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    assert vectors.count() == 41
+    assert vectors.count() == 43
     got = sorted((r.query_id, r.rank, r.vec_id) for r in learned_index.search(vectors.where("vec_id = 0"), vectors, learned_index.fit(vectors), block=7).collect())
-    assert got == [(0, k, k) for k in range(1, 6)]  # equal vectors: the smaller ids
+    assert got == sorted([(0, k, k - 1) for k in range(1, 6)] * 2)  # equal vectors: the smaller ids; either row of id 0 has the other as its nearest
     assert learned_index.search(vectors.limit(0), vectors, learned_index.fit(vectors)).count() == 0
 
 
+def test_learned_index_rows_of_other_lengths_and_equal_ids(spark):
+    draw = np.random.default_rng(5)
+    rows = [(k % 700, draw.normal(size=24 if k % 7 else 9).tolist()) for k in range(1400)]  # two rows for every id, a seventh of them of another length
+    vectors = learned_index.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    index = learned_index.fit(vectors)
+    assert vectors.count() == 1400 and index.length == 24 and index.layers
+    got = {}
+    for r in learned_index.search(vectors.where("vec_id % 50 = 0"), vectors, index).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    right = total = 0
+    for query in range(0, 700, 50):
+        for own in (query, query + 700):
+            q = np.array(rows[own][1])
+            near = [(-(q @ v) / (np.linalg.norm(q) * np.linalg.norm(v)), rows[k][0]) for k in range(1400) if k != own and len(v := np.array(rows[k][1])) == len(q)]
+            want = {(v, round(-s, 9)) for s, v in sorted(near)[:5]}
+            found = want & {(v, round(s, 9)) for _, v, s in got[query]}
+            assert len(q) == 24 or found == want  # other lengths are searched whole
+            right, total = right + len(found), total + len(want)
+        assert sorted(r for r, _, _ in got[query]) == sorted([1, 2, 3, 4, 5] * 2)
+    assert right >= 0.9 * total
+
+
 def test_chat_format(spark, sf_dir):
     rows = [tuple(r) for r in table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, 0, "user", chat_format.ADDED_TEXT), (-7, 1, "assistant", chat_format.ADDED_TEXT)]
@@ -380,6 +447,13 @@ def test_quality_scores_by_plain_compression(spark, sf_dir):
     assert len(rows) == docs.count() and all(abs(r.score - brute.quality(model, texts[r.doc_id])) < 1e-9 for r in rows)
 
 
+def test_quality_classifier_learns_the_same_however_rows_lie(spark):
+    rows = [(k % 40, f"{'good words ' if k % 2 else 'bad noise ' * 2}" * 30 + f"{k}") for k in range(120)]  # three texts for each id
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 0)], "doc_id long, quality int")
+    models = [quality_classifier.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 3), (rows[::-1], 7))]
+    assert models[0] == models[1] is not None
+
+
 def test_quality_classifier_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (99, 0)], "doc_id long, quality int")
     model = quality_classifier.fit(odd_documents(spark), labels)
