@@ -184,8 +184,14 @@ def t01(v):
 
 @query("t02_stream_dedup", "transfers", "SELECT DISTINCT block_number, log_index FROM transfers")
 def t02(v):
-    stream = _as_stream(v, v.transfers.select("block_number", "log_index", "created_at"), "transfers")
-    return _through(v, jobs.stream_dedup(stream, "created_at", "36500 days"), "deduplicated").select("block_number", "log_index")
+    """Three hours of rows; some come again an hour later, while they are remembered, others after three hours, when only the store knows them."""
+    rows = v.transfers.withColumn("h", F.pmod(F.xxhash64("block_number", "log_index"), F.lit(105)))
+    again = F.array_compact(F.array(F.lit(0), F.when(F.col("h") % 5 == 0, 1), F.when(F.col("h") % 7 == 0, 3)))
+    rows = rows.withColumn("later", F.explode(again)).withColumn("hour", F.col("h") % 3 + F.col("later")).withColumn("arrived_at", F.timestamp_seconds(F.lit(1700000000) + 3600 * F.col("hour")))
+    stream = _parts(v, [rows.where(F.col("hour") == k).drop("h", "later", "hour") for k in range(6)], "transfers")
+    store = K.Store(v.spark, new_folder(v.spark, "deduplicated"))
+    jobs.stream_dedup_commit(stream, store, "arrived_at", "30 minutes", new_folder(v.spark, "deduplicated-state")).awaitTermination()
+    return store.read("transfers", v.transfers.schema).select("block_number", "log_index")
 
 
 def _parts(v: Views, parts: list[DataFrame], tag: str) -> DataFrame:

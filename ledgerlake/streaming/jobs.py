@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerlake.operators.decode import block_activities
 from ledgerlake.operators.windows import gap_list
-from ledgerlake.sinks.batch import commit_batch
+from ledgerlake.sinks.batch import commit_batch, insert_transfers_if_absent
 from ledgerlake.sinks.store import Store
 
 CAPTURE = "ts long, type string, data string"
@@ -79,10 +79,25 @@ def stream_decode(units: DataFrame, labels: DataFrame, metadata: DataFrame, fold
 
 
 def stream_dedup(stream: DataFrame, time: str, delay: str) -> DataFrame:
-    """One row of each key within the delay; the insert-if-absent commit is what lasts."""
+    """One row of each key within the delay; the insert-if-absent commit is what lasts. time: when a row came, so that none is late."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["block_number", "log_index"])
 
 
+def stream_dedup_commit(stream: DataFrame, store: Store, time: str, delay: str, checkpoint: str) -> StreamingQuery:
+    """The store gets each key once, however late it comes again: state of `delay` spares the store near repeats, and what
+    comes after that is compared with stored rows in folders whose bounds meet the batch."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.drop(time).persist()
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        ends = batch.select(F.col("block_number").cast("long").alias("k")).agg(F.min("k").alias("low"), F.max("k").alias("high")).head()
+        stored = store.read("transfers", batch.schema, ends.low, ends.high) if ends.low is not None else batch.limit(0)
+        store.commit(batch_id, {"transfers": insert_transfers_if_absent(stored, batch)}, {}, run)
+        batch.unpersist()
+
+    return stream_dedup(stream, time, delay).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def frontier_batch(blocks: DataFrame, start: int) -> DataFrame:
     """How far the blocks from start go without a gap; start - 1 if start is missing."""
     rows = blocks.where(F.col("number") >= start).select("number").distinct()

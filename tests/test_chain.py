@@ -114,6 +114,16 @@ def test_quality_score_of_clean_chain(spark):
     assert tuple(audit.quality_score(report).head()) == (100, "EXCELLENT")
 
 
+def test_ordered_checks_of_repeated_and_null_numbers(spark):
+    rows = [(1, "a", "a", 50_000), (1, "b", "x", 50_000), (None, "c", "x", 50_000), (None, "d", "x", 50_000), (7, "e", "b", 44_000), (12, "f", "f", 39_000), (12, "f", "f", 39_000), (25, None, None, 80_000)]
+    blocks = spark.createDataFrame(rows, "number long, hash string, parent_hash string, processed_at_ms long")
+    for width in (5, 100_000):  # numbers in several ranges, in one
+        got = audit.ordered_checks(blocks, width=width).head()
+        assert (got.self_reference, got.timestamp_anomaly, got.duplicate) == (3, 1, 4)  # as count(*) - count(DISTINCT number) has it
+    assert audit.duplicate_blocks(blocks).head().issues == 4
+    assert tuple(audit.ordered_checks(blocks.limit(0)).head()) == (0, 0, 0)
+
+
 def test_quota_boundaries(spark):
     df = spark.createDataFrame([(1001, "EXHAUSTED"), (1000, "EXHAUSTED"), (950, "STRICT"), (900, "THROTTLING"), (870, "THROTTLING"), (850, "NORMAL")], "used int, want string")
     assert df.where(windows.guard_mode(F.col("used") / 1000) != F.col("want")).count() == 0

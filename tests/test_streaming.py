@@ -1,6 +1,7 @@
 """The ordered frontier's rules, and streams against their rules over tables."""
 
 import json
+import os
 import random
 
 import plain_frontier as plain
@@ -222,3 +223,21 @@ def test_halo_and_positions(spark):
     halo = with_halo(rows, "key", 4, width=10)
     assert halo.where("_own").count() == 100
     assert all(r._part == r.key // 10 + 1 and r.key % 10 >= 6 for r in halo.where("NOT _own").collect())
+
+
+def test_repeats_after_the_delay_meet_the_store(spark, tmp_path):
+    schema = "block_number long, log_index int, arrived_at timestamp"
+    batches = [[(1, 0, 0), (1, 0, 0), (2, 0, 0)], [(3, 0, 1), (1, 0, 1)], [(4, 0, 2)], [(1, 0, 3), (2, 0, 3), (None, 0, 3)], [(5, 0, 4), (5, 1, 4)]]
+    at = "make_timestamp(2024, 1, 1, hour, 0, 0)"
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "block_number long, log_index int, hour int").selectExpr("block_number", "log_index", f"{at} AS arrived_at")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+        for f in (tmp_path / "in" / f"part={k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    store = Store(spark, f"{tmp_path}/store")
+    jobs.stream_dedup_commit(stream(), store, "arrived_at", "30 minutes", f"{tmp_path}/state").awaitTermination()
+    got = [(r.block_number, r.log_index) for r in store.read("transfers", "block_number long, log_index int").where("block_number IS NOT NULL").collect()]
+    assert sorted(got) == [(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (5, 1)]
+    only = jobs.run_to_table(jobs.stream_dedup(stream(), "arrived_at", "30 minutes"), f"{tmp_path}/only", f"{tmp_path}/only-state")
+    assert only.where("block_number = 1").count() == 2  # the state has forgotten the block by the third hour
