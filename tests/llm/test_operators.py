@@ -169,6 +169,22 @@ def test_url_filter_odd_rows(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_url_filter_has_no_limit_to_rules(spark):
+    """12,000 combinations of labels and path lengths, against each URL and rule by itself."""
+    draw = random.Random(3)
+    host = lambda n: ".".join(draw.choice("ab") for _ in range(n))
+    rules = {("a" if n == 1 else host(n), "/" + "p" * (k - 1)): draw.choice(["allow", "block"]) for n in range(1, 31) for k in range(1, 401)}
+    hosts = sorted({h for h, _ in rules})
+    urls = [f"x://{draw.choice(['', 'c.', 'a.'])}{draw.choice(hosts)}/{'p' * draw.randrange(420)}{draw.choice(['', 'q', '?p'])}" for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    frame = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()], "host string, path string, verdict string")
+    for r in url_filter.judge(pages, frame).collect():
+        fits = [(len(h + p), h + p, v) for (h, p), v in rules.items() if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "allow"))
+    assert url_filter.judge(pages, frame.limit(0)).where("rule IS NULL AND verdict = 'allow'").count() == len(urls)
+    assert url_filter.judge(pages.limit(0), frame).count() == 0
+
+
 def test_line_dedup(spark, sf_dir):
     want = brute.similar_lines(documents(spark, sf_dir))
     for block in (line_dedup.BLOCK, 40):  # with tiles too
