@@ -44,6 +44,15 @@ def carried_forward(df: DataFrame, key: str, value: Column, out: str, *, by: lis
     return rows.join(edge, parts, "left").withColumn(out, F.coalesce("_own", "_before")).drop("_value", "_own", "_before", "_range")
 
 
+def running_max(df: DataFrame, key: str, value: str, out: str, *, by: list[str] = [], width: int = WIDTH) -> DataFrame:  # noqa: B006
+    """df with `out`: the greatest value up to and with each row in the order of key, per `by`; rows of equal keys count for each other."""
+    rows, parts = _ranged(df, key, width, by)
+    rows = rows.withColumn("_own", F.max(value).over(W.partitionBy(*parts).orderBy(key)))
+    before = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    edge = rows.groupBy(*parts).agg(F.max(value).alias("_top")).withColumn("_before", F.max("_top").over(before)).drop("_top")
+    return rows.join(edge, parts, "left").withColumn(out, F.greatest("_own", "_before")).drop("_own", "_before", "_range")
+
+
 def with_halo(df: DataFrame, key: str, reach: int, *, width: int = WIDTH) -> DataFrame:
     """df with `_part`, a range of the key, and `_own`: each range also gets the rows up to `reach` before it, as copies with _own false.
 

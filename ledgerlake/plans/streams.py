@@ -126,11 +126,30 @@ def k06(v):
     return blocks.agg(F.count("*").alias("blocks")).crossJoin(transfers.agg(F.count("*").alias("transfers"))).crossJoin(point).withColumn("again", F.lit(again))
 
 
-@query("k06_commit_cadence", "blocks", """WITH t AS (SELECT number, (number * 2 + number % 7) // 500 AS beat, number * 2 + number % 7 AS ms FROM blocks), p AS (SELECT *, (row_number() OVER (PARTITION BY beat ORDER BY ms, number) - 1) // 200 AS part, count(*) OVER (PARTITION BY beat) AS n FROM t)
- SELECT beat, part, CASE WHEN (part + 1) * 200 <= any_value(n) THEN 'count' ELSE 'age' END AS reason, count(*) AS tasks, max(number) AS checkpoint FROM p GROUP BY beat, part""")
-def k06c(v):
+_CADENCE = """WITH t AS (SELECT number, (number * 2 + number % 7) // 500 AS beat, number * 2 + number % 7 AS ms FROM blocks), p AS (SELECT *, (row_number() OVER (PARTITION BY beat ORDER BY ms, number) - 1) // 200 AS part, count(*) OVER (PARTITION BY beat) AS n FROM t)
+ SELECT beat, part, CASE WHEN (part + 1) * 200 <= any_value(n) THEN 'count' ELSE 'age' END AS reason, count(*) AS tasks, max(number) AS checkpoint FROM p GROUP BY beat, part"""
+
+
+def _tasks(v: Views) -> DataFrame:
     n = F.col("number")
-    return K.flushes(v.blocks.select(n.alias("task_id"), n.alias("height"), (n * 2 + n % 7).alias("arrival_ms")))
+    return v.blocks.select(n.alias("task_id"), n.alias("height"), (n * 2 + n % 7).alias("arrival_ms"))
+
+
+@query("k06_commit_cadence", "blocks", _CADENCE)
+def k06c(v):
+    return K.flushes(_tasks(v))
+
+
+@query("k06_cadence_stream", "blocks", _CADENCE)
+def k06s(v):
+    """Six triggers of equal spans of time, which end inside beats; what the last leaves open is drained."""
+    tasks, now = _tasks(v), F.timestamp_seconds(F.lit(1700000000))
+    last = tasks.agg(F.max("arrival_ms")).head()[0] or 0
+    part = F.floor(F.col("arrival_ms") * 6 / (last + 1))
+    store = K.Store(v.spark, new_folder(v.spark, "cadence-store"))
+    jobs.stream_cadence(_parts(v, [tasks.where(part == k) for k in range(6)], "tasks"), store, 1, now, new_folder(v.spark, "cadence-state")).awaitTermination()
+    jobs.drain_cadence(store, 1, now)
+    return store.read("flushed", K.FLUSHED).groupBy("beat", "part", "reason").agg(F.count("*").alias("tasks"), F.max("height").alias("checkpoint"))
 
 
 _HALF = "SELECT max(number) * 2 // 3 AS k FROM blocks"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import audit
+from ledgerlake.operators.neighbors import with_position
 from ledgerlake.sinks.store import Store
 
 TRANSFER_ORDER = ["tx_hash", "from_address", "to_address", "token_address", "amount", "activity_type", "created_at"]
@@ -110,10 +110,15 @@ def flush_batches(tasks: DataFrame, most: int = 200, every_ms: int = 500) -> Dat
     """K06's cadence: tasks (task_id, height, arrival_ms) with the flush that commits each: a clock flushes every `every_ms` what has
     gathered since its last beat, and `most` tasks are flushed at once. Adds beat, part, and reason (count or age). Beats are independent of each other.
     """
-    w = W.partitionBy("beat").orderBy("arrival_ms", "task_id")
-    rows = tasks.withColumn("beat", F.floor(F.col("arrival_ms") / every_ms))
-    rows = rows.withColumn("part", F.floor((F.row_number().over(w) - 1) / most)).withColumn("_n", F.count("*").over(W.partitionBy("beat")))
-    return rows.withColumn("reason", F.when((F.col("part") + 1) * most <= F.col("_n"), "count").otherwise("age")).drop("_n")
+    return parts_of_beats(tasks.withColumn("beat", F.floor(F.col("arrival_ms") / every_ms)), most)
+
+
+def parts_of_beats(tasks: DataFrame, most: int, slice_ms: int = 25) -> DataFrame:
+    """tasks with part, from 0 in each beat, and reason (count: the part is full). A beat is counted in slices of its time, so no task holds one whole."""
+    rows = with_position(tasks, "arrival_ms", "_place", by=["beat"], ties=["task_id"], width=slice_ms)
+    rows = rows.join(tasks.groupBy("beat").agg(F.count("*").alias("_n")), "beat")
+    rows = rows.withColumn("part", F.floor(F.col("_place") / most))
+    return rows.withColumn("reason", F.when((F.col("part") + 1) * most <= F.col("_n"), "count").otherwise("age")).drop("_n", "_place")
 
 
 def flushes(tasks: DataFrame, most: int = 200, every_ms: int = 500) -> DataFrame:
@@ -121,6 +126,46 @@ def flushes(tasks: DataFrame, most: int = 200, every_ms: int = 500) -> DataFrame
     return flush_batches(tasks, most, every_ms).groupBy("beat", "part", "reason").agg(F.count("*").alias("tasks"), F.max("height").alias("checkpoint"))
 
 
+TASKS = "task_id long, height long, arrival_ms long"
+FLUSHED = f"{TASKS}, beat long, part long, reason string"
+CADENCE = "beat long, parts long"
+
+
+def commit_due(store: Store, batch_id: int, tasks: DataFrame, clock_ms: int | None, chain_id: int, now: Column, *, most: int = 200, every_ms: int = 500, run: str = "") -> bool:
+    """K06's cadence over triggers: what is due of the started batch and the new tasks goes into the table `flushed`, the rest waits on.
+
+    Due are full parts of `most` tasks, and all tasks of beats that ended at the clock (clock_ms: None ends them all, as a writer
+    that stops does). Waiting tasks lie in the table `started`, and `cadence` has the open beat with its parts flushed so far. Both,
+    the flushed tasks and the checkpoint (the greatest flushed height, never lower than before) change in one commit. A task that
+    comes after its beat has ended counts for the open one.
+    """
+    if batch_id <= store.committed(run):
+        return False
+    held = store.read("cadence", CADENCE).head()  # one row at most
+    beat, parts = (held.beat, held.parts) if held else (None, 0)
+    tasks = tasks.select("task_id", "height", "arrival_ms").unionByName(store.read("started", TASKS))
+    at = F.floor(F.col("arrival_ms") / every_ms)
+    rows = parts_of_beats(tasks.withColumn("beat", at if beat is None else F.greatest(at, F.lit(beat))), most)
+    rows = rows.withColumn("part", F.col("part") + F.when(F.col("beat") == beat, parts).otherwise(0)).persist()
+    try:
+        top = rows.agg(F.max("beat")).head()[0] if clock_ms is None else clock_ms // every_ms
+        open_beat = max(x for x in (top, beat, 0) if x is not None) + (clock_ms is None)
+        due = (F.col("beat") < open_beat) | (F.col("reason") == "count")
+        done = rows.where(due & (F.col("beat") == open_beat)).select("part").distinct().count() + (parts if open_beat == beat else 0)
+        flushed = rows.where(due).select("task_id", "height", "arrival_ms", "beat", "part", "reason")
+        point = flushed.agg(F.max("height").alias("last_synced_block")).where("last_synced_block IS NOT NULL").select(F.lit(chain_id).cast("long").alias("chain_id"), "last_synced_block", now.alias("updated_at"))
+        points = store.read("checkpoints", CHECKPOINTS).unionByName(point)
+        latest = points.groupBy("chain_id").agg(F.max("last_synced_block").alias("last_synced_block"), F.max("updated_at").alias("updated_at"))
+        replaced = {
+            "started": rows.where(~due).select("task_id", "height", "arrival_ms"),
+            "cadence": store.spark.createDataFrame([(open_beat, done)], CADENCE),
+            "checkpoints": latest,
+        }
+        return store.commit(batch_id, {"flushed": flushed}, replaced, run)
+    finally:
+        rows.unpersist()
+
+
 def reorganise(store: Store, batch_id: int, chain_id: int, incoming: DataFrame, blocks_schema, transfers_schema, now: Column, *, back: int = 1000, run: str = "reorg") -> int | None:
     """Q11 to Q13 as one commit: if incoming (canonical) blocks contradict stored ones, find the last common block before the first
     contradiction, delete what is stored above it, with its transfers, and set the checkpoint there. The ancestor; None where

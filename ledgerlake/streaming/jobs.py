@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerlake.operators.decode import block_activities
+from ledgerlake.operators.neighbors import running_max
 from ledgerlake.operators.windows import gap_list
-from ledgerlake.sinks.batch import commit_batch, insert_transfers_if_absent
+from ledgerlake.sinks.batch import TASKS, commit_batch, commit_due, insert_transfers_if_absent
 from ledgerlake.sinks.store import Store
 
 CAPTURE = "ts long, type string, data string"
@@ -151,8 +152,7 @@ def latest_per_type(events: DataFrame, time: str = "ts", critical: list[str] = C
 def height_merge(updates: DataFrame, window_ms: int = 100) -> DataFrame:
     """The greatest head of each window, never less than before. updates: chain_id, ts, latest."""
     slots = updates.groupBy("chain_id", F.floor(F.unix_millis("ts") / window_ms).alias("slot")).agg(F.max("latest").alias("head"))
-    w = W.partitionBy("chain_id").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
-    return slots.withColumn("head", F.max("head").over(w))
+    return running_max(slots.withColumnRenamed("head", "own"), "slot", "own", "head", by=["chain_id"]).drop("own")
 
 
 def height_merge_stream(updates: DataFrame, store: Store, checkpoint: str, window_ms: int = 100, delay: str = "1 minute") -> StreamingQuery:
@@ -163,9 +163,9 @@ def height_merge_stream(updates: DataFrame, store: Store, checkpoint: str, windo
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            w = W.partitionBy("chain_id").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)  # the windows that one trigger closes
             tops = store.read("tops", "chain_id long, top long")
-            rows = batch.join(tops, "chain_id", "left").withColumn("head", F.greatest(F.max("head").over(w), "top")).drop("top")
+            rows = running_max(batch.withColumnRenamed("head", "own"), "slot", "own", "head", by=["chain_id"]).drop("own")
+            rows = rows.join(tops, "chain_id", "left").withColumn("head", F.greatest("head", "top")).drop("top")
             last = tops.unionByName(batch.select("chain_id", F.col("head").alias("top"))).groupBy("chain_id").agg(F.max("top").alias("top"))
             run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
             store.commit(batch_id, {"merged": rows}, {"tops": last}, run)
@@ -188,6 +188,32 @@ def stream_commit(blocks: DataFrame, store: Store, chain_id: int, now: Column, c
     return blocks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_cadence(tasks: DataFrame, store: Store, chain_id: int, now: Column, checkpoint: str, *, most: int = 200, every_ms: int = 500) -> StreamingQuery:
+    """K06's cadence: tasks (task_id, height, arrival_ms) are committed when `most` have gathered or their beat of `every_ms` ends.
+
+    A trigger isn't a flush: it may bring several, or none, and the batch it leaves open is carried to the next. The clock is the
+    greatest arrival that has come, so a replay flushes the same batches. `drain_cadence` commits what is left when the stream ends.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            clock = batch.agg(F.max("arrival_ms")).head()[0]
+            if clock is not None:
+                run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+                commit_due(store, batch_id, batch, clock, chain_id, now, most=most, every_ms=every_ms, run=run)
+        finally:
+            batch.unpersist()
+
+    return tasks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drain_cadence(store: Store, chain_id: int, now: Column, *, most: int = 200, every_ms: int = 500) -> None:
+    """Commit what a stopped cadence has left open."""
+    none = store.spark.createDataFrame([], TASKS)
+    commit_due(store, store.committed("drain") + 1, none, None, chain_id, now, most=most, every_ms=every_ms, run="drain")
+
+
 def observed(stream: DataFrame, name: str = "ingest") -> DataFrame:
     """The stream, counting its rows and heights into each batch's progress."""
     return stream.observe(name, F.count("*").alias("rows"), F.max("number").alias("height"))

@@ -1,5 +1,7 @@
 """Small frames for the rules of decoding, audits and writes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,15 @@ def test_neighbors_equal_a_global_window(spark):
     assert got == want
 
 
+def test_running_maximum_equals_a_global_window(spark):
+    draw = random.Random(8)
+    rows = [(s, draw.randrange(4000), draw.choice([None, draw.randrange(1000)])) for s in "abbbb" for _ in range(200)] + [("c", 1, None), ("c", 900, None)]
+    df = spark.createDataFrame(rows, "s string, k long, v long")
+    got = sorted(tuple(r) for r in neighbors.running_max(df, "k", "v", "top", by=["s"], width=100).select("s", "k", "top").fillna(-1).collect())
+    before = lambda s, k: max((v for t, j, v in rows if t == s and j <= k and v is not None), default=-1)
+    assert got == sorted((s, k, before(s, k)) for s, k, _ in rows)
+
+
 def test_gap_list(spark):
     df = spark.createDataFrame([(n,) for n in (1, 2, 5, 6, 300)], "number long")
     got = sorted(tuple(r) for r in windows.gap_list(df, width=10).collect())

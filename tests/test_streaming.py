@@ -241,3 +241,64 @@ def test_repeats_after_the_delay_meet_the_store(spark, tmp_path):
     assert sorted(got) == [(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (5, 1)]
     only = jobs.run_to_table(jobs.stream_dedup(stream(), "arrived_at", "30 minutes"), f"{tmp_path}/only", f"{tmp_path}/only-state")
     assert only.where("block_number = 1").count() == 2  # the state has forgotten the block by the third hour
+
+
+def plain_cadence(triggers, most, every):
+    """(beat, part, reason, sorted ids) of a writer that looks at one task after another, with the clock of its trigger."""
+    out, beat, parts, held = [], 0, 0, []
+
+    def tick(to):
+        nonlocal beat, parts, held
+        if to > beat:
+            if held:
+                out.append((beat, parts, "age", sorted(held)))
+            beat, parts, held = to, 0, []
+
+    for tasks in triggers:
+        for ms, task in sorted(tasks):
+            tick(ms // every)
+            held.append(task)
+            if len(held) == most:
+                out.append((beat, parts, "count", sorted(held)))
+                parts, held = parts + 1, []
+    tick(beat + 1)
+    return sorted(out)
+
+
+def cadence(spark, store):
+    rows = store.read("flushed", sinks.FLUSHED).groupBy("beat", "part", "reason").agg(F.sort_array(F.collect_list("task_id")).alias("ids"))
+    return sorted((r.beat, r.part, r.reason, r.ids) for r in rows.collect())
+
+
+def test_cadence_carries_a_started_batch_over_triggers(spark, tmp_path):
+    draw, ms, triggers = random.Random(5), 1000, []
+    for _ in range(5):
+        tasks = []
+        for _ in range(draw.choice([1, 9, 14])):
+            ms += draw.choice([1, 3, 20, 130])
+            tasks.append((ms, len(triggers) * 100 + len(tasks)))
+        triggers.append(tasks)
+    store, now = Store(spark, str(tmp_path / "s")), F.timestamp_seconds(F.lit(0))
+    for k, tasks in enumerate(triggers):
+        rows = spark.createDataFrame([(i, i, m) for m, i in tasks], sinks.TASKS)
+        args = (store, k, rows, max(m for m, _ in tasks), 1, now)
+        assert sinks.commit_due(*args, most=3, every_ms=100)
+        assert not sinks.commit_due(*args, most=3, every_ms=100)  # a batch that is tried again
+    held = store.read("started", sinks.TASKS).count()
+    assert 0 < held < 3
+    jobs.drain_cadence(store, 1, now, most=3, every_ms=100)
+    want = plain_cadence(triggers, 3, 100)
+    assert cadence(spark, store) == want and {r for _, _, r, _ in want} == {"count", "age"}
+    assert store.read("started", sinks.TASKS).count() == 0
+    assert store.read("checkpoints", sinks.CHECKPOINTS).head().last_synced_block == triggers[-1][-1][1]
+
+
+def test_cadence_of_late_tasks_and_of_none(spark, tmp_path):
+    store, now = Store(spark, str(tmp_path / "s")), F.timestamp_seconds(F.lit(0))
+    jobs.drain_cadence(store, 1, now)
+    assert cadence(spark, store) == [] and store.read("checkpoints", sinks.CHECKPOINTS).count() == 0
+    for k, (clock, rows) in enumerate([(950, [(1, 1, 910), (2, 2, 950)]), (960, [(3, 3, 120)]), (1200, [(4, 4, 1200)])]):
+        sinks.commit_due(store, k, spark.createDataFrame(rows, sinks.TASKS), clock, 1, now, most=3, every_ms=100)
+    assert cadence(spark, store) == [(9, 0, "count", [1, 2, 3])]  # 3 came when beat 9 was open
+    jobs.drain_cadence(store, 1, now, most=3, every_ms=100)
+    assert cadence(spark, store)[1:] == [(12, 0, "age", [4])]
