@@ -18,6 +18,7 @@ document id, then place) has a Jaccard similarity of 0.8 or more to it, whether
 
 Scale: a token with more than `block` postings is dealt in tiles of that size; only sets that are candidates (found by a
 fixed-size Bloom filter) are fetched for verification; removals reach documents by an equi-join. Nothing is capped.
+Verification unpacks and compares a bounded number of tokens at once.
 Texts are read in chunks of some megabytes; no words are remembered between them.
 
 Defined results: null and empty texts have one line without words, which stays; rows with equal id and text are the same
@@ -45,6 +46,7 @@ MAX_RANKED = 1 << 17
 BLOCK = 20_000
 VERIFIED_ROWS = 20_000  #: rows with their tokens that a task holds at once, or one group
 PAIRS_AT_ONCE = 20_000
+TOKENS_AT_ONCE = 1 << 17  #: tokens that verification unpacks or compares at once; a larger set is handled alone
 RANKED = 1 << 62
 HIGH = np.uint64(0xFFFFFFFF00000000)
 WIDE = 512  #: bits of the bitmaps that verification compares before it counts shared tokens
@@ -63,7 +65,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            word, n = tally([w.hashes() >> np.uint64(2) for w in chunks(batch.column("text"))])
+            word, n = tally(w.hashes() >> np.uint64(2) for w in chunks(batch.column("text")))
             return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"]) if len(word) else None
 
         return f
@@ -331,20 +333,39 @@ def _with_candidates(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([c.combine_chunks().take(at) for c in t.columns], t.column_names) if len(at) else None
 
 
+def _slices(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(low, high) of runs of numbers that add up to `most` at most; a larger number is a run of its own."""
+    end, low = np.cumsum(n), 0
+    while low < len(n):
+        high = max(low + 1, int(np.searchsorted(end, end[low] - n[low] + most, side="right")))
+        yield low, high
+        low = high
+
+
 class _Sets:
-    """The token sets of some rows of a table, findable by ascending numbers of a row and the upper bits of a token."""
+    """The token sets of some rows of a table, findable by ascending numbers of a row and the upper bits of a token.
 
-    def __init__(self, t: pa.Table, rows: np.ndarray):
-        self.token, row, _ = tokens_of(t.select(["low", "rest", "rank"]).take(pa.array(rows)).combine_chunks().to_batches()[0])
+    n: the sizes of the sets. 16 bytes a token are held, and 64 a set; they are unpacked a bounded number at a time.
+    """
+
+    def __init__(self, t: pa.Table, rows: np.ndarray, n: np.ndarray):
+        t = t.select(["low", "rest", "rank"])
         self.shift = 62 - len(rows).bit_length()  # a token's number lies below 2^(shift + 1)
-        ranked = self.token >= np.uint64(RANKED)
-        upper = self.token >> np.uint64(62 - self.shift)
-        self.upper = np.where(ranked, self.token - np.uint64(RANKED) + np.uint64(1 << self.shift), upper).astype(np.int64)
-        self.known = (row << self.shift + 1) + self.upper
-        self.first = np.searchsorted(row, np.arange(len(rows) + 1))
-        bits = np.zeros((len(rows), WIDE), dtype=bool)
-        bits[row, (self.token % np.uint64(WIDE)).astype(np.int64)] = True
-        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        self.first = np.r_[0, np.cumsum(n)]
+        self.token, self.known = np.empty(self.first[-1], dtype=np.uint64), np.empty(self.first[-1], dtype=np.int64)
+        self.bits = np.empty((len(rows), WIDE // 64), dtype=np.uint64)
+        for low, high in _slices(n + WIDE // 8, TOKENS_AT_ONCE):
+            token, row, _ = tokens_of(t.take(pa.array(rows[low:high])).combine_chunks().to_batches()[0])
+            own = slice(self.first[low], self.first[high])
+            self.token[own], self.known[own] = token, self._number(row + low, token)
+            bits = np.zeros((high - low, WIDE), dtype=bool)
+            bits[row, (token % np.uint64(WIDE)).astype(np.int64)] = True
+            self.bits[low:high] = np.packbits(bits, axis=1).view(np.uint64)
+
+    def _number(self, row: np.ndarray, token: np.ndarray) -> np.ndarray:
+        ranked = token >= np.uint64(RANKED)
+        upper = np.where(ranked, token - np.uint64(RANKED) + np.uint64(1 << self.shift), token >> np.uint64(62 - self.shift))
+        return (row << self.shift + 1) + upper.astype(np.int64)
 
     def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A lower bound of the number of tokens that only one of the sets a and b has, for each pair."""
@@ -353,9 +374,14 @@ class _Sets:
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many tokens the sets a and b have in common, for each pair."""
         n = self.first[a + 1] - self.first[a]
+        parts = [self._shared(a[low:high], b[low:high], n[low:high]) for low, high in _slices(n, TOKENS_AT_ONCE)]
+        return np.concatenate([np.zeros(0, dtype=np.int64), *parts])
+
+    def _shared(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
         pair = np.repeat(np.arange(len(a)), n)
         wanted = np.arange(len(pair)) + np.repeat(self.first[a] - np.cumsum(n) + n, n)
-        number, token = (b[pair] << self.shift + 1) + self.upper[wanted], self.token[wanted]
+        token = self.token[wanted]
+        number = self._number(b[pair], token)
         at = np.searchsorted(self.known, number)
         same = np.zeros(len(pair), dtype=bool)
         left = np.arange(len(pair))
@@ -372,7 +398,7 @@ class _Sets:
 def _late(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
     """The sets that are similar to an earlier one of their group. A set that has been found isn't compared again."""
     g = _Group(t, group)
-    sets, found = _Sets(t, g.rows), np.zeros(len(g.own), dtype=bool)
+    sets, found = _Sets(t, g.rows, g.size), np.zeros(len(g.own), dtype=bool)
     for x, y in g.candidates():
         x, y = x[~found[x]], y[~found[x]]
         for low in range(0, len(x), PAIRS_AT_ONCE):

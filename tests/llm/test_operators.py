@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import brute
@@ -228,6 +229,32 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.removals(odd_documents(spark).limit(0)).count() == 0
 
 
+def test_line_dedup_verifies_many_tokens_in_little_memory(monkeypatch):
+    rng, groups, size, n = np.random.default_rng(1), 100, 30, 200
+    sets = []
+    for _ in range(groups):
+        spare = iter(rng.integers(0, 1 << 61, 60 * size).tolist())
+        base = [*rng.integers(0, 1 << 61, 150).tolist(), *(line_dedup.RANKED + rng.choice(1 << 17, 50, replace=False)).tolist()]
+        sets += [{*base[k:], *(next(spare) for _ in range(k))} for k in rng.integers(0, 60, size).tolist()]
+    keys = [sorted(s) for s in sets]
+    rest, rank = ([[k for k in row if (k >= line_dedup.RANKED) == often] for row in keys] for often in (False, True))
+    low = [sum(k < line_dedup.RANKED + (1 << 16) for k in row) for row in rank]
+    number, zero = np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64)
+    packed = [pa.array([np.array(row, dtype=kind).tobytes() for row in rows]) for rows, kind in ((rest, "<u8"), ([[k - line_dedup.RANKED & 0xFFFF for k in row] for row in rank], "<u2"))]
+    t = pa.table({"set": number, "doc": number, "line": zero.astype(np.int32), "shape": zero + (n << 32), "b0": zero, "b1": zero, "low": pa.array(low, pa.int32()), "rest": packed[0], "rank": packed[1]})
+    want = [i for i in range(len(sets)) if any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(i - i % size, i))]
+    assert len(sets) > len(want) > 0
+    tracemalloc.start()
+    got = line_dedup._late(t, number // size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("set").to_pylist() == want
+    assert peak < 50 * len(sets) * n
+    for most in (n // 2, 3 * n + 1):  # one set alone, and a few
+        monkeypatch.setattr(line_dedup, "TOKENS_AT_ONCE", most)
+        assert line_dedup._late(t, number // size).column("set").to_pylist() == want
+
+
 def test_sentence_pieces(spark, sf_dir):
     import sentencepiece
 
