@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,16 @@ def _arrival(rows: DataFrame, files: int = 4, apart: int = 40, most: int = 100_0
     return F.floor((F.col("number") + F.pmod(F.xxhash64("number"), F.lit(apart))) / width)
 
 
-def _aged(v: Views, folder: str) -> None:
-    """Give files the order of their parts: a file stream takes the oldest file first."""
+def _aged(v: Views, folder: str) -> int:
+    """Give files the order of their parts: a file stream takes the oldest file first. How many files a part has at most."""
     paths = v.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part=*/*.parquet")
     store = paths.getFileSystem(v.spark._jsc.hadoopConfiguration())
+    files = Counter()
     for f in store.globStatus(paths):
-        store.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * int(f.getPath().getParent().getName().split("=")[1]), -1)
+        part = f.getPath().getParent().getName().split("=")[1]
+        store.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * int(part), -1)
+        files[part] += 1
+    return max(files.values(), default=1)
 
 
 def _in_order(v: Views, rows: DataFrame, tag: str) -> DataFrame:
@@ -207,7 +213,7 @@ def t02(v):
     rows = v.transfers.withColumn("h", F.pmod(F.xxhash64("block_number", "log_index"), F.lit(105)))
     again = F.array_compact(F.array(F.lit(0), F.when(F.col("h") % 5 == 0, 1), F.when(F.col("h") % 7 == 0, 3)))
     rows = rows.withColumn("later", F.explode(again)).withColumn("hour", F.col("h") % 3 + F.col("later")).withColumn("arrived_at", F.timestamp_seconds(F.lit(1700000000) + 3600 * F.col("hour")))
-    stream = _parts(v, [rows.where(F.col("hour") == k).drop("h", "later", "hour") for k in range(6)], "transfers")
+    stream = _parted(v, rows.drop("h", "later").withColumnRenamed("hour", "part"), "transfers")
     store = K.Store(v.spark, new_folder(v.spark, "deduplicated"))
     jobs.stream_dedup_commit(stream, store, "arrived_at", "30 minutes", new_folder(v.spark, "deduplicated-state")).awaitTermination()
     return store.read("transfers", v.transfers.schema).select("block_number", "log_index")
@@ -222,6 +228,14 @@ def _parts(v: Views, parts: list[DataFrame], tag: str) -> DataFrame:
     return v.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
 
 
+def _parted(v: Views, rows: DataFrame, tag: str) -> DataFrame:
+    """rows, streamed in the order of their part, one part a trigger. All tasks write all parts at once, so a part has a file of each task."""
+    folder = new_folder(v.spark, tag)
+    rows.write.partitionBy("part").parquet(folder)
+    files = _aged(v, folder)
+    return v.spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/part=*")
+
+
 def _frontier(v: Views, stream: DataFrame, tag: str, **options) -> K.Store:
     store = K.Store(v.spark, new_folder(v.spark, f"{tag}-store"))
     frontier.ordered_frontier(stream, store, new_folder(v.spark, f"{tag}-state"), **options).awaitTermination()

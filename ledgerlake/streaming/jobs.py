@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from ledgerlake.operators.decode import block_activities
 from ledgerlake.operators.neighbors import running_max
 from ledgerlake.operators.windows import gap_list
-from ledgerlake.sinks.batch import TASKS, commit_batch, commit_due, insert_transfers_if_absent
+from ledgerlake.sinks.batch import TASKS, commit_batch, commit_due
 from ledgerlake.sinks.store import Store
 
 CAPTURE = "ts long, type string, data string"
@@ -79,24 +82,55 @@ def stream_decode(units: DataFrame, labels: DataFrame, metadata: DataFrame, fold
     return units.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_STATE = "spark.sql.streaming.stateStore"
+#: State in RocksDB: a bounded part of it is in memory, and a batch logs its changes instead of copying all keys.
+ON_DISK = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STATE}.rocksdb.maxMemoryUsageMB": "300",
+}
+
+
+@contextmanager
+def _with_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that a stream takes along when it starts; the session has its own again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, x in settings.items():
+        spark.conf.set(k, x)
+    try:
+        yield
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+TRANSFER_KEYS = ["block_number", "log_index"]
+
+
 def stream_dedup(stream: DataFrame, time: str, delay: str) -> DataFrame:
     """One row of each key within the delay; the insert-if-absent commit is what lasts. time: when a row came, so that none is late."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["block_number", "log_index"])
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(TRANSFER_KEYS)
 
 
 def stream_dedup_commit(stream: DataFrame, store: Store, time: str, delay: str, checkpoint: str) -> StreamingQuery:
     """The store gets each key once, however late it comes again: state of `delay` spares the store near repeats, and what
-    comes after that is compared with stored rows in folders whose bounds meet the batch."""
+    comes after that is compared with stored rows in folders whose bounds meet the batch. The state lets each key of a batch pass
+    once, so only stored keys are left to look for."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.drop(time).persist()
-        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
-        ends = batch.select(F.col("block_number").cast("long").alias("k")).agg(F.min("k").alias("low"), F.max("k").alias("high")).head()
-        stored = store.read("transfers", batch.schema, ends.low, ends.high) if ends.low is not None else batch.limit(0)
-        store.commit(batch_id, {"transfers": insert_transfers_if_absent(stored, batch)}, {}, run)
-        batch.unpersist()
+        try:
+            run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+            ends = batch.select(F.col("block_number").cast("long").alias("k")).agg(F.min("k").alias("low"), F.max("k").alias("high")).head()
+            stored = store.read("transfers", batch.schema, ends.low, ends.high) if ends.low is not None else batch.limit(0)
+            store.commit(batch_id, {"transfers": batch.join(stored.select(*TRANSFER_KEYS), TRANSFER_KEYS, "left_anti")}, {}, run)
+        finally:
+            batch.unpersist()
 
-    return stream_dedup(stream, time, delay).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with _with_settings(store.spark, ON_DISK):
+        return stream_dedup(stream, time, delay).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def frontier_batch(blocks: DataFrame, start: int) -> DataFrame:
