@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.neighbors import with_halo
+from ledgerlake.operators.neighbors import running_max
 
 
 def latest_height() -> Column:
@@ -66,13 +65,15 @@ def catch_up(rows: DataFrame) -> DataFrame:
 
 
 def sustained(samples: DataFrame, condition: Column, seconds: int, out: str) -> DataFrame:
-    """Whether a condition has held for all of the trailing time, which the samples must reach back over."""
-    rows = samples.withColumn("_ms", F.unix_millis("ts")).withColumn("_ok", F.coalesce(condition, F.lit(False)).cast("int"))
+    """Whether a condition has held for all of the trailing time, which the samples must reach back over: no failure since then.
+
+    The last failure is a running maximum, so each sample is looked at once, however many a window holds."""
+    rows = samples.withColumn("_ms", F.unix_millis("ts"))
+    rows = rows.withColumn("_failed", F.when(~F.coalesce(condition, F.lit(False)), F.col("_ms")))
     began = rows.groupBy("chain_id").agg(F.min("_ms").alias("_began"))
-    w = W.partitionBy("chain_id", "_part").orderBy("_ms").rangeBetween(-seconds * 1000, 0)
-    rows = with_halo(rows, "_ms", seconds * 1000, width=3_600_000).withColumn("_held", F.min("_ok").over(w) == 1).where("_own").join(began, "chain_id", "left")
-    held = F.col("_held") & (F.col("_ms") - F.col("_began") >= seconds * 1000)
-    return rows.withColumn(out, held).drop("_ms", "_ok", "_part", "_own", "_held", "_began")
+    rows = running_max(rows, "_ms", "_failed", "_last", by=["chain_id"], width=3_600_000).join(began, "chain_id", "left")
+    held = F.coalesce(F.col("_last") < F.col("_ms") - seconds * 1000, F.lit(True)) & (F.col("_ms") - F.col("_began") >= seconds * 1000)
+    return rows.withColumn(out, held).drop("_ms", "_failed", "_last", "_began")
 
 
 def ingestion_rate(records: Column, seconds: Column) -> Column:

@@ -25,3 +25,15 @@ def test_an_empty_stream_of_parts_ends(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/store")
     jobs.stream_dedup_commit(streams._parted(Views(spark, ""), rows, "parted"), store, "arrived_at", "30 minutes", f"{tmp_path}/state").awaitTermination()
     assert store.read("transfers", "block_number long, log_index int").count() == 0
+
+
+def test_sustained_has_no_frame_that_slides(spark):
+    from ledgerlake.operators.status import sustained
+
+    rows = spark.range(0, 300).select((F.col("id") % 2).alias("chain_id"), "id", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("id")).alias("ts"), (F.col("id") != 150).alias("ok"))
+    rows = rows.unionByName(spark.createDataFrame([(0, 1000, None, True)], "chain_id long, id long, ts timestamp, ok boolean"))
+    out = sustained(rows, F.col("ok"), 3600, "alert")
+    assert "RangeFrame, -" not in out._jdf.queryExecution().optimizedPlan().toString()  # such a frame looks at all of its rows for each row
+    got = {r.id: r.alert for r in out.collect()}
+    assert len(got) == 301 and not got[1000]  # a sample without time is neither lost nor an alert
+    assert {k for k in range(300) if not got[k]} == set(range(60)) | set(range(150, 211, 2))
