@@ -87,18 +87,37 @@ def resolve_decimals(activities: DataFrame, metadata: DataFrame) -> DataFrame:
     return out.select(*activities.columns, decimals.cast("int").alias("decimals"))
 
 
+def packed(text: Column) -> Column:
+    """Lower-case hex (0x..., whole bytes) as bytes, which take half the room in a shuffle, and any other text as it is. See unpacked()."""
+    plain = text.rlike(r"\A0x[0-9a-f]+\z") & (F.length(text) % 2 == 0)
+    return F.struct(F.when(plain, F.unhex(F.substring(text, 3, 2_147_483_647))).alias("bytes"), F.when(~plain, text).alias("text"))
+
+
+def unpacked(value: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("0x"), F.lower(F.hex(value["bytes"]))), value["text"])
+
+
 def tx_activities(transactions: DataFrame, logs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Claims, deployments and plain transfers of transactions, numbered from 20000 in each block."""
-    with_logs = logs.where(F.size("topics") >= 1).select(F.col("block_number").alias("_block"), F.col("tx_hash").alias("_tx"), F.lit(True).alias("_logged")).distinct()
+    """Claims, deployments and plain transfers of transactions, numbered from 20000 in each block.
+
+    Transactions and the hashes of logs are dealt by their block, once and packed; whether a transaction has logs and its number
+    are both found there. What can't become an activity isn't dealt.
+    """
     known = labels.select(F.lower("address").alias("_labelled"), "label")
     rows = transactions.join(dimension(known), F.lower("from_address") == F.col("_labelled"), "left")
-    rows = rows.join(with_logs, (F.col("block_number") == F.col("_block")) & (F.col("tx_hash") == F.col("_tx")), "left")
-    plain = (F.col("value") > 0) & F.col("_logged").isNull() & F.col("to_address").isNotNull()
+    rows = rows.where(F.col("label").isNotNull() | F.col("to_address").isNull() | (F.col("value") > 0))
+    rows = rows.select("block_number", packed(F.col("tx_hash")).alias("_tx"), "tx_index", packed(F.col("from_address")).alias("_from"), packed(F.col("to_address")).alias("_to"), "value", "label", F.lit(False).alias("_log"))
+    with_logs = logs.where((F.size("topics") >= 1) & F.col("tx_hash").isNotNull() & F.col("block_number").isNotNull())
+    with_logs = with_logs.select("block_number", packed(F.col("tx_hash")).alias("_tx"), F.lit(True).alias("_log"))
+    both = rows.unionByName(with_logs, allowMissingColumns=True).repartition("block_number")
+    both = both.withColumn("_logged", F.max("_log").over(W.partitionBy("block_number", "_tx"))).where("NOT _log")
+    both = both.select("block_number", unpacked(F.col("_tx")).alias("tx_hash"), "tx_index", unpacked(F.col("_from")).alias("from_address"), unpacked(F.col("_to")).alias("to_address"), "value", "label", "_logged")
+    plain = (F.col("value") > 0) & ~F.col("_logged") & F.col("to_address").isNotNull()
     kind = F.when(F.col("label").isNotNull(), "FAUCET_CLAIM").when(F.col("to_address").isNull(), "DEPLOY").when(plain, "ETH_TRANSFER")
     symbol = F.when(F.col("label").isNotNull(), F.col("label")).when(F.col("to_address").isNull(), "EVM").otherwise("ETH")
-    rows = rows.withColumn("activity_type", kind).withColumn("symbol", symbol).where("activity_type IS NOT NULL")
+    both = both.withColumn("activity_type", kind).withColumn("symbol", symbol).where("activity_type IS NOT NULL")
     number = F.row_number().over(W.partitionBy("block_number").orderBy("tx_index", "tx_hash"))
-    return rows.select(
+    return both.select(
         "block_number",
         "tx_hash",
         (F.lit(19999) + number).cast("int").alias("log_index"),

@@ -37,3 +37,21 @@ def test_sustained_has_no_frame_that_slides(spark):
     got = {r.id: r.alert for r in out.collect()}
     assert len(got) == 301 and not got[1000]  # a sample without time is neither lost nor an alert
     assert {k for k in range(300) if not got[k]} == set(range(60)) | set(range(150, 211, 2))
+
+
+def test_transactions_and_log_hashes_are_dealt_once_and_packed(spark):
+    from ledgerlake.operators.decode import packed, tx_activities, unpacked
+
+    odd = ["0x", "0xab", "0xAB", "0xabc", "0xab\n", "ab", "", None, "0x" + "0f" * 5000, "0xzz"]
+    texts = spark.createDataFrame([(x,) for x in odd], "t string").select("t", packed(F.col("t")).alias("p"))
+    assert texts.where(~F.col("t").eqNullSafe(unpacked(F.col("p")))).count() == 0
+    assert texts.where("p.bytes IS NOT NULL").count() == 2
+    txs = spark.createDataFrame([(1, k, x, f"0xF{k}", "0xb", 1) for k, x in enumerate(odd)] + [(2, 0, "0xab", "0xa", None, 0), (2, 1, "0xcd", "0xa", "0xb", 0), (2, 2, "0xef", "0xC0", "0xb", 0)], "block_number long, tx_index int, tx_hash string, from_address string, to_address string, value long")
+    logs = spark.createDataFrame([(1, x, ["t"]) for x in ("0xab", "ab", None, "0xab\n", "0xab")] + [(1, "0xzz", []), (2, "0x", ["t"])], "block_number long, tx_hash string, topics array<string>")
+    labels = spark.createDataFrame([("0xc0", "Tap")], "address string, label string")
+    out = tx_activities(txs, logs, labels)
+    got = [(r.block_number, r.tx_hash, r.log_index, r.activity_type, r.symbol) for r in out.orderBy("block_number", "log_index").collect()]
+    kept = [x for x in odd if x not in ("0xab", "ab", "0xab\n")]
+    assert got == [(1, x, 20000 + k, "ETH_TRANSFER", "ETH") for k, x in enumerate(kept)] + [(2, "0xab", 20000, "DEPLOY", "EVM"), (2, "0xef", 20001, "FAUCET_CLAIM", "Tap")]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window ") == 2
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
