@@ -69,15 +69,12 @@ def units_of(logs: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def stream_decode(units: DataFrame, labels: DataFrame, metadata: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """All activities (C13) of a stream of units. A unit is a whole block, so nothing is kept between batches; a batch writes a folder of its own, so one that is tried again changes nothing."""
+    """All activities (C13) of a stream of units. A unit is a whole block, so nothing is kept between batches; a batch writes a folder of its own, so one that is tried again changes nothing. Units are read again where they are used twice, which takes less room than holding them."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            rows = lambda name: batch.select("block_number", F.explode(name).alias("_row")).select("block_number", "_row.*")
-            block_activities(rows("logs"), rows("transactions"), labels, metadata).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        rows = lambda name: batch.select("block_number", F.explode(name).alias("_row")).select("block_number", "_row.*")
+        out = block_activities(rows("logs"), rows("transactions"), labels, metadata)
+        out.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch={batch_id}")
 
     return units.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

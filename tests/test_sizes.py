@@ -55,3 +55,20 @@ def test_transactions_and_log_hashes_are_dealt_once_and_packed(spark):
     assert got == [(1, x, 20000 + k, "ETH_TRANSFER", "ETH") for k, x in enumerate(kept)] + [(2, "0xab", 20000, "DEPLOY", "EVM"), (2, "0xef", 20001, "FAUCET_CLAIM", "Tap")]
     assert out._jdf.queryExecution().sparkPlan().toString().count("Window ") == 2
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_units_are_dealt_while_narrow_and_go_once_read(spark, sf_dir, tmp_path, monkeypatch):
+    v = Views(spark, sf_dir)
+    dealt = v.by_block()
+    units = jobs.units_of(dealt.logs, dealt.transactions)
+    plan = units._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and all("orderkey" in x for x in plan.split("Exchange hashpartitioning(")[1:])
+    assert units.count() == jobs.units_of(v.logs, v.transactions).count()
+    monkeypatch.setattr(streams, "new_folder", lambda _, tag: f"{tmp_path}/{tag}")
+    stream = streams._as_they_lie(v, units, "units")
+    files = len(list((tmp_path / "units").glob("*.parquet")))
+    seen = []
+    job = stream.writeStream.foreachBatch(lambda rows, k: seen.append(rows.count())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert sum(seen) == units.count() and len(seen) == min(4, files)
+    assert len(list((tmp_path / "units").glob("*.parquet"))) < files
