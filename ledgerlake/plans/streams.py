@@ -38,8 +38,8 @@ def _arrival(rows: DataFrame, files: int = 4, apart: int = 40, most: int = 100_0
     return F.floor((F.col("number") + F.pmod(F.xxhash64("number"), F.lit(apart))) / width)
 
 
-def _aged(v: Views, folder: str) -> int:
-    """Give files the order of their parts: a file stream takes the oldest file first. How many files a part has at most."""
+def _aged(v: Views, folder: str) -> Counter:
+    """Give files the order of their parts: a file stream takes the oldest file first. How many files each part has."""
     paths = v.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part=*/*.parquet")
     store = paths.getFileSystem(v.spark._jsc.hadoopConfiguration())
     files = Counter()
@@ -47,15 +47,15 @@ def _aged(v: Views, folder: str) -> int:
         part = f.getPath().getParent().getName().split("=")[1]
         store.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * int(part), -1)
         files[part] += 1
-    return max(files.values(), default=1)
+    return files
 
 
-def _in_order(v: Views, rows: DataFrame, tag: str) -> DataFrame:
-    """rows, written to files in the order of their numbers and streamed from them, one at a time; fewer than 40 blocks are early at once."""
+def _in_order(v: Views, rows: DataFrame, tag: str, triggers: int = 4) -> DataFrame:
+    """rows, written to files in the order of their numbers and streamed from them, some neighbours at a time; fewer than 40 blocks are early at once. There are as many triggers whatever the size, since each costs as much."""
     folder = new_folder(v.spark, tag)
     rows.withColumn("part", _arrival(rows)).repartition("part").write.partitionBy("part").parquet(folder)
-    _aged(v, folder)
-    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+    files = len(_aged(v, folder))
+    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // triggers))).parquet(f"{folder}/part=*")
 
 
 def _through(v: Views, stream: DataFrame, tag: str) -> DataFrame:
@@ -242,7 +242,7 @@ def _parted(v: Views, rows: DataFrame, tag: str) -> DataFrame:
     """rows, streamed in the order of their part, one part a trigger. All tasks write all parts at once, so a part has a file of each task."""
     folder = new_folder(v.spark, tag)
     rows.write.partitionBy("part").parquet(folder)
-    files = _aged(v, folder)
+    files = max(_aged(v, folder).values(), default=1)
     return v.spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/part=*")
 
 

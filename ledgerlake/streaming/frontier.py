@@ -126,7 +126,8 @@ class IntervalFrontier:
         w = W.partitionBy("chain_id").orderBy("start")  # the edges of a chain's waiting runs
         r = runs.join(heads.select("chain_id", "expected", "last_hash"), "chain_id")
         r = r.withColumn("prev", F.lag("end").over(w)).withColumn("gap_from", F.coalesce(F.col("prev") + 1, F.col("expected")))
-        behind = F.sum(F.col("end") - F.col("start") + 1).over(w.rowsBetween(0, W.unboundedFollowing))
+        size = F.col("end") - F.col("start") + 1
+        behind = F.sum(size).over(W.partitionBy("chain_id")) - F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0)) + size  # a frame of all rows that follow would be summed up anew for each run
         follows = F.col("start") == F.col("gap_from")
         may_skip = F.lit(False) if self.most is None else behind > self.most
         breaks = follows & F.when(F.col("prev").isNotNull(), F.lit(True)).otherwise(_differ(F.col("last_hash"), F.col("parent")))  # linked neighbours are one run

@@ -72,3 +72,23 @@ def test_units_are_dealt_while_narrow_and_go_once_read(spark, sf_dir, tmp_path,
     job.awaitTermination()
     assert sum(seen) == units.count() and len(seen) == min(4, files)
     assert len(list((tmp_path / "units").glob("*.parquet"))) < files
+
+
+def test_triggers_in_order_do_not_grow_in_number(spark, tmp_path):
+    rows = spark.range(0, 2_000_000, 500).select(F.col("id").alias("number"))
+    spans = []
+    stream = streams._in_order(Views(spark, ""), rows, "ordered")
+    job = stream.writeStream.foreachBatch(lambda r, k: spans.append(r.agg(F.min("number"), F.max("number"), F.count("*")).head())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert len(spans) == 4 and sum(n for _, _, n in spans) == 4000  # 20 files
+    assert all(b[0] > a[1] - 40 for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_backlog_is_summed_once(spark, tmp_path):
+    from ledgerlake.streaming.frontier import IntervalFrontier
+
+    runs = spark.createDataFrame([(1, 3 * k, 3 * k + 1, None, None) for k in range(10)], "chain_id long, start long, end long, parent string, hash string")
+    heads = spark.createDataFrame([(1, 0, None)], "chain_id long, expected long, last_hash string")
+    out = IntervalFrontier(Store(spark, f"{tmp_path}/store"), most=8)._reached(runs, heads)
+    assert [r.start for r in out.where("done").orderBy("start").collect()] == [3 * k for k in range(6)]  # eight blocks are left behind the gap at 17
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
